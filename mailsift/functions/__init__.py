@@ -8,6 +8,6 @@ from .message import (base_domain, cap_body, compose_text, default_message_id,
 from .scores import (attribution_sentence, clamp_confidence, predicted_label,
                      rule_reasons, sigmoid)
 from .text import (analyse, clean_text, drop_stop_words, ngrams, normalise_label,
-                   strip_html, strip_ws, term_counts, tokens)
+                   strip_html, strip_ws, tokens, with_term_counts)
 
 __all__ = [n for n in dir() if not n.startswith("_")]

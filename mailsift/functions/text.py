@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .constants import ENGLISH_STOP_WORDS, LABEL_SYNONYMS, NGRAM_MAX
@@ -78,41 +78,46 @@ def drop_stop_words(arr: Column, stop_words: Iterable[str] = ENGLISH_STOP_WORDS)
 
 
 def ngrams(arr: Column, n_max: int = NGRAM_MAX) -> Column:
-    """Unigrams followed by 2..n_max-grams of adjacent tokens, joined by a blank."""
-    out = arr
-    size = F.size(arr)
+    """Unigrams followed by 2..n_max-grams of adjacent tokens, joined by a blank.
+
+    Built from shifted slices with zip_with: lambdas only see their own
+    arguments (a lambda that indexes an outer array expression would
+    re-evaluate it per element)."""
+    out, prev = arr, arr
     for n in range(2, n_max + 1):
-        width = size - (n - 1)
-        grams = F.transform(
-            F.sequence(F.lit(1), F.greatest(width, F.lit(1))),
-            lambda i, n=n: F.concat_ws(" ", *[F.element_at(arr, i + k) for k in range(n)]))
-        empty = F.array().cast("array<string>")
-        out = F.concat(out, F.when(width > 0, grams).otherwise(empty))
+        width = F.greatest(F.size(arr) - (n - 1), F.lit(0))
+        cur = F.zip_with(F.slice(prev, 1, width), F.slice(arr, n, width),
+                         lambda a, b: F.concat(a, F.lit(" "), b))
+        out, prev = F.concat(out, cur), cur
     return out
 
 
 def analyse(col: Column | str, stop_words: Iterable[str] = ENGLISH_STOP_WORDS,
             n_max: int = NGRAM_MAX) -> Column:
-    """Token -> stop-word filter -> n-grams: the terms a document contributes."""
+    """Token -> stop-word filter -> n-grams: the terms a document contributes.
+    (As one expression; :func:`with_term_counts` evaluates it step by step.)"""
     return ngrams(drop_stop_words(tokens(col), stop_words), n_max)
 
 
-def term_counts(terms: Column) -> Column:
-    """array<string> -> array<struct<term string, tf bigint>> sorted by term.
+def with_term_counts(df: DataFrame, text: str, out: str = "tc",
+                     stop_words: Iterable[str] = ENGLISH_STOP_WORDS, n_max: int = NGRAM_MAX,
+                     keep: Iterable[str] | None = None) -> DataFrame:
+    """Adds ``out`` = array<struct<term string, tf bigint>> sorted by term.
 
     Counted inside the row (sort + run lengths), so term frequencies need no
-    shuffle: a document's terms never leave its task.
+    shuffle: a document's terms never leave its task. Each intermediate array
+    is its own projection, so it is computed once per row.
     """
-    s = F.array_sort(terms)
-    n = F.size(s)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                      lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, i - 1)))
-    m = F.size(starts)
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(m, F.lit(1))),
-        lambda j: F.struct(
-            F.element_at(s, F.element_at(starts, j)).alias("term"),
-            (F.when(j < m, F.element_at(starts, j + 1)).otherwise(n + 1)
-             - F.element_at(starts, j)).cast("bigint").alias("tf")))
-    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
-    return F.when(n > 0, runs).otherwise(empty)
+    keep = list(df.columns if keep is None else keep)
+    k = [c for c in keep if c not in (out,)]
+    d = df.select(*k, drop_stop_words(tokens(text), stop_words).alias("_tok"))
+    d = d.select(*k, F.array_sort(ngrams(F.col("_tok"), n_max)).alias("_s"))
+    prev = F.concat(F.array(F.lit(None).cast("string")), F.slice("_s", 1, F.greatest(F.size("_s") - 1, F.lit(0))))
+    d = d.select(*k, "_s", F.zip_with("_s", prev, lambda a, b: b.isNull() | (a != b)).alias("_st"))
+    d = d.select(*k, F.size("_s").alias("_n"),
+                 F.filter(F.zip_with("_s", "_st", lambda t, b: F.when(b, t)), lambda x: x.isNotNull()).alias("_u"),
+                 F.filter(F.transform("_st", lambda b, i: F.when(b, i).otherwise(-1)), lambda x: x >= 0).alias("_i"))
+    nxt = F.concat(F.slice("_i", 2, F.greatest(F.size("_i") - 1, F.lit(0))), F.array(F.col("_n")))
+    tf = F.zip_with(nxt, "_i", lambda a, b: (a - b).cast("bigint"))
+    d = d.select(*k, "_u", tf.alias("_tf"))
+    return d.select(*k, F.zip_with("_u", "_tf", lambda t, c: F.struct(t.alias("term"), c.alias("tf"))).alias(out))

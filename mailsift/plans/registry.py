@@ -33,7 +33,9 @@ def register(name: str, sql: str | None = None):
 
 
 def corpus(spark, sf_dir):
-    return C.build_corpus(S.corpus_view(spark, sf_dir))
+    """The cleaned, deduplicated fixture corpus, persisted once per session."""
+    from .pipeline import fixture_run
+    return fixture_run(spark, sf_dir).corpus
 
 
 def flat_features(col: str):
@@ -168,3 +170,108 @@ def q_compose_text(spark, sf_dir):
     m = S.mail_view(spark, sf_dir)
     return m.select("uid", M.compose_text(T.clean_text("sender"), T.clean_text("subject"),
                                           T.clean_text("body")).alias("text"))
+
+
+# ------------------------------------------------------------ phase 2: text model inputs
+
+from ..operators import split as SP  # noqa: E402
+from ..operators import tfidf as TF  # noqa: E402
+from ..operators import models as MD  # noqa: E402
+from .pipeline import fixture_run  # noqa: E402
+
+_CORPUS = Q.clean_corpus_cte()
+
+
+def r6(c):
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+@register("term_frequencies", Q.with_ctes(_CORPUS, Q.tf_cte("tf_all", "dedup")) +
+          "SELECT row_id, term, tf FROM tf_all")
+def q_term_frequencies(spark, sf_dir):
+    return TF.term_frequencies(corpus(spark, sf_dir))
+
+
+@register("document_frequencies", Q.with_ctes(_CORPUS, Q.tf_cte("tf_all", "dedup")) +
+          "SELECT term, count(*) AS df, sum(tf) AS corpus_tf FROM tf_all GROUP BY term HAVING count(*) >= 2")
+def q_document_frequencies(spark, sf_dir):
+    stats = TF.document_frequencies(TF.doc_terms(corpus(spark, sf_dir)))
+    return TF.top_terms(stats, None, 2)
+
+
+@register("stratified_split", Q.with_ctes(_CORPUS, Q.split_cte()) + "SELECT row_id, label, part FROM parts")
+def q_stratified_split(spark, sf_dir):
+    return fixture_run(spark, sf_dir).parts.select("row_id", "label", "part")
+
+
+_FOLDS = """
+f_counts AS (SELECT label, count(*) AS n_c FROM train GROUP BY label),
+f_rank AS (SELECT row_id, label, row_number() OVER (PARTITION BY label
+             ORDER BY substr(md5(CAST(row_id AS VARCHAR) || ':43'), 1, 15), row_id) AS rk FROM train),
+folds AS (SELECT r.row_id, r.label, CAST(""" + " + ".join(
+    f"CAST(r.rk > ({f} * c.n_c) // 5 AS INT)" for f in range(1, 5)) + """ AS INT) AS fold
+          FROM f_rank r JOIN f_counts c ON r.label = c.label)"""
+
+
+@register("stratified_folds", Q.with_ctes(_CORPUS, Q.split_cte(), _FOLDS) + "SELECT row_id, label, fold FROM folds")
+def q_stratified_folds(spark, sf_dir):
+    return SP.stratified_folds(fixture_run(spark, sf_dir).train).select("row_id", "label", "fold")
+
+
+_PREFIX = """
+fpairs AS (SELECT f.row_id, g.fold FROM folds f CROSS JOIN (VALUES (0), (1), (2), (3), (4)) g(fold) WHERE g.fold <> f.fold),
+nmax AS (SELECT count(*) AS n FROM fpairs WHERE fold = 0),
+sizes AS (SELECT DISTINCT least(greatest(CAST(floor(CAST(fr AS DOUBLE) * n) AS BIGINT), 1), n) AS size
+          FROM nmax CROSS JOIN (VALUES (0.1), (0.325), (0.55), (0.775), (1.0)) s(fr)),
+prank AS (SELECT row_id, fold, row_number() OVER (PARTITION BY fold
+            ORDER BY substr(md5(CAST(row_id AS VARCHAR) || ':44'), 1, 15), row_id) AS rk FROM fpairs)"""
+
+
+@register("train_prefixes", Q.with_ctes(_CORPUS, Q.split_cte(), _FOLDS, _PREFIX) +
+          "SELECT row_id, fold, size FROM prank CROSS JOIN sizes WHERE rk <= size")
+def q_train_prefixes(spark, sf_dir):
+    folded = SP.stratified_folds(fixture_run(spark, sf_dir).train)
+    return SP.train_prefixes(folded)
+
+
+@register("class_weights", Q.with_ctes(_CORPUS, Q.split_cte()) + """
+SELECT label, n_c, round(sum(n_c) OVER () / (count(*) OVER () * n_c), 6) AS weight
+FROM (SELECT label, count(*) AS n_c FROM train GROUP BY label)""")
+def q_class_weights(spark, sf_dir):
+    w = MD.class_weights(fixture_run(spark, sf_dir).train)
+    return w.select("label", "n_c", r6("weight").alias("weight"))
+
+
+@register("vocabulary", Q.with_ctes(_CORPUS, Q.split_cte(), Q.tf_cte("tf_train", "train"), Q.vocab_cte("tf_train", "train")) +
+          "SELECT term, term_ix, df, corpus_tf, round(idf, 6) AS idf FROM vocab")
+def q_vocabulary(spark, sf_dir):
+    v = fixture_run(spark, sf_dir).tfidf.vocab_df(spark)
+    return v.select("term", "term_ix", "df", "corpus_tf", r6("idf").alias("idf"))
+
+
+@register("tfidf_weights", Q.with_ctes(_CORPUS, *Q.text_model_ctes()[:5]) +
+          "SELECT row_id, ix AS term_ix, round(w, 6) AS weight FROM tfidf")
+def q_tfidf_weights(spark, sf_dir):
+    run = fixture_run(spark, sf_dir)
+    lf = run.tfidf.long_form(run.corpus)
+    return lf.select("row_id", "term_ix", r6("weight").alias("weight"))
+
+
+# ------------------------------------------------------------ phase 3: NB + scoring
+
+_MODEL = Q.with_ctes(_CORPUS, *Q.text_model_ctes())
+
+
+@register("nb_coefficients", _MODEL + "SELECT ix AS feature_ix, feature, round(coefficient, 6) AS coefficient FROM coef")
+def q_nb_coefficients(spark, sf_dir):
+    run = fixture_run(spark, sf_dir)
+    return run.nb.coefficients(spark).select("feature_ix", "feature", r6("coefficient").alias("coefficient"))
+
+
+@register("flagship", _MODEL + """
+SELECT row_id, actual, predicted, round(margin, 6) AS margin, round(phishing_confidence, 6) AS phishing_confidence
+FROM scored""")
+def q_flagship(spark, sf_dir):
+    s = fixture_run(spark, sf_dir).scored()
+    return s.select("row_id", "actual", "predicted", r6("margin").alias("margin"),
+                    r6("phishing_confidence").alias("phishing_confidence"))

@@ -147,3 +147,111 @@ dedup AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip().rstrip(",") for c in (FIXTURE_CTES,) + ctes) + "\n"
+
+
+# ------------------------------------------------------------ text model
+
+def tf_cte(name: str, docs: str, text: str = "text") -> str:
+    """name(row_id, term, tf) for the documents of relation `docs`."""
+    return f"""
+{name}_toks AS (SELECT row_id, list_filter(regexp_extract_all(lower({text}), '{WORD}{{2,}}'),
+                    lambda x: NOT list_contains({stop_list()}, x)) AS f FROM {docs}),
+{name}_grams AS (SELECT row_id, list_concat(f, list_transform(range(1, len(f)), lambda i: f[i] || ' ' || f[i + 1])) AS g
+                 FROM {name}_toks),
+{name} AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(g) AS term FROM {name}_grams)
+           GROUP BY row_id, term)"""
+
+
+def vocab_cte(tf: str, docs: str, max_features: int = K.MAX_FEATURES, min_df: int = K.MIN_DF) -> str:
+    return f"""
+vstats AS (SELECT term, count(*) AS df, sum(tf) AS corpus_tf FROM {tf} GROUP BY term HAVING count(*) >= {min_df}),
+vtop AS (SELECT * FROM vstats ORDER BY corpus_tf DESC, term LIMIT {max_features}),
+vocab AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INT) AS term_ix, df, corpus_tf,
+                 ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf
+          FROM vtop, (SELECT count(*) AS n FROM {docs}) nd)"""
+
+
+def tfidf_cte(name: str, tf: str) -> str:
+    """name(row_id, ix, w): sublinear tf x idf, L2-normalised per document."""
+    return f"""
+{name}_raw AS (SELECT t.row_id, v.term_ix AS ix, (1.0 + ln(t.tf)) * v.idf AS raw FROM {tf} t JOIN vocab v ON t.term = v.term),
+{name} AS (SELECT row_id, ix, raw / sqrt(sum(raw * raw) OVER (PARTITION BY row_id)) AS w FROM {name}_raw)"""
+
+
+def engineered_pairs_cte(name: str, docs: str, text: str = "text") -> str:
+    """name(row_id, ix, w): non-zero engineered features at ix = V + k."""
+    cols = [Q_FEATURE(text, f) for f in K.ENGINEERED_FEATURES]
+    selects = " UNION ALL ".join(
+        f"SELECT row_id, CAST((SELECT count(*) FROM vocab) + {k} AS INT) AS ix, CAST({expr} AS DOUBLE) AS w FROM {docs}"
+        for k, expr in enumerate(cols))
+    return f"""
+{name}_all AS ({selects}),
+{name} AS (SELECT * FROM {name}_all WHERE w <> 0)"""
+
+
+def Q_FEATURE(text: str, name: str) -> str:
+    return {
+        "link_count": link_count(text),
+        "has_urgent_words": has_any(text, K.URGENT_WORDS),
+        "has_account_words": has_any(text, K.ACCOUNT_WORDS),
+        "has_payment_words": has_any(text, K.PAYMENT_WORDS),
+        "exclamation_count": exclamation_count(text),
+        "uppercase_ratio": uppercase_ratio(text),
+    }[name]
+
+
+def split_cte(source: str = "dedup", seed: int = K.SPLIT_SEED, test_size: float = K.TEST_FRACTION) -> str:
+    """parts(row_id, label, part) with exact per-class quotas."""
+    return f"""
+s_counts AS (SELECT label, count(*) AS n_c FROM {source} GROUP BY label),
+s_tot AS (SELECT sum(n_c) AS n, CAST(ceil(CAST({test_size} AS DOUBLE) * sum(n_c)) AS BIGINT) AS n_test FROM s_counts),
+s_base AS (SELECT label, n_c, ((n - n_test) * n_c) // n AS fl, ((n - n_test) * n_c) % n AS rem, n, n_test
+           FROM s_counts, s_tot),
+s_alloc AS (SELECT label, n_c, fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, label)
+                                          <= (n - n_test) - sum(fl) OVER () THEN 1 ELSE 0 END AS train_c FROM s_base),
+s_rank AS (SELECT d.row_id, d.label, row_number() OVER (PARTITION BY d.label
+              ORDER BY substr(md5(CAST(d.row_id AS VARCHAR) || ':{seed}'), 1, 15), d.row_id) AS rk FROM {source} d),
+parts AS (SELECT r.row_id, r.label, CASE WHEN r.rk <= a.n_c - a.train_c THEN 'test' ELSE 'train' END AS part
+          FROM s_rank r JOIN s_alloc a ON r.label = a.label),
+train AS (SELECT d.* FROM {source} d JOIN parts p ON d.row_id = p.row_id WHERE p.part = 'train'),
+test AS (SELECT d.* FROM {source} d JOIN parts p ON d.row_id = p.row_id WHERE p.part = 'test')"""
+
+
+def nb_cte(train: str = "train", alpha: float = 1.0) -> str:
+    """coef(ix, coefficient) and prior(intercept) of multinomial NB on `train`
+    using the feature pairs relation `feats` (row_id, ix, w)."""
+    return f"""
+nf AS (SELECT count(*) + {len(K.ENGINEERED_FEATURES)} AS n_features FROM vocab),
+grid AS (SELECT term_ix AS ix, term AS feature FROM vocab
+         UNION ALL SELECT CAST((SELECT count(*) FROM vocab) + k AS INT), name
+         FROM (VALUES {", ".join(f"({k}, {q(nm)})" for k, nm in enumerate(K.ENGINEERED_FEATURES))}) e(k, name)),
+fc AS (SELECT t.label, f.ix, sum(f.w) AS total FROM feats f JOIN {train} t ON f.row_id = t.row_id GROUP BY t.label, f.ix),
+ctot AS (SELECT label, sum(total) AS total FROM fc GROUP BY label),
+flp AS (SELECT c.label, g.ix, ln((coalesce(fc.total, 0) + {alpha}) / (ct.total + {alpha} * nf.n_features)) AS lp
+        FROM grid g CROSS JOIN (VALUES ('legitimate'), ('phishing')) c(label)
+        JOIN ctot ct ON ct.label = c.label CROSS JOIN nf
+        LEFT JOIN fc ON fc.label = c.label AND fc.ix = g.ix),
+coef AS (SELECT g.ix, g.feature, p.lp - l.lp AS coefficient FROM grid g
+         JOIN flp p ON p.ix = g.ix AND p.label = 'phishing' JOIN flp l ON l.ix = g.ix AND l.label = 'legitimate'),
+prior AS (SELECT ln(sum(CASE WHEN label = 'phishing' THEN 1 ELSE 0 END))
+               - ln(sum(CASE WHEN label = 'legitimate' THEN 1 ELSE 0 END)) AS intercept FROM {train})"""
+
+
+def scores_cte(docs: str = "test") -> str:
+    """scored(row_id, actual, margin, predicted, phishing_confidence)."""
+    return f"""
+margins AS (SELECT d.row_id, d.label AS actual,
+                   coalesce(sum(f.w * c.coefficient), 0) + (SELECT intercept FROM prior) AS margin
+            FROM {docs} d LEFT JOIN feats f ON f.row_id = d.row_id LEFT JOIN coef c ON c.ix = f.ix
+            GROUP BY d.row_id, d.label),
+scored AS (SELECT row_id, actual, margin,
+                  CASE WHEN margin > 0 THEN 'phishing' ELSE 'legitimate' END AS predicted,
+                  1.0 / (1.0 + exp(-margin)) AS phishing_confidence FROM margins)"""
+
+
+def text_model_ctes(source: str = "dedup") -> list[str]:
+    """split -> vocabulary on train -> tfidf + engineered pairs for all docs
+    (feats) -> NB -> scores on test."""
+    return [split_cte(source), tf_cte("tf_train", "train"), vocab_cte("tf_train", "train"),
+            tf_cte("tf_all", source), tfidf_cte("tfidf", "tf_all"), engineered_pairs_cte("eng", source),
+            "feats AS (SELECT * FROM tfidf UNION ALL SELECT * FROM eng)", nb_cte("train"), scores_cte("test")]
