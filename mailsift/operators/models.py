@@ -54,9 +54,11 @@ def featurise(tfidf_model: TfidfModel, df: DataFrame, text: str = "text",
     """row_id, *keep, pairs (TF-IDF + engineered). Engineered features are
     computed on ``feature_text`` (default: the same text)."""
     ft = feature_text or text
-    base = df.select("row_id", *keep, text, *([ft] if ft != text else []))
+    keep = [c for c in keep if c not in ("row_id",)]
+    cols = list(dict.fromkeys(["row_id", *keep, text, ft]))
+    base = df.select(*cols)
     base = base.withColumn("_feats", engineered_features(ft))
-    t = tfidf_model.transform(base, text, keep=[*keep, "_feats"])
+    t = tfidf_model.transform(base, text, keep=list(dict.fromkeys([*keep, "_feats"])))
     return t.select("row_id", *keep, model_input(t, F.col("_feats"), tfidf_model.size).alias("pairs"))
 
 

@@ -275,3 +275,193 @@ def q_flagship(spark, sf_dir):
     s = fixture_run(spark, sf_dir).scored()
     return s.select("row_id", "actual", "predicted", r6("margin").alias("margin"),
                     r6("phishing_confidence").alias("phishing_confidence"))
+
+
+# ------------------------------------------------------------ phase 3b: metrics and explanations
+
+from ..operators import metrics as MT  # noqa: E402
+from ..operators import explain as EX  # noqa: E402
+from ..operators import classify as CL  # noqa: E402
+from ..functions import scores as SC  # noqa: E402
+
+
+def _scored(spark, sf_dir):
+    return fixture_run(spark, sf_dir).scored()
+
+
+_COUNTS = """
+cm AS (SELECT sum(CASE WHEN actual = 'phishing' AND predicted = 'phishing' THEN 1 ELSE 0 END) AS tp,
+              sum(CASE WHEN actual = 'legitimate' AND predicted = 'phishing' THEN 1 ELSE 0 END) AS fp,
+              sum(CASE WHEN actual = 'phishing' AND predicted = 'legitimate' THEN 1 ELSE 0 END) AS fn,
+              sum(CASE WHEN actual = 'legitimate' AND predicted = 'legitimate' THEN 1 ELSE 0 END) AS tn FROM scored)"""
+
+
+def _div(a, b):
+    return f"(CASE WHEN ({b}) > 0 THEN CAST({a} AS DOUBLE) / ({b}) ELSE 0.0 END)"
+
+
+@register("confusion_matrix", _MODEL.rstrip() + ",\n" + _COUNTS.strip() + """
+SELECT actual, predicted, CAST(count AS BIGINT) AS count FROM cm,
+  (VALUES ('legitimate', 'legitimate', 'tn'), ('legitimate', 'phishing', 'fp'),
+          ('phishing', 'legitimate', 'fn'), ('phishing', 'phishing', 'tp')) g(actual, predicted, cell),
+  LATERAL (SELECT CASE cell WHEN 'tn' THEN tn WHEN 'fp' THEN fp WHEN 'fn' THEN fn ELSE tp END AS count)""")
+def q_confusion(spark, sf_dir):
+    return MT.confusion(_scored(spark, sf_dir))
+
+
+@register("binary_metrics", _MODEL.rstrip() + ",\n" + _COUNTS.strip() + f"""
+SELECT round({_div('tp + tn', 'tp + tn + fp + fn')}, 6) AS accuracy, round({_div('tp', 'tp + fp')}, 6) AS precision,
+       round({_div('tp', 'tp + fn')}, 6) AS recall, round({_div('2 * tp', '2 * tp + fp + fn')}, 6) AS f1_score FROM cm""")
+def q_binary_metrics(spark, sf_dir):
+    m = MT.binary_metrics(_scored(spark, sf_dir))
+    return m.select(*[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1_score")])
+
+
+@register("classification_report", _MODEL.rstrip() + ",\n" + _COUNTS.strip() + f""",
+per AS (SELECT 'legitimate' AS class, {_div('tn', 'tn + fn')} AS p, {_div('tn', 'tn + fp')} AS r,
+               {_div('2 * tn', '2 * tn + fn + fp')} AS f, tn + fp AS s, tp + fp + fn + tn AS n FROM cm
+        UNION ALL SELECT 'phishing', {_div('tp', 'tp + fp')}, {_div('tp', 'tp + fn')},
+               {_div('2 * tp', '2 * tp + fp + fn')}, tp + fn, tp + fp + fn + tn FROM cm)
+SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, CAST(s AS BIGINT) AS support FROM per
+UNION ALL SELECT 'accuracy', NULL, NULL, round({_div('tp + tn', 'tp + tn + fp + fn')}, 6), CAST(tp + tn + fp + fn AS BIGINT) FROM cm
+UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), CAST(max(n) AS BIGINT) FROM per
+UNION ALL SELECT 'weighted avg', round(sum(p * s) / max(n), 6), round(sum(r * s) / max(n), 6), round(sum(f * s) / max(n), 6),
+                 CAST(max(n) AS BIGINT) FROM per""")
+def q_classification_report(spark, sf_dir):
+    r = MT.classification_report(_scored(spark, sf_dir))
+    return r.select("class", r6("precision").alias("precision"), r6("recall").alias("recall"),
+                    r6("f1").alias("f1"), "support")
+
+
+@register("error_tables", _MODEL + """
+SELECT row_id, actual, predicted, round(phishing_confidence, 6) AS phishing_confidence, 'misclassified' AS kind
+FROM scored WHERE actual <> predicted
+UNION ALL SELECT row_id, actual, predicted, round(phishing_confidence, 6),
+       CASE WHEN actual = 'legitimate' THEN 'false_positive' ELSE 'false_negative' END FROM scored WHERE actual <> predicted""")
+def q_error_tables(spark, sf_dir):
+    e = MT.error_tables(_scored(spark, sf_dir))
+    return e.select("row_id", "actual", "predicted", r6("phishing_confidence").alias("phishing_confidence"), "kind")
+
+
+@register("top_features", _MODEL + f"""
+SELECT 'phishing' AS "group", CAST(row_number() OVER (ORDER BY coefficient DESC, ix DESC) AS INT) AS rank, feature,
+       round(coefficient, 6) AS coefficient FROM (SELECT * FROM coef ORDER BY coefficient DESC, ix DESC LIMIT {K.TOP_COEFFICIENTS})
+UNION ALL
+SELECT 'legitimate', CAST(row_number() OVER (ORDER BY coefficient, ix) AS INT), feature, round(coefficient, 6)
+FROM (SELECT * FROM coef ORDER BY coefficient, ix LIMIT {K.TOP_COEFFICIENTS})""")
+def q_top_features(spark, sf_dir):
+    run = fixture_run(spark, sf_dir)
+    t = EX.top_features(run.nb.coefficients(spark))
+    return t.select("group", F.col("rank").cast("int").alias("rank"), "feature", r6("coefficient").alias("coefficient"))
+
+
+@register("confidence_modes", _MODEL + """
+SELECT row_id, round(greatest(0.0, least(1.0, (margin + 3.0) / 6.0)), 6) AS clamp_confidence,
+       round(1.0 / (1.0 + exp(-margin)), 6) AS sigmoid_confidence FROM scored""")
+def q_confidence_modes(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    return s.select("row_id", r6(SC.clamp_confidence("margin")).alias("clamp_confidence"),
+                    r6(SC.sigmoid("margin")).alias("sigmoid_confidence"))
+
+
+@register("attributions", _MODEL.rstrip() + ",\n" + Q.attributions_cte("attr", "feats", "scored").strip() + """
+SELECT row_id, CAST(rk AS INT) AS rank, feature, weight FROM attr""")
+def q_attributions(spark, sf_dir):
+    run = fixture_run(spark, sf_dir)
+    s = run.nb.score(run.test_features, keep=("label", "pairs"))
+    a = s.select("row_id", F.posexplode(EX.attribution_array(run.nb, F.col("pairs"), F.col("predicted"))).alias("p", "x"))
+    return a.select("row_id", (F.col("p") + 1).cast("int").alias("rank"), "x.feature", F.col("x.weight").alias("weight"))
+
+
+@register("attribution_summary", _MODEL.rstrip() + ",\n" + Q.attributions_cte("attr", "feats", "scored").strip() + f"""
+SELECT p.row_id, {Q.sentence_expr('attr', 'p')} AS linear_summary FROM scored p""")
+def q_attribution_summary(spark, sf_dir):
+    run = fixture_run(spark, sf_dir)
+    s = run.nb.score(run.test_features, keep=("label", "pairs"))
+    return EX.attributions(run.nb, s).select("row_id", "linear_summary")
+
+
+# ------------------------------------------------------------ messages
+
+_MAIL = Q.with_ctes(_CORPUS, *Q.text_model_ctes(), *Q.mail_ctes())
+
+
+def _classified(spark, sf_dir):
+    key = ("classified", id(spark), sf_dir)
+    if key not in _CLASSIFIED:
+        run = fixture_run(spark, sf_dir)
+        msgs = S.mail_view(spark, sf_dir)
+        dom = CL.trusted_domains(S.trusted_view(spark, sf_dir))
+        _CLASSIFIED[key] = CL.classify_messages(run.tfidf, run.nb, msgs, dom).persist()
+    return _CLASSIFIED[key]
+
+
+_CLASSIFIED: dict = {}
+
+
+@register("trusted_sender", Q.with_ctes(*[c for c in Q.mail_ctes()[:1]]).rstrip() + """,
+tset AS (SELECT DISTINCT domain FROM trusted WHERE domain IS NOT NULL AND domain <> '')
+SELECT row_id AS uid, sd AS sender_domain, bd AS base_domain,
+       (sd IN (SELECT domain FROM tset) OR bd IN (SELECT domain FROM tset)) AS trusted_sender FROM mail_clean""")
+def q_trusted_sender(spark, sf_dir):
+    m = S.mail_view(spark, sf_dir).select("uid", M.sender_domain("sender").alias("sender_domain"))
+    m = m.withColumn("base_domain", M.base_domain("sender_domain"))
+    return CL.mark_trusted(m, CL.trusted_domains(S.trusted_view(spark, sf_dir)))
+
+
+@register("classify_messages", _MAIL + f"""
+SELECT s.row_id AS uid, s.predicted AS prediction, round(1.0 / (1.0 + exp(-s.margin)), 6) AS phishing_confidence,
+       round(1.0 - 1.0 / (1.0 + exp(-s.margin)), 6) AS legitimate_confidence, s.sd AS sender_domain,
+       s.bd AS base_domain, s.trusted AS trusted_sender, {Q.link_count('s.ctext')} AS link_count,
+       ({Q.has_any('s.ctext', K.URGENT_WORDS)} = 1) AS has_urgent_words,
+       ({Q.has_any('s.ctext', K.ACCOUNT_WORDS)} = 1) AS has_account_words,
+       ({Q.has_any('s.ctext', K.PAYMENT_WORDS)} = 1) AS has_payment_words,
+       {Q.exclamation_count('s.ctext')} AS exclamation_count, round({Q.uppercase_ratio('s.ctext')}, 4) AS uppercase_ratio,
+       {Q.reasons_expr('s.ctext').replace('NOT trusted', 'NOT s.trusted').replace('WHEN trusted', 'WHEN s.trusted').replace('predicted =', 's.predicted =')} AS explanation_summary,
+       {Q.sentence_expr('mail_attr', 's').replace('p.row_id', 's.row_id').replace('p.predicted', 's.predicted')} AS linear_summary
+FROM mail_scored s""")
+def q_classify_messages(spark, sf_dir):
+    c = _classified(spark, sf_dir)
+    f = F.col("engineered_features")
+    return c.select("uid", "prediction", r6("phishing_confidence").alias("phishing_confidence"),
+                    r6("legitimate_confidence").alias("legitimate_confidence"), "sender_domain", "base_domain",
+                    "trusted_sender", *[f[n].alias(n) for n in K.ENGINEERED_FEATURES],
+                    F.array_join("explanation_summary", " | ").alias("explanation_summary"), "linear_summary")
+
+
+@register("message_attributions", _MAIL + "SELECT row_id AS uid, CAST(rk AS INT) AS rank, feature, weight FROM mail_attr")
+def q_message_attributions(spark, sf_dir):
+    c = _classified(spark, sf_dir)
+    a = c.select("uid", F.posexplode("linear_features").alias("p", "x"))
+    return a.select("uid", (F.col("p") + 1).cast("int").alias("rank"), "x.feature", F.col("x.weight").alias("weight"))
+
+
+@register("inbox_summary", _MAIL + """
+SELECT count(*) AS count, count_if(predicted = 'phishing') AS phishing, count_if(predicted = 'legitimate') AS legitimate
+FROM mail_scored""")
+def q_inbox_summary(spark, sf_dir):
+    return MT.inbox_summary(_classified(spark, sf_dir))
+
+
+@register("phishing_view", _MAIL + "SELECT row_id AS uid, sender_domain FROM (SELECT *, sd AS sender_domain FROM mail_scored) WHERE predicted = 'phishing'")
+def q_phishing_view(spark, sf_dir):
+    return CL.by_prediction(_classified(spark, sf_dir), K.PHISHING).select("uid", "sender_domain")
+
+
+@register("new_messages", Q.with_ctes() + """
+SELECT uid, sender, subject FROM mail WHERE uid > (SELECT CAST(floor(avg(doc_id)) AS BIGINT) FROM labels)""")
+def q_new_messages(spark, sf_dir):
+    # last seen uid: a high-water mark derived from the labels table
+    last = S.table(spark, sf_dir, "labels").agg(F.floor(F.avg("doc_id"))).first()[0]
+    return CL.new_messages(S.mail_view(spark, sf_dir), last).select("uid", "sender", "subject")
+
+
+@register("cumulative_corpora", Q.with_ctes(Q.clean_corpus_cte()) + """
+SELECT s.stage, v.label, count(*) AS count FROM valid v
+JOIN (VALUES (1), (2), (3), (4), (5)) s(stage) ON v.source_rank + 1 <= s.stage GROUP BY s.stage, v.label""")
+def q_cumulative_corpora(spark, sf_dir):
+    raw = S.corpus_view(spark, sf_dir)
+    once = raw.select("row_id", "source_rank", "source", T.clean_text("raw_text").alias("text"),
+                      T.normalise_label("raw_label").alias("label"))
+    staged = C.cumulative_corpora(C.valid_rows(once), 5)
+    return staged.groupBy("stage", "label").agg(F.count(F.lit(1)).alias("count"))

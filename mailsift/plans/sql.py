@@ -255,3 +255,67 @@ def text_model_ctes(source: str = "dedup") -> list[str]:
     return [split_cte(source), tf_cte("tf_train", "train"), vocab_cte("tf_train", "train"),
             tf_cte("tf_all", source), tfidf_cte("tfidf", "tf_all"), engineered_pairs_cte("eng", source),
             "feats AS (SELECT * FROM tfidf UNION ALL SELECT * FROM eng)", nb_cte("train"), scores_cte("test")]
+
+
+def margins_cte(name: str, docs: str, feats: str, label_col: str | None = "label") -> str:
+    lab = f", d.{label_col} AS actual" if label_col else ""
+    grp = f", d.{label_col}" if label_col else ""
+    return f"""
+{name} AS (SELECT d.row_id{lab}, coalesce(sum(f.w * c.coefficient), 0) + (SELECT intercept FROM prior) AS margin
+           FROM {docs} d LEFT JOIN {feats} f ON f.row_id = d.row_id LEFT JOIN coef c ON c.ix = f.ix
+           GROUP BY d.row_id{grp})"""
+
+
+def attributions_cte(name: str, feats: str, preds: str) -> str:
+    """name(row_id, rk, feature, weight): top 6 of coef * x toward the prediction."""
+    return f"""
+{name}_c AS (SELECT f.row_id, f.ix, f.w * c.coefficient AS c,
+                    CASE WHEN p.predicted = 'legitimate' THEN -1.0 ELSE 1.0 END AS sgn
+             FROM {feats} f JOIN coef c ON c.ix = f.ix JOIN {preds} p ON p.row_id = f.row_id),
+{name}_r AS (SELECT row_id, ix, round(c * sgn, 4) AS weight,
+                    row_number() OVER (PARTITION BY row_id ORDER BY abs(round(c, 4)) DESC, ix) AS rk
+             FROM {name}_c WHERE abs(c) >= {K.ATTRIBUTION_EPS}),
+{name} AS (SELECT r.row_id, r.rk, g.feature, r.weight FROM {name}_r r JOIN grid g ON g.ix = r.ix WHERE r.rk <= {K.ATTRIBUTION_TOP})"""
+
+
+def sentence_expr(attr: str, preds: str) -> str:
+    """Linear-attribution sentence per row of `preds` (row_id, predicted)."""
+    from ..functions.scores import LINEAR_SENTENCES as S
+    (pl, pf), (ll, lf) = S["phishing"], S["legitimate"]
+    names = (f"(SELECT string_agg(feature, ', ' ORDER BY rk) FROM (SELECT feature, rk FROM {attr} a "
+             f"WHERE a.row_id = p.row_id AND a.weight > 0 ORDER BY rk LIMIT {K.SENTENCE_TOP}))")
+    return (f"CASE WHEN p.predicted = 'phishing' THEN CASE WHEN {names} IS NULL THEN {q(pf)} ELSE {q(pl)} || {names} || '.' END "
+            f"ELSE CASE WHEN {names} IS NULL THEN {q(lf)} ELSE {q(ll)} || {names} || '.' END END")
+
+
+def mail_ctes() -> list[str]:
+    """Mail messages through the fixture model: mail_scored(row_id, sender, ctext,
+    sd, bd, margin, predicted, trusted) + mail_attr."""
+    return [f"""
+mail_docs AS (SELECT uid AS row_id, sender, {clean_text(serving_text('subject', 'sender', 'body'))} AS ctext,
+                     {sender_domain('sender')} AS sd FROM mail),
+mail_clean AS (SELECT *, {base_domain('sd')} AS bd FROM mail_docs)""",
+            tf_cte("tf_mail", "mail_clean", "ctext"), tfidf_cte("mtfidf", "tf_mail"),
+            engineered_pairs_cte("meng", "mail_clean", "ctext"),
+            "mfeats AS (SELECT * FROM mtfidf UNION ALL SELECT * FROM meng)",
+            margins_cte("mail_m", "mail_clean", "mfeats", None),
+            """
+tset AS (SELECT DISTINCT domain FROM trusted WHERE domain IS NOT NULL AND domain <> ''),
+mail_scored AS (SELECT c.*, m.margin, CASE WHEN m.margin > 0 THEN 'phishing' ELSE 'legitimate' END AS predicted,
+                       (c.sd IN (SELECT domain FROM tset) OR c.bd IN (SELECT domain FROM tset)) AS trusted
+                FROM mail_clean c JOIN mail_m m ON m.row_id = c.row_id)""",
+            attributions_cte("mail_attr", "mfeats", "mail_scored")]
+
+
+def reasons_expr(t: str = "ctext") -> str:
+    """Rule reasons joined by ' | ' (display features on the cleaned text)."""
+    ph = [("NOT trusted", K.REASON_UNTRUSTED), (f"{link_count(t)} > 0", K.REASON_LINKS),
+          (f"{has_any(t, K.URGENT_WORDS)} = 1", K.REASON_URGENT), (f"{has_any(t, K.ACCOUNT_WORDS)} = 1", K.REASON_ACCOUNT),
+          (f"{has_any(t, K.PAYMENT_WORDS)} = 1", K.REASON_PAYMENT),
+          (f"{exclamation_count(t)} > {K.EXCLAMATION_LIMIT}", K.REASON_EXCLAIM),
+          (f"round({uppercase_ratio(t)}, 4) > {K.UPPERCASE_LIMIT}", K.REASON_UPPER)]
+    parts = "concat_ws(' | ', " + ", ".join(f"CASE WHEN {c} THEN {q(r)} END" for c, r in ph) + ")"
+    phish = f"CASE WHEN {parts} = '' THEN {q(K.REASON_FALLBACK)} ELSE {parts} END"
+    legit = (f"concat_ws(' | ', {q(K.REASON_NO_INDICATORS)}, CASE WHEN trusted THEN {q(K.REASON_TRUSTED)} END, "
+             f"{q(K.REASON_SAFE_LANGUAGE)})")
+    return f"(CASE WHEN predicted = 'phishing' THEN {phish} ELSE {legit} END)"
