@@ -50,7 +50,7 @@ def model_input(tfidf: DataFrame, text_feats: Column, size: int) -> Column:
 
 
 def featurise(tfidf_model: TfidfModel, df: DataFrame, text: str = "text",
-              feature_text: str | None = None, keep=("label",)) -> DataFrame:
+              feature_text: str | None = None, keep=("label",), engineered: bool = True) -> DataFrame:
     """row_id, *keep, pairs (TF-IDF + engineered). Engineered features are
     computed on ``feature_text`` (default: the same text)."""
     ft = feature_text or text
@@ -59,7 +59,8 @@ def featurise(tfidf_model: TfidfModel, df: DataFrame, text: str = "text",
     base = df.select(*cols)
     base = base.withColumn("_feats", engineered_features(ft))
     t = tfidf_model.transform(base, text, keep=list(dict.fromkeys([*keep, "_feats"])))
-    return t.select("row_id", *keep, model_input(t, F.col("_feats"), tfidf_model.size).alias("pairs"))
+    pairs = model_input(t, F.col("_feats"), tfidf_model.size) if engineered else F.col("pairs")
+    return t.select("row_id", *keep, pairs.alias("pairs"))
 
 
 @dataclass

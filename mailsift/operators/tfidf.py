@@ -94,14 +94,17 @@ class TfidfModel:
         """row_id, *keep, pairs array<struct<ix int, w double>> (sorted by ix, L2 = 1 or empty)."""
         keep = [c for c in keep if c != "row_id"]
         tc = doc_terms(df, text, self.stop_words, self.n_max, keep=["row_id", *keep])
-        x = tc.select("row_id", *keep, F.explode_outer("tc").alias("x"))
+        # carried columns ride on the first exploded row only (nulls elsewhere
+        # cost nothing), so a long document is not copied once per term
+        x = tc.select("row_id", *keep, F.posexplode_outer("tc").alias("_pos", "x"))
+        x = x.select("row_id", *[F.when(F.coalesce(F.col("_pos"), F.lit(0)) == 0, F.col(c)).alias(c) for c in keep], "x")
         voc = F.broadcast(self.vocab_df(df.sparkSession).select("term", "term_ix", "idf"))
         j = x.join(voc, F.col("x.term") == voc["term"], "left")
         tfw = (1.0 + F.log(F.col("x.tf"))) if self.sublinear else F.col("x.tf").cast("double")
         raw = tfw * F.col("idf")
         pair = F.when(F.col("term_ix").isNotNull(), F.struct(F.col("term_ix").alias("ix"), raw.alias("w")))
         g = j.groupBy("row_id").agg(
-            *[F.any_value(c).alias(c) for c in keep],
+            *[F.any_value(c, ignoreNulls=True).alias(c) for c in keep],
             F.array_sort(F.collect_list(pair)).alias("_p"),
             F.sqrt(F.sum(F.when(F.col("term_ix").isNotNull(), raw * raw))).alias("_norm"))
         pairs = F.transform("_p", lambda p: F.struct(p["ix"].alias("ix"), (p["w"] / F.col("_norm")).alias("w")))

@@ -36,6 +36,10 @@ class TextRun:
     corpus: DataFrame                      # row_id, source_rank, source, text, label
     checkpoint: bool = False
     max_features: int = 15000
+    min_df: int = 2
+    sublinear: bool = True
+    engineered: bool = True
+    balanced: bool = True
     _memo: dict = field(default_factory=dict)
 
     def _get(self, key, build):
@@ -57,21 +61,23 @@ class TextRun:
 
     @property
     def tfidf(self) -> TfidfModel:
-        return self._get("tfidf", lambda: TfidfModel.fit(self.train, max_features=self.max_features))
+        return self._get("tfidf", lambda: TfidfModel.fit(self.train, max_features=self.max_features,
+                                                         min_df=self.min_df, sublinear=self.sublinear))
 
     @property
     def names(self) -> list[str]:
-        return MD.feature_names(self.tfidf)
+        return MD.feature_names(self.tfidf) if self.engineered else self.tfidf.feature_names()
 
     @property
     def n_features(self) -> int:
-        return self.tfidf.size + 6
+        return self.tfidf.size + (6 if self.engineered else 0)
 
     @property
     def features(self) -> DataFrame:
         """row_id, label, part, pairs for every document."""
         return self._get("features", lambda: materialise(
-            MD.featurise(self.tfidf, self.parts, keep=("label", "part")), self.checkpoint))
+            MD.featurise(self.tfidf, self.parts, keep=("label", "part"), engineered=self.engineered),
+            self.checkpoint))
 
     @property
     def train_features(self) -> DataFrame:
@@ -87,7 +93,8 @@ class TextRun:
 
     @property
     def lr(self) -> MD.LinearModel:
-        return self._get("lr", lambda: MD.fit_logistic_regression(self.train_features, self.n_features, self.names))
+        return self._get("lr", lambda: MD.fit_logistic_regression(self.train_features, self.n_features, self.names,
+                                                                  balanced=self.balanced))
 
     @property
     def svm(self) -> MD.LinearModel:

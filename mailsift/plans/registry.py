@@ -465,3 +465,122 @@ def q_cumulative_corpora(spark, sf_dir):
                       T.normalise_label("raw_label").alias("label"))
     staged = C.cumulative_corpora(C.valid_rows(once), 5)
     return staged.groupBy("stage", "label").agg(F.count(F.lit(1)).alias("count"))
+
+
+# ------------------------------------------------------------ jobs (rows-only checks: no SQL form)
+
+from ..operators import synth as SY  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from . import jobs as JB  # noqa: E402
+
+
+@register("compare_models")
+def q_compare_models(spark, sf_dir):
+    res, _, best = JB.compare_models(fixture_run(spark, sf_dir))
+    return res.withColumn("is_best", F.col("model") == F.lit(best))
+
+
+@register("learning_curve_nb")
+def q_learning_curve_nb(spark, sf_dir):
+    return JB.learning_curve_nb(fixture_run(spark, sf_dir))
+
+
+@register("dataset_contribution")
+def q_dataset_contribution(spark, sf_dir):
+    raw = S.corpus_view(spark, sf_dir)
+    once = raw.select("row_id", "source_rank", "source", T.clean_text("raw_text").alias("text"),
+                      T.normalise_label("raw_label").alias("label"))
+    names = [" + ".join(S.SOURCE_NAMES[: i + 1]) for i in range(len(S.SOURCE_NAMES))]
+    return JB.contribution(C.valid_rows(once), names)
+
+
+@register("external_scoring")
+def q_external_scoring(spark, sf_dir):
+    """Score an external table (conversation turns: a text column plus others)."""
+    run = fixture_run(spark, sf_dir)
+    ext = S.table(spark, sf_dir, "conversations")
+    return JB.score_external(run.tfidf, run.nb, ext)
+
+
+@register("preset_ablation")
+def q_preset_ablation(spark, sf_dir):
+    """Naive Bayes hold-out metrics under each pipeline preset."""
+    from .pipeline import TextRun, materialise
+    out = None
+    for name, cfg in JB.PRESETS.items():
+        raw = S.corpus_view(spark, sf_dir)
+        if cfg.clean_case:
+            corpus_df = fixture_run(spark, sf_dir).corpus
+        else:
+            strip = T.strip_ws(F.coalesce("raw_text", F.lit("")))
+            corpus_df = materialise(C.dedupe_first(C.valid_rows(raw.select(
+                "row_id", "source_rank", "source", strip.alias("text"), T.normalise_label("raw_label").alias("label")))))
+        run = TextRun(spark, corpus_df, max_features=cfg.max_features or 15000, min_df=cfg.min_df,
+                      sublinear=cfg.sublinear, engineered=cfg.engineered, balanced=cfg.balanced)
+        m = MT.binary_metrics(run.scored(run.nb)).withColumn("preset", F.lit(name))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@register("synthetic_messages")
+def q_synthetic_messages(spark, sf_dir):
+    """One generated message per document (n grows with the documents table)."""
+    n = S.table(spark, sf_dir, "documents").count()
+    return SY.synthetic_messages(spark, n, balanced=True, seed=42)
+
+
+@register("read_corpus_csv")
+def q_read_corpus_csv(spark, sf_dir):
+    """CSV round trip of the raw corpus view (quoted newlines, NA tokens)."""
+    path = scratch_path(spark, "corpus-csv")
+    IO.write_table(S.corpus_view(spark, sf_dir).select("raw_text", "raw_label"), path, "corpus", fmt="csv")
+    return IO.read_corpus(spark, path + "/corpus", ["raw_text", "raw_label"])
+
+
+def _write_eml(spark, sf_dir) -> str:
+    """Mail view -> one RFC-822 file per message (uid=<n>/part-*.txt)."""
+    path = scratch_path(spark, "eml")
+    m = S.mail_view(spark, sf_dir)
+    msg = F.concat(F.lit("From: "), F.coalesce("sender", F.lit("")), F.lit("\r\nSubject: "), F.coalesce("subject", F.lit("")),
+                   F.lit("\r\nMessage-ID: <"), F.col("uid").cast("string"), F.lit("@fixture>\r\n"),
+                   F.lit("Content-Type: text/html; charset=utf-8\r\n\r\n<html><body><p>"),
+                   F.coalesce("body", F.lit("")), F.lit("</p></body></html>"))
+    m.select("uid", msg.alias("value")).write.partitionBy("uid").text(path)
+    return path
+
+
+@register("ingest_messages")
+def q_ingest_messages(spark, sf_dir):
+    path = _write_eml(spark, sf_dir)
+    return IO.ingest_messages(spark, path + "/uid=*/*.txt")
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    """Save and reload the fitted pair; scores must equal the in-memory model's."""
+    run = fixture_run(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    IO.save_model(spark, path, run.tfidf, run.nb)
+    tf2, nb2 = IO.load_model(spark, path)
+    a = run.nb.score(MD.featurise(tf2, run.test), keep=("label",)).select("row_id", F.col("margin").alias("m_loaded"))
+    b = run.scored().select("row_id", "margin")
+    return a.join(b, "row_id").withColumn("equal", F.abs(F.col("m_loaded") - F.col("margin")) < 1e-9)
+
+
+@register("stream_scoring")
+def q_stream_scoring(spark, sf_dir):
+    """Two arrival batches (the second re-delivers every message) scored by
+    the stream; exactly one row per (mailbox, uid) comes out."""
+    from ..streaming.score import score_stream
+    run = fixture_run(spark, sf_dir)
+    root = scratch_path(spark, "stream")
+    ev = S.table(spark, sf_dir, "events").agg(F.min("ts").alias("t0")).first()["t0"]
+    m = S.mail_view(spark, sf_dir).select(F.lit("inbox").alias("mailbox"), "uid", "sender", "subject", "body")
+    m.withColumn("arrival", F.lit(ev)).write.mode("append").parquet(root + "/in")
+    # the whole mailbox is delivered a second time, five minutes later
+    m.withColumn("arrival", F.lit(ev) + F.expr("INTERVAL 5 MINUTES")).write.mode("append").parquet(root + "/in")
+    dom = CL.trusted_domains(S.trusted_view(spark, sf_dir))
+    q = score_stream(spark, root + "/in", root + "/out", root + "/ckpt", run.tfidf, run.nb, dom)
+    q.awaitTermination()
+    return spark.read.parquet(root + "/out").select("mailbox", "uid", "prediction", "phishing_confidence")
