@@ -112,12 +112,13 @@ def with_term_counts(df: DataFrame, text: str, out: str = "tc",
     k = [c for c in keep if c not in (out,)]
     d = df.select(*k, drop_stop_words(tokens(text), stop_words).alias("_tok"))
     d = d.select(*k, F.array_sort(ngrams(F.col("_tok"), n_max)).alias("_s"))
-    prev = F.concat(F.array(F.lit(None).cast("string")), F.slice("_s", 1, F.greatest(F.size("_s") - 1, F.lit(0))))
+    # the array shifted right by one (same length, so zip_with never pads)
+    prev = F.slice(F.concat(F.array(F.lit(None).cast("string")), F.col("_s")), 1, F.size("_s"))
     d = d.select(*k, "_s", F.zip_with("_s", prev, lambda a, b: b.isNull() | (a != b)).alias("_st"))
     d = d.select(*k, F.size("_s").alias("_n"),
                  F.filter(F.zip_with("_s", "_st", lambda t, b: F.when(b, t)), lambda x: x.isNotNull()).alias("_u"),
                  F.filter(F.transform("_st", lambda b, i: F.when(b, i).otherwise(-1)), lambda x: x >= 0).alias("_i"))
-    nxt = F.concat(F.slice("_i", 2, F.greatest(F.size("_i") - 1, F.lit(0))), F.array(F.col("_n")))
+    nxt = F.slice(F.concat(F.col("_i"), F.array(F.col("_n"))), 2, F.size("_i"))   # next run start
     tf = F.zip_with(nxt, "_i", lambda a, b: (a - b).cast("bigint"))
     d = d.select(*k, "_u", tf.alias("_tf"))
     return d.select(*k, F.zip_with("_u", "_tf", lambda t, c: F.struct(t.alias("term"), c.alias("tf"))).alias(out))

@@ -29,11 +29,12 @@ def test_split_exact_disjoint_and_partition_independent(spark):
 def test_cutoffs_match_row_number(spark):
     from pyspark.sql import Window
     df = _data(spark).withColumn("_h", SP.order_hash("row_id", 7))
-    tg = spark.createDataFrame([("legitimate", 0, 1), ("legitimate", 1, 300), ("phishing", 2, 211)],
+    n_ph = df.filter(F.col("label") == "phishing").count()
+    tg = spark.createDataFrame([("legitimate", 0, 1), ("legitimate", 1, 300), ("phishing", 2, n_ph)],
                                "label string, target_id int, k long")
     cuts = {r.target_id: (r.cut_key, r.cut_tie) for r in SP.exact_cutoffs(df, ["label"], tg).collect()}
     rn = df.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("_h", "row_id")))
-    for tid, lab, k in ((0, "legitimate", 1), (1, "legitimate", 300), (2, "phishing", 211)):
+    for tid, lab, k in ((0, "legitimate", 1), (1, "legitimate", 300), (2, "phishing", n_ph)):
         r = rn.filter((F.col("label") == lab) & (F.col("rn") == k)).first()
         assert cuts[tid] == (r["_h"], r["row_id"])
 
@@ -46,7 +47,8 @@ def test_folds_balanced_and_prefixes_nested(spark):
         assert max(vals) - min(vals) <= 1
     p = SP.train_prefixes(f)
     rows = p.groupBy("fold", "size").count().collect()
-    assert all(r["count"] == r["size"] for r in rows)
+    train_n = {fo: f.filter(F.col("fold") != fo).count() for fo in range(5)}
+    assert all(r["count"] == min(r["size"], train_n[r["fold"]]) for r in rows)
     sets = {}
     for r in p.collect():
         sets.setdefault((r.fold, r.size), set()).add(r.row_id)
