@@ -103,16 +103,22 @@ def contribution(corpus_by_source: DataFrame, stage_names: list[str], models=MOD
                  max_features: int = 15000) -> DataFrame:
     """Rows: dataset, model, accuracy, precision, recall, f1. Stage s holds the
     first s sources, re-cleaned, not deduplicated; single-class stages are skipped."""
+    from concurrent.futures import ThreadPoolExecutor
     spark = corpus_by_source.sparkSession
     staged = C.cumulative_corpora(corpus_by_source, len(stage_names)).persist()
-    out = []
-    for s, name in enumerate(stage_names, start=1):
+
+    def one(s_name):
+        s, name = s_name
         df = staged.filter(F.col("stage") == s).drop("stage")
         if not C.require_two_classes(df, on_fail="skip"):
-            continue
+            return None
         run = TextRun(spark, df, max_features=max_features)
         res, _, _ = compare_models(run, models)
-        out.append(res.withColumn("dataset", F.lit(name)))
+        return res.withColumn("dataset", F.lit(name)).persist()
+
+    # independent stages: their jobs overlap from a small driver thread pool
+    with ThreadPoolExecutor(max_workers=min(4, len(stage_names))) as pool:
+        out = [r for r in pool.map(one, list(enumerate(stage_names, start=1))) if r is not None]
     if not out:
         return spark.createDataFrame([], "dataset string, model string, accuracy double, precision double, recall double, f1 double")
     u = out[0]
@@ -128,13 +134,13 @@ def score_external(tfidf: TfidfModel, model: MD.LinearModel, df: DataFrame, text
     phishing_confidence is null for models without probabilities."""
     cols = [c for c in df.columns if c != text]
     d = df.select(*cols, clean_text(text).alias(text))
+    # ids assigned once, before any shuffle; every other column rides along
     d = C.nonempty(d, text).withColumn("row_id", F.monotonically_increasing_id())
-    feats = MD.featurise(tfidf, d, text=text, keep=[*cols])
-    s = feats.select("row_id", *cols, model.margin().alias("_m"))
+    feats = MD.featurise(tfidf, d, text=text, keep=[*cols, text])
+    s = feats.select(*cols, text, model.margin().alias("_m"))
     conf = F.lit(None).cast("double") if not model.has_proba else 1.0 / (1.0 + F.exp(-F.col("_m")))
-    s = s.select("row_id", *cols, F.when(F.col("_m") > 0, F.lit(PHISHING)).otherwise(F.lit(LEGITIMATE)).alias("predicted_label"),
-                 conf.alias("phishing_confidence"))
-    return s.join(d.select("row_id", text), "row_id").drop("row_id")
+    return s.select(*cols, text, F.when(F.col("_m") > 0, F.lit(PHISHING)).otherwise(F.lit(LEGITIMATE)).alias("predicted_label"),
+                    conf.alias("phishing_confidence"))
 
 
 # ------------------------------------------------------------ presets
