@@ -31,17 +31,30 @@ def collapse_ws(col: Column | str) -> Column:
     return F.regexp_replace(_c(col), WS, " ")
 
 
+# the 29 characters Python's str.isspace() accepts (= the WS class above)
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_ws(col: Column | str) -> Column:
-    """Python ``str.strip()``: drop leading/trailing whitespace of any kind."""
-    return F.regexp_replace(_c(col), "^" + WS + "|" + WS + "$", "")
+    """Python ``str.strip()``: drop leading/trailing whitespace of any kind
+    (a character-set trim, no regex)."""
+    return F.trim(_c(col), F.lit(PY_WHITESPACE))
 
 
 def clean_text(col: Column | str) -> Column:
     """null -> ''; whitespace runs -> one blank; drop glued header labels;
     strip; lower. One pass; apply it as many times as the pipeline does."""
     t = collapse_ws(F.coalesce(_c(col), F.lit("")))
+    low = F.lower(t)
+    hit = None
+    stripped = t
     for label in HEADER_LABELS:
-        t = F.regexp_replace(t, rf"(?iu)(?<!{WORD}){label}:(?={WORD})", " ")
+        stripped = F.regexp_replace(stripped, rf"(?iu)(?<!{WORD}){label}:(?={WORD})", " ")
+        h = low.contains(label + ":")
+        hit = h if hit is None else (hit | h)
+    # the label regexes only run on texts that contain a label at all
+    t = F.when(hit, stripped).otherwise(t)
     # after the collapse only plain blanks can sit at the ends
     return F.lower(F.trim(t))
 
@@ -111,7 +124,7 @@ def with_term_counts(df: DataFrame, text: str, out: str = "tc",
     keep = list(df.columns if keep is None else keep)
     k = [c for c in keep if c not in (out,)]
     d = df.select(*k, drop_stop_words(tokens(text), stop_words).alias("_tok"))
-    d = d.select(*k, F.array_sort(ngrams(F.col("_tok"), n_max)).alias("_s"))
+    d = d.select(*k, F.sort_array(ngrams(F.col("_tok"), n_max)).alias("_s"))   # natural order, no comparator lambda
     # the array shifted right by one (same length, so zip_with never pads)
     prev = F.slice(F.concat(F.array(F.lit(None).cast("string")), F.col("_s")), 1, F.size("_s"))
     d = d.select(*k, "_s", F.zip_with("_s", prev, lambda a, b: b.isNull() | (a != b)).alias("_st"))

@@ -39,3 +39,7 @@ def test_term_counts_in_row(spark):
     df = spark.createDataFrame([(1, "spam spam eggs spam"), (2, ""), (3, "and the")], "row_id long, text string")
     rows = sorted((r.row_id, r.term, r.tf) for r in term_frequencies(df).collect())
     assert rows == [(1, "eggs", 1), (1, "eggs spam", 1), (1, "spam", 3), (1, "spam eggs", 1), (1, "spam spam", 1)]
+
+
+def test_strip_ws_unicode_ends(spark):
+    assert one(spark, T.strip_ws("x"), ["　\x85 a b \x1f", "\xa0"]) == ["a b", ""]
