@@ -56,8 +56,10 @@ def exclamation_count(col: Column | str) -> Column:
 def uppercase_ratio(col: Column | str) -> Column:
     """Upper-case letters / letters; 0.0 when there is no letter."""
     t = _text(col)
-    letters = F.regexp_count(t, F.lit(r"\p{L}"))
-    upper = F.regexp_count(t, F.lit(r"\p{Lu}"))
+    n = F.length(t)
+    # count by deleting whole runs (one match per word, not per letter)
+    letters = n - F.length(F.regexp_replace(t, r"\p{L}+", ""))
+    upper = n - F.length(F.regexp_replace(t, r"\p{Lu}+", ""))
     return F.when(letters > 0, upper / letters).otherwise(F.lit(0.0)).cast("double")
 
 
