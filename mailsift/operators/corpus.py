@@ -105,15 +105,36 @@ def dedupe_first(df: DataFrame) -> DataFrame:
                       F.col("_f.source").alias("source"), "text", "label"))
 
 
+def clean_passes(df: DataFrame, src: str, out: str, passes: int) -> DataFrame:
+    """``passes`` cleaning passes, each its own projection (a pass references
+    its input more than once, so nesting them in one expression would repeat
+    the inner passes). Replaces ``src`` by ``out``."""
+    others = [c for c in df.columns if c != src]
+    cur = src
+    for i in range(passes):
+        nxt = f"_clean{i}"
+        df = df.select(*others, clean_text(cur).alias(nxt))
+        cur = nxt
+    return df.withColumnRenamed(cur, out)
+
+
+def valid_raw(df: DataFrame, text: str, label: str) -> DataFrame:
+    """Rows that will be valid after cleaning, decided on the raw columns:
+    cleaning only empties a text that is all whitespace (a header label is
+    removed only when a word follows it), so this cheap predicate equals the
+    filter on the cleaned text - and it is pushed to the scan instead of
+    repeating the cleaning inside the filter."""
+    from ..functions.text import strip_ws
+    return df.filter((strip_ws(F.coalesce(F.col(text), F.lit(""))) != "") & normalise_label(label).isin(*CLASSES))
+
+
 def build_corpus(raw: DataFrame, passes: int = 2) -> DataFrame:
     """Raw single-text view (row_id, source_rank, source, raw_text, raw_label)
     -> cleaned, valid, deduplicated canonical corpus."""
-    text = F.col("raw_text")
-    for _ in range(passes):
-        text = clean_text(text)
-    df = raw.select("row_id", "source_rank", "source", text.alias("text"),
-                    normalise_label("raw_label").alias("label"))
-    return dedupe_first(valid_rows(df))
+    df = valid_raw(raw, "raw_text", "raw_label").select(
+        "row_id", "source_rank", "source", "raw_text", normalise_label("raw_label").alias("label"))
+    df = clean_passes(df, "raw_text", "text", passes).select(*CANONICAL)
+    return dedupe_first(df)
 
 
 def label_index(col: str = "label"):

@@ -528,7 +528,7 @@ def q_preset_ablation(spark, sf_dir):
 def q_synthetic_messages(spark, sf_dir):
     """One generated message per document (n grows with the documents table)."""
     n = S.table(spark, sf_dir, "documents").count()
-    return SY.synthetic_messages(spark, n, balanced=True, seed=42)
+    return SP.seeded_shuffle(SY.synthetic_messages(spark, n, balanced=True, seed=42))
 
 
 @register("read_corpus_csv")
@@ -585,3 +585,70 @@ def q_stream_scoring(spark, sf_dir):
     q = score_stream(spark, root + "/in", root + "/out", root + "/ckpt", run.tfidf, run.nb, dom)
     q.awaitTermination()
     return spark.read.parquet(root + "/out").select("mailbox", "uid", "prediction", "phishing_confidence")
+
+
+@register("local_surrogate")
+def q_local_surrogate(spark, sf_dir):
+    """Local surrogate explanations for every stored message (bodies capped at
+    5,000 characters as at ingestion); 32 perturbed copies per message."""
+    from ..operators import surrogate as SG
+    run = fixture_run(spark, sf_dir)
+    msgs = S.mail_view(spark, sf_dir).withColumn("body", M.cap_body("body"))
+    c = CL.classify_messages(run.tfidf, run.nb, msgs, CL.trusted_domains(S.trusted_view(spark, sf_dir)))
+    out = SG.local_surrogate(run.tfidf, run.nb, c, n_samples=32)
+    return out.select("uid", F.array_join(F.transform("surrogate_features", lambda x: x["feature"]), ", ").alias("features"),
+                      "surrogate_summary")
+
+
+# ------------------------------------------------------------ canonical sources (P1-P4, F2, U1, W1)
+
+def _conv_view(spark, sf_dir):
+    c = S.table(spark, sf_dir, "conversations")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.col("role").alias("sender"),
+                    F.col("turn").cast("string").alias("subject"), F.col("text").alias("body"),
+                    F.when(F.col("role") == "user", F.lit("spam")).otherwise(F.lit("ham")).alias("raw_label"))
+
+
+def _sources_sql():
+    cl, nl = Q.clean_text, Q.normalise_label
+    fin = lambda t: f"{cl(t)}"
+    return Q.with_ctes("""
+conv AS (SELECT conv_id * 1000 + turn AS row_id, role AS sender, CAST(turn AS VARCHAR) AS subject, text AS body,
+                CASE WHEN role = 'user' THEN 'spam' ELSE 'ham' END AS raw_label FROM conversations)""") + f"""
+, a0 AS (SELECT row_id, 0 AS source_rank, 'corpus' AS source, raw_text AS text, raw_label AS label FROM corpus),
+a AS (SELECT row_id, source_rank, source, {fin('text')} AS text, {nl('label')} AS label FROM a0),
+b0 AS (SELECT uid AS row_id, 1 AS source_rank, 'mail' AS source,
+              trim(concat_ws(' ', {cl('subject')}, {cl('body')}), ' ') AS text, 'legitimate' AS label FROM mail),
+b AS (SELECT row_id, source_rank, source, {fin('text')} AS text, {nl('label')} AS label FROM b0),
+c0 AS (SELECT row_id, 2 AS source_rank, 'turns' AS source,
+              trim(concat_ws(' ', {cl('sender')}, {cl('subject')}, {cl('body')}), ' ') AS text, {nl('raw_label')} AS label FROM conv),
+c AS (SELECT row_id, source_rank, source, {fin('text')} AS text, {nl('label')} AS label FROM c0 WHERE label = 'phishing'),
+u AS (SELECT * FROM a WHERE text <> '' AND label IN ('legitimate', 'phishing')
+      UNION ALL SELECT * FROM b WHERE text <> '' AND label IN ('legitimate', 'phishing')
+      UNION ALL SELECT * FROM c WHERE text <> '' AND label IN ('legitimate', 'phishing')),
+f AS (SELECT row_id, source_rank, source, {cl('text')} AS text, {nl('label')} AS label FROM u),
+fv AS (SELECT * FROM f WHERE text <> '' AND label IN ('legitimate', 'phishing'))
+SELECT row_id, source, text, label FROM (
+  SELECT *, row_number() OVER (PARTITION BY text, label ORDER BY source_rank, row_id) AS rn FROM fv) WHERE rn = 1"""
+
+
+@register("canonical_sources", _sources_sql())
+def q_canonical_sources(spark, sf_dir):
+    a = C.canonicalise(S.corpus_view(spark, sf_dir), C.SourceSpec("corpus", 0, ("raw_text",), label_col="raw_label"))
+    b = C.canonicalise(S.mail_view(spark, sf_dir).withColumnRenamed("uid", "row_id"),
+                       C.SourceSpec("mail", 1, ("subject", "body"), constant_label=K.LEGITIMATE))
+    c = C.canonicalise(_conv_view(spark, sf_dir),
+                       C.SourceSpec("turns", 2, ("sender", "subject", "body"), label_col="raw_label", keep_label=K.PHISHING))
+    return C.dedupe_first(C.finalise(C.combine([a, b, c]))).select("row_id", "source", "text", "label")
+
+
+@register("stream_summary")
+def q_stream_summary(spark, sf_dir):
+    """Running counts per prediction over the stream-scored output (T3)."""
+    from ..streaming.score import stream_summary
+    scored = q_stream_scoring(spark, sf_dir)
+    root = scratch_path(spark, "summary")
+    scored.write.mode("overwrite").parquet(root + "/scored")
+    name = "inbox_summary_" + root.rsplit("-", 1)[-1]
+    stream_summary(spark, root + "/scored", root + "/ckpt", name).awaitTermination()
+    return spark.table(name)
