@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.features import display_features, engineered_features
+from ..functions.features import display_features
 from ..functions.message import base_domain, sender_domain, serving_text
 from ..functions.scores import clamp_confidence, predicted_label, rule_reasons, sigmoid
 from ..functions.text import clean_text, strip_ws
@@ -62,14 +62,16 @@ def classify_messages(tfidf: TfidfModel, model: LinearModel, msgs: DataFrame, do
                        sender_domain("sender").alias("sender_domain"))
     base = base.withColumn("base_domain", base_domain("sender_domain"))
     keep2 = [*keep, "cleaned_text", "sender_domain", "base_domain"]
-    feats = featurise(tfidf, base.withColumnRenamed("uid", "row_id"), text="cleaned_text", keep=keep2)
-    scored = feats.select("row_id", *keep2, "pairs", model.margin().alias("margin"))
+    feats = featurise(tfidf, base.withColumnRenamed("uid", "row_id"), text="cleaned_text", keep=keep2,
+                      with_struct=True)
+    scored = feats.select("row_id", *keep2, "pairs", "engineered", model.margin().alias("margin"))
     scored = scored.withColumn("prediction", predicted_label("margin"))
     conf = sigmoid("margin") if model.has_proba else clamp_confidence("margin")
     scored = (scored.withColumn("phishing_confidence", conf)
                     .withColumn("legitimate_confidence", 1.0 - F.col("phishing_confidence")))
     scored = mark_trusted(scored, domains)
-    scored = scored.withColumn("engineered_features", display_features(engineered_features("cleaned_text")))
+    # the model's own feature struct, in display form (computed once)
+    scored = scored.withColumn("engineered_features", display_features("engineered")).drop("engineered")
     scored = scored.withColumn("explanation_summary",
                                rule_reasons("prediction", "trusted_sender", "engineered_features"))
     scored = scored.withColumn("linear_features",

@@ -50,7 +50,8 @@ def model_input(tfidf: DataFrame, text_feats: Column, size: int) -> Column:
 
 
 def featurise(tfidf_model: TfidfModel, df: DataFrame, text: str = "text",
-              feature_text: str | None = None, keep=("label",), engineered: bool = True) -> DataFrame:
+              feature_text: str | None = None, keep=("label",), engineered: bool = True,
+              with_struct: bool = False) -> DataFrame:
     """row_id, *keep, pairs (TF-IDF + engineered). Engineered features are
     computed on ``feature_text`` (default: the same text)."""
     ft = feature_text or text
@@ -60,7 +61,8 @@ def featurise(tfidf_model: TfidfModel, df: DataFrame, text: str = "text",
     base = base.withColumn("_feats", engineered_features(ft))
     t = tfidf_model.transform(base, text, keep=list(dict.fromkeys([*keep, "_feats"])))
     pairs = model_input(t, F.col("_feats"), tfidf_model.size) if engineered else F.col("pairs")
-    return t.select("row_id", *keep, pairs.alias("pairs"))
+    extra = [F.col("_feats").alias("engineered")] if with_struct else []
+    return t.select("row_id", *keep, pairs.alias("pairs"), *extra)
 
 
 @dataclass
