@@ -49,6 +49,23 @@ def model_input(tfidf: DataFrame, text_feats: Column, size: int) -> Column:
     return F.concat(F.col("pairs"), eng).cast(PAIRS)
 
 
+def counted_terms(tfidf_like, df: DataFrame, text: str = "text", keep=("label",)) -> DataFrame:
+    """One pass over the text: row_id, *keep, _feats (engineered struct), tc
+    (term counts). Persist it to fit and transform without re-tokenising."""
+    from .tfidf import doc_terms
+    base = df.select("row_id", *[c for c in keep if c != "row_id"], text, engineered_features(text).alias("_feats"))
+    stop_words, n_max = tfidf_like
+    return doc_terms(base, text, stop_words, n_max, keep=["row_id", *[c for c in keep if c != "row_id"], "_feats"])
+
+
+def featurise_terms(tfidf_model: TfidfModel, tc: DataFrame, keep=("label",), engineered: bool = True) -> DataFrame:
+    """featurise() from a counted_terms table."""
+    keep = [c for c in keep if c != "row_id"]
+    t = tfidf_model.transform(None, keep=[*keep, "_feats"], tc=tc)
+    pairs = model_input(t, F.col("_feats"), tfidf_model.size) if engineered else F.col("pairs")
+    return t.select("row_id", *keep, pairs.alias("pairs"))
+
+
 def featurise(tfidf_model: TfidfModel, df: DataFrame, text: str = "text",
               feature_text: str | None = None, keep=("label",), engineered: bool = True,
               with_struct: bool = False) -> DataFrame:

@@ -70,13 +70,17 @@ class TfidfModel:
         return len(self.vocab)
 
     @staticmethod
-    def fit(df: DataFrame, text: str = "text", max_features: int | None = MAX_FEATURES,
+    def fit(df: DataFrame | None, text: str = "text", max_features: int | None = MAX_FEATURES,
             min_df: int = MIN_DF, stop_words: Iterable[str] = ENGLISH_STOP_WORDS,
-            n_max: int = NGRAM_MAX, sublinear: bool = True, use_idf: bool = True) -> "TfidfModel":
+            n_max: int = NGRAM_MAX, sublinear: bool = True, use_idf: bool = True,
+            tc: DataFrame | None = None) -> "TfidfModel":
+        """Fit on documents ``df`` or on already counted terms ``tc`` (one row
+        per document with a ``tc`` column, as made by :func:`doc_terms`)."""
         stop_words = tuple(stop_words)
-        tc = doc_terms(df, text, stop_words, n_max)
+        if tc is None:
+            tc = doc_terms(df, text, stop_words, n_max)
         stats = top_terms(document_frequencies(tc), max_features, min_df)
-        n_docs = df.count()
+        n_docs = tc.count()
         rows = sorted(stats.collect(), key=lambda r: r["term"])  # bounded by max_features
         vocab = []
         for ix, r in enumerate(rows):
@@ -90,15 +94,20 @@ class TfidfModel:
             self._df_cache[key] = spark.createDataFrame(self.vocab, VOCAB_SCHEMA)
         return self._df_cache[key]
 
-    def transform(self, df: DataFrame, text: str = "text", keep: Iterable[str] = ()) -> DataFrame:
-        """row_id, *keep, pairs array<struct<ix int, w double>> (sorted by ix, L2 = 1 or empty)."""
+    def transform(self, df: DataFrame | None, text: str = "text", keep: Iterable[str] = (),
+                  tc: DataFrame | None = None) -> DataFrame:
+        """row_id, *keep, pairs array<struct<ix int, w double>> (sorted by ix, L2 = 1 or empty).
+        ``tc``: already counted terms (with the keep columns) instead of ``df``."""
         keep = [c for c in keep if c != "row_id"]
-        tc = doc_terms(df, text, self.stop_words, self.n_max, keep=["row_id", *keep])
+        if tc is None:
+            tc = doc_terms(df, text, self.stop_words, self.n_max, keep=["row_id", *keep])
+        else:
+            tc = tc.select("row_id", *keep, "tc")
         # carried columns ride on the first exploded row only (nulls elsewhere
         # cost nothing), so a long document is not copied once per term
         x = tc.select("row_id", *keep, F.posexplode_outer("tc").alias("_pos", "x"))
         x = x.select("row_id", *[F.when(F.coalesce(F.col("_pos"), F.lit(0)) == 0, F.col(c)).alias(c) for c in keep], "x")
-        voc = F.broadcast(self.vocab_df(df.sparkSession).select("term", "term_ix", "idf"))
+        voc = F.broadcast(self.vocab_df(tc.sparkSession).select("term", "term_ix", "idf"))
         j = x.join(voc, F.col("x.term") == voc["term"], "left")
         tfw = (1.0 + F.log(F.col("x.tf"))) if self.sublinear else F.col("x.tf").cast("double")
         raw = tfw * F.col("idf")

@@ -59,10 +59,18 @@ class TextRun:
     def test(self) -> DataFrame:
         return self.parts.filter(F.col("part") == "test")
 
+    @property
+    def terms(self) -> DataFrame:
+        """Every document tokenised and counted once (+ engineered features)."""
+        from ..functions.constants import ENGLISH_STOP_WORDS, NGRAM_MAX
+        return self._get("terms", lambda: materialise(
+            MD.counted_terms((ENGLISH_STOP_WORDS, NGRAM_MAX), self.parts, keep=("label", "part")), self.checkpoint))
+
     @property
     def tfidf(self) -> TfidfModel:
-        return self._get("tfidf", lambda: TfidfModel.fit(self.train, max_features=self.max_features,
-                                                         min_df=self.min_df, sublinear=self.sublinear))
+        tc = self.terms.filter(F.col("part") == "train")
+        return self._get("tfidf", lambda: TfidfModel.fit(None, max_features=self.max_features,
+                                                         min_df=self.min_df, sublinear=self.sublinear, tc=tc))
 
     @property
     def names(self) -> list[str]:
@@ -76,7 +84,7 @@ class TextRun:
     def features(self) -> DataFrame:
         """row_id, label, part, pairs for every document."""
         return self._get("features", lambda: materialise(
-            MD.featurise(self.tfidf, self.parts, keep=("label", "part"), engineered=self.engineered),
+            MD.featurise_terms(self.tfidf, self.terms, keep=("label", "part"), engineered=self.engineered),
             self.checkpoint))
 
     @property
