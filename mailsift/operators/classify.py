@@ -54,14 +54,18 @@ def mark_trusted(msgs: DataFrame, domains: DataFrame, sd: str = "sender_domain",
 
 
 def classify_messages(tfidf: TfidfModel, model: LinearModel, msgs: DataFrame, domains: DataFrame,
-                      toward_prediction: bool = True, keep=("sender", "subject", "body")) -> DataFrame:
+                      toward_prediction: bool = True, keep=("sender", "subject", "body"),
+                      with_text: bool = False) -> DataFrame:
+    """Enriched rows; ``with_text`` also returns the cleaned serving text
+    (the local surrogate explainer needs it)."""
     keep = [c for c in keep if c in msgs.columns]
     base = msgs.select("uid", *keep,
                        serving_text("subject", "sender", "body").alias("_text"))
     base = base.select("uid", *keep, clean_text("_text").alias("cleaned_text"),
                        sender_domain("sender").alias("sender_domain"))
     base = base.withColumn("base_domain", base_domain("sender_domain"))
-    keep2 = [*keep, "cleaned_text", "sender_domain", "base_domain"]
+    # the cleaned text is consumed by the features; it is not carried through the regroup
+    keep2 = [*keep, "sender_domain", "base_domain", *(["cleaned_text"] if with_text else [])]
     feats = featurise(tfidf, base.withColumnRenamed("uid", "row_id"), text="cleaned_text", keep=keep2,
                       with_struct=True)
     scored = feats.select("row_id", *keep2, "pairs", "engineered", model.margin().alias("margin"))

@@ -594,7 +594,8 @@ def q_local_surrogate(spark, sf_dir):
     from ..operators import surrogate as SG
     run = fixture_run(spark, sf_dir)
     msgs = S.mail_view(spark, sf_dir).withColumn("body", M.cap_body("body"))
-    c = CL.classify_messages(run.tfidf, run.nb, msgs, CL.trusted_domains(S.trusted_view(spark, sf_dir)))
+    c = CL.classify_messages(run.tfidf, run.nb, msgs, CL.trusted_domains(S.trusted_view(spark, sf_dir)),
+                             with_text=True)
     out = SG.local_surrogate(run.tfidf, run.nb, c, n_samples=32)
     return out.select("uid", F.array_join(F.transform("surrogate_features", lambda x: x["feature"]), ", ").alias("features"),
                       "surrogate_summary")
