@@ -193,7 +193,7 @@ def q_term_frequencies(spark, sf_dir):
 
 
 @register("document_frequencies", Q.with_ctes(_CORPUS, Q.tf_cte("tf_all", "dedup")) +
-          "SELECT term, count(*) AS df, sum(tf) AS corpus_tf FROM tf_all GROUP BY term HAVING count(*) >= 2")
+          "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS corpus_tf FROM tf_all GROUP BY term HAVING count(*) >= 2")
 def q_document_frequencies(spark, sf_dir):
     stats = TF.document_frequencies(TF.doc_terms(corpus(spark, sf_dir)))
     return TF.top_terms(stats, None, 2)
@@ -228,7 +228,7 @@ prank AS (SELECT row_id, fold, row_number() OVER (PARTITION BY fold
 
 
 @register("train_prefixes", Q.with_ctes(_CORPUS, Q.split_cte(), _FOLDS, _PREFIX) +
-          "SELECT row_id, fold, size FROM prank CROSS JOIN sizes WHERE rk <= size")
+          "SELECT row_id, fold, CAST(size AS INT) AS size FROM prank CROSS JOIN sizes WHERE rk <= size")
 def q_train_prefixes(spark, sf_dir):
     folded = SP.stratified_folds(fixture_run(spark, sf_dir).train)
     return SP.train_prefixes(folded)
@@ -437,7 +437,8 @@ def q_message_attributions(spark, sf_dir):
 
 
 @register("inbox_summary", _MAIL + """
-SELECT count(*) AS count, count_if(predicted = 'phishing') AS phishing, count_if(predicted = 'legitimate') AS legitimate
+SELECT count(*) AS count, CAST(count_if(predicted = 'phishing') AS BIGINT) AS phishing,
+       CAST(count_if(predicted = 'legitimate') AS BIGINT) AS legitimate
 FROM mail_scored""")
 def q_inbox_summary(spark, sf_dir):
     return MT.inbox_summary(_classified(spark, sf_dir))

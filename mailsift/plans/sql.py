@@ -164,7 +164,7 @@ def tf_cte(name: str, docs: str, text: str = "text") -> str:
 
 def vocab_cte(tf: str, docs: str, max_features: int = K.MAX_FEATURES, min_df: int = K.MIN_DF) -> str:
     return f"""
-vstats AS (SELECT term, count(*) AS df, sum(tf) AS corpus_tf FROM {tf} GROUP BY term HAVING count(*) >= {min_df}),
+vstats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS corpus_tf FROM {tf} GROUP BY term HAVING count(*) >= {min_df}),
 vtop AS (SELECT * FROM vstats ORDER BY corpus_tf DESC, term LIMIT {max_features}),
 vocab AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INT) AS term_ix, df, corpus_tf,
                  ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf
