@@ -51,7 +51,9 @@ def clean_text(col: Column | str) -> Column:
     stripped = t
     for label in HEADER_LABELS:
         stripped = F.regexp_replace(stripped, rf"(?iu)(?<!{WORD}){label}:(?={WORD})", " ")
-        h = low.contains(label + ":")
+        # detection only: a literal-first pattern (Boyer-Moore search) for a
+        # label glued to a word; "Subject: x" never triggers the exact pass
+        h = low.rlike(rf"{label}:(?={WORD})")
         hit = h if hit is None else (hit | h)
     # the label regexes only run on texts that contain a label at all
     t = F.when(hit, stripped).otherwise(t)
