@@ -67,9 +67,9 @@ def q_label_value_counts(spark, sf_dir):
 @register("corpus_valid", Q.with_ctes(Q.clean_corpus_cte()) + "SELECT row_id, source, text, label FROM valid")
 def q_corpus_valid(spark, sf_dir):
     raw = S.corpus_view(spark, sf_dir)
-    df = raw.select("row_id", "source", T.clean_text(T.clean_text("raw_text")).alias("text"),
-                    T.normalise_label("raw_label").alias("label"))
-    return C.valid_rows(df)
+    df = C.valid_raw(raw, "raw_text", "raw_label").select(
+        "row_id", "source", "raw_text", T.normalise_label("raw_label").alias("label"))
+    return C.clean_passes(df, "raw_text", "text", 2).select("row_id", "source", "text", "label")
 
 
 @register("corpus_dedupe", Q.with_ctes(Q.clean_corpus_cte()) + "SELECT row_id, source_rank, source, text, label FROM dedup")
@@ -100,10 +100,9 @@ UNION ALL SELECT 'valid', source, count(*) FROM valid GROUP BY source
 UNION ALL SELECT 'deduplicated', source, count(*) FROM dedup GROUP BY source""")
 def q_funnel(spark, sf_dir):
     raw = S.corpus_view(spark, sf_dir)
-    cleaned = raw.select("row_id", "source_rank", "source",
-                         T.clean_text(T.clean_text("raw_text")).alias("text"),
-                         T.normalise_label("raw_label").alias("label"))
-    valid = C.valid_rows(cleaned)
+    valid = C.valid_raw(raw, "raw_text", "raw_label").select(
+        "row_id", "source_rank", "source", "raw_text", T.normalise_label("raw_label").alias("label"))
+    valid = C.clean_passes(valid, "raw_text", "text", 2)
     return C.funnel([("raw", raw), ("valid", valid), ("deduplicated", C.dedupe_first(valid))])
 
 
