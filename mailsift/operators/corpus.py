@@ -70,9 +70,11 @@ def canonicalise(df: DataFrame, spec: SourceSpec) -> DataFrame:
 
 
 def finalise(df: DataFrame) -> DataFrame:
-    """One cleaning pass on text and label, then keep valid rows (F1)."""
-    out = df.withColumn("text", clean_text("text")).withColumn("label", normalise_label("label"))
-    return valid_rows(out)
+    """One cleaning pass on text and label, keeping valid rows (F1). Validity
+    is decided on the input (see valid_raw), so the filter never repeats the
+    cleaning."""
+    out = valid_raw(df, "text", "label")
+    return out.withColumn("text", clean_text("text")).withColumn("label", normalise_label("label"))
 
 
 def valid_rows(df: DataFrame) -> DataFrame:
