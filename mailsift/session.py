@@ -39,16 +39,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and stream checkpoints.
 
     On a cluster this is the ``spark.checkpoint.dir`` the launcher names (a
-    shared file system). Only when the session has none (unit tests) do we
-    make a private scratch folder, and register it.
+    shared file system); without one we refuse, because executors would write
+    to their own disks. Only a local master (unit tests) gets a private folder.
     """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="mailsift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root
 
 
