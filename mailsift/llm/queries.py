@@ -35,3 +35,25 @@ def op7(spark, sf_dir):
     from .simhash import fingerprint_hex, near_duplicates
     return near_duplicates(load(spark, sf_dir, "documents")).select(
         "doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
+
+
+@query("op4_subset_sum_mixing")
+def op4(spark, sf_dir):
+    from .mixing import mix
+    rows = mix(load(spark, sf_dir, "documents"))
+    nth = rows.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    taken = F.col("size") * (F.col("whole") + F.when(F.col("nth") <= F.col("extra"), 1).otherwise(0))
+    return nth.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+@query("op10_randomness_secrets")
+def op10(spark, sf_dir):
+    from .secrets import fit, scan
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan(docs, fit(docs))
+    joined = lambda spans: F.concat_ws(",", F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
