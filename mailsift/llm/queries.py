@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality_rules
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,20 @@ def op10(spark, sf_dir):
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
                         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op9_bigru_language")
+def op9(spark, sf_dir):
+    from .common import crc_bucket
+    from .langid import fit, identify
+    docs = load(spark, sf_dir, "documents")
+    held = crc_bucket("doc_id", 5) == 0
+    model = fit(docs.filter(~held))
+    return identify(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_line_first_rules", quality_rules.SQL)
+def op3(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return quality_rules.quality_rules(docs, keep=["doc_id"], clean_text=False).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines_removed", "kept")
