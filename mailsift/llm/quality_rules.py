@@ -21,7 +21,7 @@ MOST_SYMBOLS = 0.10  # punctuation: share of symbol characters
 MOST_SHOUTS = 0.06  # punctuation: share of doubled exclamation and question marks
 SEPARATORS = r"(?:[|»›•·].*){3}"  # navigation: a row of items between separators
 SHOUTING = r"\p{Lu}\P{Lu}*\p{Lu}\P{Lu}*\p{Lu}\P{Lu}*\p{Lu}\P{Lu}*\p{Lu}"  # with no lower-case letter at all
-STUTTER = 2  # a word that follows itself this often
+MOST_STUTTER = 20  # per cent of the words: words followed by themselves
 BOILERPLATE = (r"(?i)all rights reserved|privacy policy|terms of (use|service)|cookie (policy|settings)|accept (all )?cookies"
                r"|enable javascript|lorem ipsum|click here|subscribe to our|sign up for our|skip to content|back to top")
 #: Share of a document's characters that removed lines may hold.
@@ -67,9 +67,10 @@ def line_fails(s: Column) -> Column:
     def share(pattern: str) -> Column:
         return (F.length(s) - F.length(F.regexp_replace(s, pattern, ""))) / F.length(s)
 
-    stutter = r"(?<!\S)(\S+)(?:\s+\1){%d}(?!\S)" % STUTTER
+    stutter = F.regexp_count(s, F.lit(r"(?<!\S)(\S+)(?=\s+\1(?!\S))"))
     return (s.rlike(SEPARATORS) | (share(SYMBOLS + "+") > MOST_SYMBOLS) | (share("[!?]{2,}") > MOST_SHOUTS)
-            | (s.rlike(SHOUTING) & ~s.rlike(r"\p{Ll}")) | s.rlike(BOILERPLATE) | s.rlike(stutter))
+            | (s.rlike(SHOUTING) & ~s.rlike(r"\p{Ll}")) | s.rlike(BOILERPLATE)
+            | _with(stutter, lambda n: (n > 1) & (100 * n > MOST_STUTTER * F.regexp_count(s, F.lit(r"\S+")))))
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", most_lost: float = MOST_LOST, keep: list[str] | None = None,
@@ -120,14 +121,14 @@ win AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - {WINDOW - 2}), l
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
 rep AS (SELECT doc_id, sum(least({WINDOW}, i - last)) AS n FROM (
           SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -{WINDOW}) AS last FROM twice) GROUP BY doc_id),
-line AS (SELECT doc_id, unnest(ls) AS s FROM w),
+cut AS (SELECT doc_id, s, regexp_extract_all(s, '[^\x20\x09-\x0D]+') AS ws FROM (SELECT doc_id, unnest(ls) AS s FROM w)),
+line AS (SELECT doc_id, s, ws, list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1]) AS again FROM cut),
 judged AS (SELECT doc_id, s, regexp_matches(s, '{SEPARATORS}')
       OR (length(s) - length(regexp_replace(s, '{SYMBOLS}+', '', 'g'))) / length(s) > {MOST_SYMBOLS}
       OR (length(s) - length(regexp_replace(s, '[!?]{{2,}}', '', 'g'))) / length(s) > {MOST_SHOUTS}
       OR (regexp_matches(s, '{SHOUTING}') AND NOT regexp_matches(s, '\p{{Ll}}'))
       OR regexp_matches(s, '{BOILERPLATE}')
-      OR len(list_filter(range(1, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) - {STUTTER - 1}),
-             lambda i: len(list_distinct(regexp_extract_all(s, '[^\x20\x09-\x0D]+')[i:i + {STUTTER}])) = 1)) > 0 AS bad FROM line),
+      OR (len(again) > 1 AND 100 * len(again) > {MOST_STUTTER} * len(ws)) AS bad FROM line),
 lost AS (SELECT doc_id, coalesce(sum(length(s)) FILTER (bad), 0) / sum(length(s)) AS lost,
                 count(*) FILTER (bad) AS lines_removed FROM judged GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
