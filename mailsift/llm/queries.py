@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import blockjoin, quality_rules
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,19 @@ def op3(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     return quality_rules.quality_rules(docs, keep=["doc_id"], clean_text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines_removed", "kept")
+
+
+@query("op6_factorisation_quality")
+def op6(spark, sf_dir):
+    from .common import crc_bucket
+    from .factorisation import KEEP, fit, score
+    docs = load(spark, sf_dir, "documents")
+    held = crc_bucket("doc_id", 4) == 2
+    labels = load(spark, sf_dir, "labels").filter(~held)
+    return score(docs, fit(docs, labels)).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
+
+
+@query("op8_block_matrix_neighbours", blockjoin.SQL)
+def op8(spark, sf_dir):
+    return blockjoin.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
