@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from ..session import scratch_path
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-WORD_RE = re.compile(WORD)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +23,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor makes later stages read the table again
     instead of repeating what led to it.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # the job's shuffle files go when it ends, not at some later collection
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def crc_bucket(column: str, mod: int) -> Column:

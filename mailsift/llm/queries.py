@@ -91,3 +91,9 @@ def op6(spark, sf_dir):
 @query("op8_block_matrix_neighbours", blockjoin.SQL)
 def op8(spark, sf_dir):
     return blockjoin.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op2_interval_tree_dedup")
+def op2(spark, sf_dir):
+    from .repeats import remove_repeats
+    return remove_repeats(load(spark, sf_dir, "documents"), keep_text=False)
