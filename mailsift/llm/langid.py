@@ -16,7 +16,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import least_per_group
@@ -27,7 +27,7 @@ DOCS_PER_LANG, WINDOWS_PER_DOC = 400, 6
 EPOCHS, BATCH, RATE, SEED = 14, 256, 0.01, 42
 UNKNOWN = "und"
 #: Below this probability a document counts as rejected by :func:`accepted`.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 _LETTER = re.compile(r"[^\W\d_]")
 _COLUMNS = 4096  # windows that advance together
 
@@ -264,3 +264,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
                                                  names=[*kept, lang_out, score_out])
 
     return docs.mapInArrow(run, schema)
+
+
+def accepted(lang: str = "lang_pred", score: str = "score") -> Column:
+    """Whether a document's language is known well enough to keep it; texts of
+    two languages have about half the positions in each."""
+    return (F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)

@@ -97,3 +97,14 @@ def op8(spark, sf_dir):
 def op2(spark, sf_dir):
     from .repeats import remove_repeats
     return remove_repeats(load(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query("op5_hmm_transcripts")
+def op5(spark, sf_dir):
+    from .chat import fit, format_chats, transcripts
+    from .common import crc_bucket, written
+    texts = written(transcripts(load(spark, sf_dir, "conversations")), "transcripts")
+    model = fit(texts.filter(crc_bucket("conv_id", 5) != 0))
+    return format_chats(texts, model, ["conv_id", "segment"]).select(
+        "conv_id", "segment", F.size("turns").alias("n_turns"), F.array_join(F.transform("turns", lambda t: t["role"]), ",").alias("roles"),
+        "chat")
