@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .common import written
-from .tokens import VOCABULARY, ChunkEncoder
+from .tokens import VOCABULARY, shared_encoder
 
 SEQUENCE = 4096
 END_ID = 1
@@ -54,7 +54,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import pyarrow as pa
         from pyspark import TaskContext
         gc.disable()  # nothing here makes cycles; collections would walk the table
-        encoder, end = ChunkEncoder(vocabulary), int(end_id).to_bytes(4, "little")
+        encoder, end = shared_encoder(vocabulary), int(end_id).to_bytes(4, "little")
         serial = TaskContext.get().partitionId() << 36
         schema = None
         for batch in batches:

@@ -2,8 +2,8 @@
 
 The vocabulary's own pre-tokeniser never joins what white space separates, so
 the ids of a text are the ids of its white-space chunks in a row. Chunks recur
-(Zipf), so each Python worker keeps a bounded table chunk -> ids, and only new
-chunks go to the tokenizer. Plain lower-case words skip the tokenizer's
+(Zipf), so each Python worker keeps a bounded table chunk -> ids over all its tasks,
+and only new chunks go to the tokenizer. Plain lower-case words skip the tokenizer's
 normaliser, which leaves them as they are: they go in bulk through the same
 model, whose word-end tokens mark where each word's ids end.
 """
@@ -11,14 +11,17 @@ model, whose word-end tokens mark where each word's ids end.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable
-from itertools import filterfalse
+from functools import lru_cache
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of a worker's table, about 200 bytes each.
-TABLE_ENTRIES = 600_000
+#: Entries of a worker's table, about 200 bytes each; of its part for frequent
+#: chunks, which stays in the processor's cache; texts that choose that part.
+TABLE_ENTRIES, FREQUENT, FIRST_TEXTS = 1_200_000, 24_000, 1024
+_BLOCK = 64  # texts looked up together
 
 _PLAIN = re.compile(r"([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,]?)\Z")
 
@@ -42,51 +45,90 @@ class ChunkEncoder:
         self.marks = {m: self._whole([m])[0] for m in ".,"}
         self.entries = entries
         self.table: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.frequent: dict[bytes, bytes] = {}
+        self.seen: Counter | None = Counter()
+        self.texts = 0
 
     def _whole(self, chunks: list[str]) -> list[bytes]:
         found = self.whole.encode_batch_fast(chunks, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _bulk(self, words: list[str]) -> None:
+    def _bulk(self, words: list[bytes]) -> list[bytes]:
+        out = []
         for at in range(0, len(words), 5000):
             part = words[at:at + 5000]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.bare.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(stops) != len(part):
-                self.words.update(zip(part, self._whole(part)))
+                out += self._whole([w.decode() for w in part])
                 continue
-            raw, begin = ids.tobytes(), 0
-            for word, stop in zip(part, stops):
-                self.words[word] = raw[begin:stop]
-                begin = stop
+            raw = ids.tobytes()
+            out += [raw[b:e] for b, e in zip([0, *stops], stops)]
+        return out
 
     def learn(self, chunks: Iterable[bytes]) -> None:
-        plain, odd = {}, []
+        table, marks = self.table, self.marks
+        if len(table) > self.entries:
+            table.clear()
+        plain, odd, new = [], [], set()
         for chunk in chunks:
-            text = chunk.decode()
-            m = _PLAIN.match(text)
-            if m:
-                plain[chunk] = (m[1].lower(), m[2])
+            if chunk.isalpha():  # bytes: ASCII letters
+                key, mark = chunk.lower(), ""
+            elif chunk[-1] in b".," and chunk[:-1].isalpha():
+                key, mark = chunk[:-1].lower(), chr(chunk[-1])
             else:
-                odd.append((chunk, text))
-        if len(self.words) > self.entries:
-            self.words = {}
-        self._bulk(list({w for w, _ in plain.values()} - self.words.keys()))
-        words, marks = self.words, self.marks
-        for chunk, (word, mark) in plain.items():
-            self.table[chunk] = words[word] + marks[mark] if mark else words[word]
+                text = chunk.decode()
+                m = _PLAIN.match(text)
+                if not m:
+                    odd.append((chunk, text))
+                    continue
+                key, mark = m[1].lower().encode(), m[2]
+            if key not in table:
+                new.add(key)
+            if mark or key != chunk:
+                plain.append((chunk, key, mark))
+        new = list(new)
+        table.update(zip(new, self._bulk(new)))
+        for chunk, key, mark in plain:
+            table[chunk] = table[key] + marks[mark] if mark else table[key]
         if odd:
-            self.table.update(zip((c for c, _ in odd), self._whole([t for _, t in odd])))
+            table.update(zip((c for c, _ in odd), self._whole([t for _, t in odd])))
+
+    def _choose(self, lists: list[list[bytes]]) -> None:
+        for chunks in lists:
+            self.seen.update(chunks)
+        self.texts += len(lists)
+        if self.texts >= FIRST_TEXTS:
+            common = [c for c, n in self.seen.most_common(FREQUENT) if n > 1]
+            self.learn([c for c in common if c not in self.table])
+            self.frequent = {c: self.table[c] for c in common if c in self.table}
+            self.seen = None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        raws = [t.encode() for t in texts]
-        if len(self.table) > self.entries:
-            self.table = {}
-        new: set[bytes] = set()
-        for raw in raws:
-            new.update(filterfalse(self.table.__contains__, raw.split()))
-        if new:
-            self.learn(new)
-        get = self.table.__getitem__
-        return [b"".join(map(get, raw.split())) for raw in raws]
+        out = []
+        for at in range(0, len(texts), _BLOCK):
+            lists = [t.encode().split() for t in texts[at:at + _BLOCK]]
+            if self.seen is not None:
+                self._choose(lists)
+            often, get = self.frequent.get, self.table.get
+            found, late = [], []
+            for chunks in lists:
+                ids = list(map(often, chunks))
+                for k in [k for k, x in enumerate(ids) if x is None]:
+                    ids[k] = x = get(chunks[k])
+                    if x is None:
+                        late.append((ids, k, chunks[k]))
+                found.append(ids)
+            if late:
+                self.learn({c for _, _, c in late})
+                table = self.table
+                for ids, k, chunk in late:
+                    ids[k] = table[chunk]
+            out += [b"".join(ids) for ids in found]
+        return out
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(vocabulary: str = VOCABULARY) -> ChunkEncoder:
+    """The encoder of this process, whose table outlives a task."""
+    return ChunkEncoder(vocabulary)
