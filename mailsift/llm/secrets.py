@@ -106,7 +106,8 @@ class Battery:
         serial = float((c[1:] * c[:-1]).sum()) / max(float((c * c).sum()), 1e-12)
         serial_p = math.erfc(abs(serial + 1 / n) * math.sqrt(n / 2))
         passes = min(uniform, run_p, serial_p) >= REJECT
-        q = np.array([self.shares[ord(x)] for x in alphabet]) + 1e-6
+        fold = not any(x.islower() for x in alphabet)  # capitals alone: text in capitals would have text's letters
+        q = np.array([self.shares[ord(x)] + fold * x.isalpha() * self.shares[ord(x.lower())] for x in alphabet]) + 1e-6
         q = q / q.sum()
         s2, s3 = float((q ** 2).sum()), float((q ** 3).sum())
         expected = k * (1 + (n - 1) * s2) - n
