@@ -352,7 +352,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = prints.agg(F.sum(F.col("n") * F.col("rows"))).first()[0] or 0
     packs, buckets = math.ceil(total / pack_bytes) or 1, math.ceil(total / bucket_bytes) or 1
     pack = F.pmod(F.xxhash64("id"), F.lit(packs)).cast("int")
-    firsts = prints.groupBy("sha").agg(F.min("id").alias("first"))
+    firsts = written(prints.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("ids"))
+                     .filter(F.col("ids") > 1).drop("ids"), "repeat-firsts")  # a table, so that the join can split a hot text's rows
     copies = written(prints.join(firsts, "sha").filter(F.col("id") != F.col("first")).select("id", "sha"), "repeat-copies")
     texts = rows.filter(F.octet_length("text") >= least).withColumn("pack", pack)
     flags = copies.select(pack.alias("pack"), "id", "sha", F.lit(None).cast("binary").alias("data"))
