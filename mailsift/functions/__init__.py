@@ -3,8 +3,8 @@
 from .features import (display_features, engineered_features, exclamation_count,
                        feature_values, has_account_words, has_any, has_payment_words,
                        has_urgent_words, link_count, uppercase_ratio)
-from .message import (base_domain, cap_body, compose_text, default_message_id,
-                      default_subject, sender_domain, serving_text)
+from .message import (base_domain, compose_text, default_message_id,
+                      default_subject, message_body, sender_domain, serving_text)
 from .scores import (attribution_sentence, clamp_confidence, predicted_label,
                      rule_reasons, sigmoid)
 from .text import (analyse, clean_text, drop_stop_words, ngrams, normalise_label,

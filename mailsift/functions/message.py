@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import BODY_LIMIT, NO_SUBJECT
+from .constants import NO_SUBJECT
 from .text import strip_ws
 
 
@@ -39,8 +39,11 @@ def default_message_id(col: Column | str, uid: Column | str) -> Column:
     return F.when(c == "", _c(uid).cast("string")).otherwise(c)
 
 
-def cap_body(col: Column | str, limit: int = BODY_LIMIT) -> Column:
-    return F.substring(F.coalesce(_c(col), F.lit("")), 1, limit)
+def message_body(col: Column | str, limit: int | None = None) -> Column:
+    """The whole body, a null one empty; ``limit`` (BODY_LIMIT is the original's)
+    cuts it to so many characters."""
+    whole = F.coalesce(_c(col), F.lit(""))
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def sender_domain(col: Column | str) -> Column:

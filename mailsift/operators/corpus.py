@@ -1,24 +1,26 @@
 """Corpus preparation: canonical shape, cleaning, union, dedupe, counts.
 
-Canonical corpus schema: row_id BIGINT, source_rank INT, source STRING,
-text STRING, label STRING. ``(source_rank, row_id)`` is the concatenation
-order of the original pipeline; it is assigned once at ingestion and never
-re-derived after a shuffle.
+Canonical corpus schema: row_id STRING, source_rank INT, row_no BIGINT, source
+STRING, text STRING, label STRING. ``row_no`` is a row's place in its source
+and ``(source_rank, row_no)`` the concatenation order; both are assigned once at
+ingestion and never re-derived after a shuffle. ``row_id`` is "<source_rank>:<row_no>",
+so it is unique over the union even if every source counts from 0, and all
+later keys (splits, folds, joins) rest on it; :func:`require_unique` checks it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import CLASSES, LEGITIMATE, PHISHING
 from ..functions.message import compose_text
-from ..functions.text import clean_text, normalise_label
+from ..functions.text import clean_text, normalise_label, strip_ws
 
-CANONICAL = ("row_id", "source_rank", "source", "text", "label")
+CANONICAL = ("row_id", "source_rank", "row_no", "source", "text", "label")
 
 
 @dataclass(frozen=True)
@@ -41,32 +43,56 @@ class SourceSpec:
     keep_label: str | None = None
     pre_clean: int = 0
     row_id_col: str = "row_id"
-    extra: dict = field(default_factory=dict)
+
+
+def row_key(rank, row_no):
+    return F.concat_ws(":", rank.cast("string"), row_no.cast("string"))
+
+
+def require_unique(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """``df`` itself; an error if two rows share the key. One aggregate."""
+    again = df.groupBy(key).count().filter(F.col("count") > 1).limit(1).collect()
+    if again:
+        raise ValueError(f"{key} {again[0][0]!r} occurs {again[0][1]} times")
+    return df
+
+
+def has_text(cols) -> Column:
+    """Any of the columns holds more than white space."""
+    hit = F.lit(False)
+    for c in cols:
+        hit = hit | (strip_ws(F.coalesce(F.col(c), F.lit(""))) != "")
+    return hit
 
 
 def canonicalise(df: DataFrame, spec: SourceSpec) -> DataFrame:
-    """Pick, rename, tag and finalise one source. A missing column is an error."""
+    """Pick, rename, tag and finalise one source. A missing column is an error.
+
+    Which rows stay is decided on the raw columns (cleaning only empties what
+    is blank throughout), so the filter never repeats the cleaning."""
     needed = list(spec.text_cols) + ([spec.label_col] if spec.label_col else []) + [spec.row_id_col]
     missing = [c for c in needed if c not in df.columns]
     if missing:
         raise ValueError(f"{spec.name}: missing columns {missing}")
+    if spec.constant_label is None:
+        label = normalise_label(spec.label_col)
+        classes = CLASSES if spec.keep_label is None else (spec.keep_label,)
+        df = df.filter(label.isin(*classes))
+    else:
+        label = F.lit(spec.constant_label)
+        if spec.constant_label not in (CLASSES if spec.keep_label is None else (spec.keep_label,)):
+            df = df.limit(0)
+    df = df.filter(has_text(spec.text_cols))
     if len(spec.text_cols) == 1:
         text = F.col(spec.text_cols[0])
         for _ in range(spec.pre_clean):
             text = clean_text(text)
     else:
         text = compose_text(*[clean_text(c) for c in spec.text_cols])
-    if spec.constant_label is not None:
-        label = F.lit(spec.constant_label)
-    else:
-        label = normalise_label(spec.label_col)
-    out = df.select(F.col(spec.row_id_col).cast("bigint").alias("row_id"),
-                    F.lit(spec.rank).cast("int").alias("source_rank"),
-                    F.lit(spec.name).alias("source"),
-                    text.alias("text"), label.alias("label"))
-    if spec.keep_label is not None:
-        out = out.filter(F.col("label") == spec.keep_label)
-    return finalise(out)
+    rank, row_no = F.lit(spec.rank).cast("int"), F.col(spec.row_id_col).cast("bigint")
+    out = df.select(row_key(rank, row_no).alias("row_id"), rank.alias("source_rank"), row_no.alias("row_no"),
+                    F.lit(spec.name).alias("source"), text.alias("text"), label.alias("label"))
+    return out.withColumn("text", clean_text("text"))
 
 
 def finalise(df: DataFrame) -> DataFrame:
@@ -94,17 +120,17 @@ def combine(sources: Sequence[DataFrame]) -> DataFrame:
 
 
 def dedupe_first(df: DataFrame) -> DataFrame:
-    """One row per (text, label): the first in (source_rank, row_id) order.
+    """One row per (text, label): the first in (source_rank, row_no) order.
 
-    An aggregate, not a window: partial aggregation collapses repeats inside
-    each map task, so a text repeated a billion times ships one row per task
-    and no key can overload one reducer.
+    An aggregate on the text's SHA-256, not a window: partial aggregation
+    collapses repeats inside each map task, so a text repeated a billion times
+    ships one row per task and no key can overload one reducer. Sorting and
+    hashing see 64 characters; the text rides in the aggregate's state.
     """
-    order = F.struct("source_rank", "row_id")
-    first = F.min_by(F.struct("source_rank", "row_id", "source"), order)
-    return (df.groupBy("text", "label").agg(first.alias("_f"))
-              .select(F.col("_f.row_id").alias("row_id"), F.col("_f.source_rank").alias("source_rank"),
-                      F.col("_f.source").alias("source"), "text", "label"))
+    order = F.struct("source_rank", "row_no")
+    first = F.min_by(F.struct("row_id", "source_rank", "row_no", "source", "text"), order)
+    return (df.groupBy(F.sha2("text", 256).alias("_h"), "label").agg(first.alias("_f"))
+              .select("_f.row_id", "_f.source_rank", "_f.row_no", "_f.source", "_f.text", "label"))
 
 
 def clean_passes(df: DataFrame, src: str, out: str, passes: int) -> DataFrame:
@@ -126,15 +152,14 @@ def valid_raw(df: DataFrame, text: str, label: str) -> DataFrame:
     removed only when a word follows it), so this cheap predicate equals the
     filter on the cleaned text - and it is pushed to the scan instead of
     repeating the cleaning inside the filter."""
-    from ..functions.text import strip_ws
     return df.filter((strip_ws(F.coalesce(F.col(text), F.lit(""))) != "") & normalise_label(label).isin(*CLASSES))
 
 
 def build_corpus(raw: DataFrame, passes: int = 2) -> DataFrame:
-    """Raw single-text view (row_id, source_rank, source, raw_text, raw_label)
+    """Raw single-text view (row_id, source_rank, row_no, source, raw_text, raw_label)
     -> cleaned, valid, deduplicated canonical corpus."""
     df = valid_raw(raw, "raw_text", "raw_label").select(
-        "row_id", "source_rank", "source", "raw_text", normalise_label("raw_label").alias("label"))
+        "row_id", "source_rank", "row_no", "source", "raw_text", normalise_label("raw_label").alias("label"))
     df = clean_passes(df, "raw_text", "text", passes).select(*CANONICAL)
     return dedupe_first(df)
 

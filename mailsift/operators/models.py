@@ -49,41 +49,42 @@ def model_input(tfidf: DataFrame, text_feats: Column, size: int) -> Column:
     return F.concat(F.col("pairs"), eng).cast(PAIRS)
 
 
-def counted_terms(tfidf_like, df: DataFrame, text: str = "text", keep=("label",)) -> DataFrame:
-    """One pass over the text: row_id, *keep, _feats (engineered struct), tc
+def counted_terms(tfidf_like, df: DataFrame, text: str = "text", keep=("row_id", "label")) -> DataFrame:
+    """One pass over the text: *keep, _feats (engineered struct), tc
     (term counts). Persist it to fit and transform without re-tokenising."""
     from .tfidf import doc_terms
-    base = df.select("row_id", *[c for c in keep if c != "row_id"], text, engineered_features(text).alias("_feats"))
+    base = df.select(*keep, text, engineered_features(text).alias("_feats"))
     stop_words, n_max = tfidf_like
-    return doc_terms(base, text, stop_words, n_max, keep=["row_id", *[c for c in keep if c != "row_id"], "_feats"])
+    return doc_terms(base, text, stop_words, n_max, keep=[*keep, "_feats"])
 
 
-def featurise_terms(tfidf_model: TfidfModel, tc: DataFrame, keep=("label",), engineered: bool = True) -> DataFrame:
+def featurise_terms(tfidf_model: TfidfModel, tc: DataFrame, keep=("row_id", "label"), engineered: bool = True) -> DataFrame:
     """featurise() from a counted_terms table."""
-    keep = [c for c in keep if c != "row_id"]
     t = tfidf_model.transform(None, keep=[*keep, "_feats"], tc=tc)
     pairs = model_input(t, F.col("_feats"), tfidf_model.size) if engineered else F.col("pairs")
-    return t.select("row_id", *keep, pairs.alias("pairs"))
+    return t.select(*keep, pairs.alias("pairs"))
 
 
 def featurise(tfidf_model: TfidfModel, df: DataFrame, text: str = "text",
-              feature_text: str | None = None, keep=("label",), engineered: bool = True,
+              feature_text: str | None = None, keep=("row_id", "label"), engineered: bool = True,
               with_struct: bool = False) -> DataFrame:
-    """row_id, *keep, pairs (TF-IDF + engineered). Engineered features are
-    computed on ``feature_text`` (default: the same text)."""
+    """*keep, pairs (TF-IDF + engineered), a row for every row of ``df``, without
+    a shuffle. Engineered features are computed on ``feature_text`` (default:
+    the same text)."""
     ft = feature_text or text
-    keep = [c for c in keep if c not in ("row_id",)]
-    cols = list(dict.fromkeys(["row_id", *keep, text, ft]))
-    base = df.select(*cols)
-    base = base.withColumn("_feats", engineered_features(ft))
-    t = tfidf_model.transform(base, text, keep=list(dict.fromkeys([*keep, "_feats"])))
+    keep = list(keep)
+    base = df.select(*dict.fromkeys([*keep, text, ft])).withColumn("_feats", engineered_features(ft))
+    t = tfidf_model.transform(base, text, keep=[*keep, "_feats"])
     pairs = model_input(t, F.col("_feats"), tfidf_model.size) if engineered else F.col("pairs")
     extra = [F.col("_feats").alias("engineered")] if with_struct else []
-    return t.select("row_id", *keep, pairs.alias("pairs"), *extra)
+    return t.select(*keep, pairs.alias("pairs"), *extra)
 
 
 @dataclass
 class LinearModel:
+    """``extra["has_margin"]`` False marks a model that gives classes only (its
+    surrogate probability is then 0 or 1)."""
+
     name: str
     coef: list
     intercept: float
@@ -166,31 +167,29 @@ def _mllib_frame(feats: DataFrame, n_features: int, label: str, weights: DataFra
     return df
 
 
-def _fit_frame(df: DataFrame) -> tuple[DataFrame, int]:
-    """Cache the training frame with about ROWS_PER_PARTITION rows per task:
-    iterative optimisers run one job per iteration, so tiny partitions only
-    add scheduling latency; large inputs keep all their partitions."""
-    n = df.count()
-    want = max(1, -(-n // ROWS_PER_PARTITION))
-    if want < df.rdd.getNumPartitions():
-        df = df.coalesce(want)
-    return df.persist(), n
+# rows of a task in the optimisers' passes, which are a job per iteration
+ROWS_PER_TASK = 10_000
 
 
-ROWS_PER_PARTITION = 100_000
+def _fit_frame(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(the cached training frame, a view of it whose tasks take about
+    ROWS_PER_TASK rows, its size). The vectors are built once, by the count."""
+    df = df.persist()
+    n = df.count()
+    return df, df.coalesce(max(1, -(-n // ROWS_PER_TASK))), n
 
 
 def fit_logistic_regression(feats: DataFrame, n_features: int, names: list[str] | None = None,
                             label: str = "label", max_iter: int = 1000, balanced: bool = True) -> LinearModel:
     from pyspark.ml.classification import LogisticRegression
     weights = class_weights(feats, label) if balanced else None
-    df, n = _fit_frame(_mllib_frame(feats, n_features, label, weights))
+    df, view, n = _fit_frame(_mllib_frame(feats, n_features, label, weights))
     lr = LogisticRegression(featuresCol="features", labelCol="label_ix", maxIter=max_iter,
                             regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
                             family="binomial", tol=1e-4)
     if balanced:
         lr = lr.setWeightCol("weight")
-    m = lr.fit(df)
+    m = lr.fit(view)
     df.unpersist()
     return LinearModel("Logistic Regression", m.coefficients.toArray().tolist(), float(m.intercept),
                        True, names or [])
@@ -200,9 +199,9 @@ def fit_linear_svm(feats: DataFrame, n_features: int, names: list[str] | None =
                    label: str = "label", max_iter: int = 1000) -> LinearModel:
     """Hinge loss (MLlib); the original uses squared hinge - a stated difference."""
     from pyspark.ml.classification import LinearSVC
-    df, n = _fit_frame(_mllib_frame(feats, n_features, label, None))
+    df, view, n = _fit_frame(_mllib_frame(feats, n_features, label, None))
     svm = LinearSVC(featuresCol="features", labelCol="label_ix", maxIter=max_iter,
                     regParam=1.0 / max(n, 1), standardization=False, tol=1e-4)
-    m = svm.fit(df)
+    m = svm.fit(view)
     df.unpersist()
     return LinearModel("SVM", m.coefficients.toArray().tolist(), float(m.intercept), False, names or [])

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import CLASSES, CURVE_FRACTIONS, FOLDS, SPLIT_SEED, TEST_FRACTION
+from ..functions.constants import CURVE_FRACTIONS, FOLDS, SPLIT_SEED, TEST_FRACTION
 
 HASH_BITS = 60
 BUCKET_BITS = 16
@@ -60,9 +60,16 @@ def exact_cutoffs(df: DataFrame, group_cols: Sequence[str], targets: DataFrame,
             .select(*g, "target_id", F.col(key).alias("cut_key"), F.col(tie).alias("cut_tie")))
 
 
+# a label column with more values than this is not a label column
+MAX_CLASSES = 16
+
+
 def _class_counts(df: DataFrame, label: str) -> dict[str, int]:
     # one small action: at most one row per class
-    return {r[0]: int(r[1]) for r in df.groupBy(label).count().collect()}
+    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values")
+    return {r[0]: int(r[1]) for r in rows}
 
 
 def _largest_remainder(counts: dict[str, int], total: int) -> dict[str, int]:
@@ -126,7 +133,7 @@ def stratified_folds(df: DataFrame, k: int = FOLDS, seed: int = SPLIT_SEED + 1,
         label, "left")
     j = keyed.join(F.broadcast(per_class), label, "left")          # one row per class
     me = F.struct("_h", "row_id")
-    above = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<struct<_h:bigint,row_id:bigint>>")),
+    above = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<struct<_h:bigint,row_id:" + df.schema["row_id"].dataType.simpleString() + ">>")),
                             lambda c: me > c))
     return j.withColumn("fold", (F.col("_zeros") + above).cast("int")).drop("_h", "_cuts", "_zeros")
 
@@ -162,8 +169,3 @@ def seeded_shuffle(df: DataFrame, seq: str = "seq", seed: int = SPLIT_SEED) -> D
     key = F.md5(F.concat(F.col(seq).cast("string"), F.lit(f":{seed}")))
     return df.orderBy(key, seq)
 
-
-def check_classes(counts: dict[str, int]) -> None:
-    unknown = set(counts) - set(CLASSES)
-    if unknown:
-        raise ValueError(f"unexpected classes {sorted(unknown)}")

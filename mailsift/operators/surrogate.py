@@ -1,136 +1,167 @@
-"""Local surrogate explanations (LIME-style) as a batch job.
+"""Local surrogate explanations as a map-only batch job.
 
 Per message (cleaned serving text of at least 20 characters):
 
-1. word types = distinct maximal word runs; copy 0 is the message itself,
-   copy i >= 1 removes exactly k_i types, k_i uniform in [1, d], namely the
-   k_i types with the smallest ``xxhash64(uid, i, word)`` - a seeded uniform
-   k-subset, identical under any partitioning.
-2. The copy's text keeps every separator and drops the removed words; all
-   copies go through the normal feature + margin plan (Spark, columnar).
-3. Per message, in ``applyInPandas`` (one group = one message's copies, a
-   small fixed-size matrix): cosine distance to the original x 100, kernel
-   sqrt(exp(-d^2 / 25^2)), weighted forward selection of 6 words (alpha 0,
-   weighted R^2, vectorised over all candidates) and a weighted ridge
-   (alpha 1, intercept) on them; weights explain the predicted class (the
-   sign is flipped for legitimate).
+1. word types = distinct maximal word runs; copy 0 is the message itself, copy
+   i >= 1 removes exactly k_i types, k_i uniform in [1, d], a subset drawn from a
+   generator seeded by the text, so a message gets the same copies anywhere.
+2. The copy's text keeps every separator and drops the removed words; it is
+   scored by the fitted model (terms, weights and engineered features of that
+   text). A message's copies are made and scored in its own row, a copy at a
+   time; only the explanation leaves it.
+3. Cosine distance to the original x 100, kernel sqrt(exp(-d^2 / 25^2)), weighted
+   forward selection of 6 words (weighted R^2, all candidates at once) and a
+   weighted ridge (alpha 1, intercept) on them; weights explain the predicted
+   class (the sign is flipped for legitimate).
 4. Filler tokens (subject, from, body, com) are dropped, weights rounded to 4,
    and the sentence is built as for the linear attributions.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from dataclasses import dataclass
+from zlib import crc32
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.scores import SURROGATE_SENTENCES, SURROGATE_TOO_SHORT, attribution_sentence, sigmoid
-from .models import LinearModel, featurise
+from ..functions.scores import SURROGATE_SENTENCES, SURROGATE_TOO_SHORT, attribution_sentence
+from .models import LinearModel
 from .tfidf import TfidfModel
 
-WORD_RUN = r"[\p{L}\p{N}_]+"
-PIECES = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+SAMPLES = 500
 KERNEL_WIDTH = 25.0
-OUT_SCHEMA = "uid long, features array<struct<feature:string,weight:double>>"
-
-
-def perturbed_copies(msgs: DataFrame, n_samples: int, seed: int = 42) -> DataFrame:
-    """msgs(uid, text, prediction) -> (uid, sample, prediction, text, kept array<int>,
-    words): kept = 0-based indices into the sorted word types left in the copy;
-    words only on copy 0 (the fit reads it once per message)."""
-    w = msgs.select("uid", "text", "prediction",
-                    F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD_RUN), 0))).alias("words"),
-                    F.regexp_extract_all("text", F.lit(PIECES), 0).alias("pieces"))
-    w = w.withColumn("d", F.size("words"))
-    s = w.select("uid", "prediction", "words", "pieces", "d",
-                 F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("sample"))
-
-    def hv(x):
-        return F.xxhash64(F.col("uid"), F.col("sample"), F.lit(seed), x)
-
-    s = s.withColumn("_h", F.transform("words", hv))
-    k = F.when(F.col("sample") == 0, F.lit(0)).otherwise(
-        1 + F.pmod(F.xxhash64(F.col("uid"), F.col("sample"), F.lit(seed), F.lit("k")), F.col("d")))
-    s = s.withColumn("_k", k.cast("int"))
-    s = s.withColumn("_thr", F.when(F.col("_k") > 0, F.element_at(F.sort_array("_h"), F.greatest(F.col("_k"), F.lit(1)))))
-    kept_ix = F.filter(F.transform("_h", lambda h, i: F.when(F.col("_thr").isNull() | (h > F.col("_thr")), i)),
-                       lambda x: x.isNotNull())
-    # a word piece of a removed type becomes empty; separators stay (same hash)
-    dropped = lambda p: (F.col("_thr").isNotNull() & F.regexp_like(p, F.lit("^" + WORD_RUN[:-1]))
-                         & (hv(p) <= F.col("_thr")))
-    text = F.array_join(F.transform("pieces", lambda p: F.when(dropped(p), F.lit("")).otherwise(p)), "")
-    return s.select("uid", "sample", "prediction", text.alias("text"), kept_ix.cast("array<int>").alias("kept"),
-                    F.when(F.col("sample") == 0, F.col("words")).alias("words"))
-
-
-def _fit_one(pdf: pd.DataFrame, n_features: int, alpha: float = 1.0) -> pd.DataFrame:
-    uid = int(pdf["uid"].iloc[0])
-    pdf = pdf.sort_values("sample")
-    words = list(pdf["words"].iloc[0])
+FEATURES = "array<struct<feature:string,weight:double>>"
+_WORD = re.compile(r"\w+")
+_TOKEN = re.compile(r"\w{2,}")
+_LINK = re.compile(r"http[s]?://|www\.", re.I)
+
+
+@dataclass
+class TextScorer:
+    """The fitted model on one text at a time, for the copies of a message."""
+
+    terms: dict  # term -> (idf * coefficient, idf)
+    engineered: list
+    intercept: float
+    stops: frozenset
+    n_max: int
+    sublinear: bool
+    has_margin: bool = True
+
+    @classmethod
+    def of(cls, tfidf: TfidfModel, model: LinearModel) -> TextScorer:
+        terms = {t: (idf * model.coef[ix], idf) for t, ix, _, _, idf in tfidf.vocab}
+        return cls(terms, list(model.coef[tfidf.size:]), model.intercept, frozenset(tfidf.stop_words), tfidf.n_max, tfidf.sublinear,
+                   model.extra.get("has_margin", True))
+
+    def margin(self, text: str) -> float:
+        tokens = [t for t in _TOKEN.findall(text.lower()) if t not in self.stops]
+        grams = list(tokens)
+        for n in range(2, self.n_max + 1):
+            grams += map(" ".join, zip(*(tokens[k:] for k in range(n))))
+        dot = norm = 0.0
+        for term, n in Counter(grams).items():
+            known = self.terms.get(term)
+            if known:
+                tf = 1.0 + math.log(n) if self.sublinear else float(n)
+                dot += tf * known[0]
+                norm += (tf * known[1]) ** 2
+        out = self.intercept + (dot / math.sqrt(norm) if norm else 0.0)
+        if self.engineered:
+            low = text.lower()
+            letters = [c for c in text if c.isalpha()]
+            values = (len(_LINK.findall(text)), *(any(w in low for w in ws) for ws in (K.URGENT_WORDS, K.ACCOUNT_WORDS, K.PAYMENT_WORDS)),
+                      text.count("!"), sum(c.isupper() for c in letters) / len(letters) if letters else 0.0)
+            out += sum(c * v for c, v in zip(self.engineered, values))
+        return out
+
+    def probability(self, text: str) -> float:
+        """Logistic of the margin; 0 or 1 for a model without one."""
+        m = self.margin(text)
+        return 1 / (1 + math.exp(-max(min(m, 700.0), -700.0))) if self.has_margin else float(m > 0)
+
+
+def explain(text: str, phishing: bool, scorer: TextScorer, n_samples: int, n_features: int, seed: int) -> list[tuple[str, float]]:
+    """(word, weight) of the selected words, the largest weight first."""
+    parts = re.split(r"(\w+)", text)  # separators at even places, words at odd ones
+    words = sorted(set(parts[1::2]))
     d = len(words)
-    n = len(pdf)
-    if d == 0:
-        return pd.DataFrame({"uid": [uid], "features": [[]]})
-    Z = np.zeros((n, d))
-    for r, kept in enumerate(pdf["kept"]):
-        Z[r, np.asarray(kept, dtype=int)] = 1.0
-    y = pdf["p"].to_numpy(dtype=float)
-    nz = Z.sum(1)
-    cos = 1.0 - nz / (np.sqrt(np.maximum(nz, 1e-300)) * np.sqrt(d))
-    cos[nz == 0] = 1.0
-    dist = cos * 100.0
-    wts = np.sqrt(np.exp(-(dist ** 2) / KERNEL_WIDTH ** 2))
+    if not d:
+        return []
+    place = {w: i for i, w in enumerate(words)}
+    of_part = [place[w] for w in parts[1::2]]
+    rng = np.random.default_rng([seed, crc32(text.encode())])
+    z = np.ones((n_samples, d))
+    p = np.empty(n_samples)
+    for i in range(n_samples):
+        if i:
+            z[i, rng.permutation(d)[:rng.integers(1, d + 1)]] = 0
+        row = z[i]
+        copy = list(parts)
+        copy[1::2] = [w if row[k] else "" for w, k in zip(parts[1::2], of_part)]
+        p[i] = scorer.probability("".join(copy))
+    return _weights(z, p if phishing else 1 - p, words, n_features)
+
+
+def _weights(z: np.ndarray, y: np.ndarray, words: list[str], n_features: int, alpha: float = 1.0) -> list[tuple[str, float]]:
+    d = z.shape[1]
+    kept = z.sum(1)
+    cos = 1.0 - kept / (np.sqrt(np.maximum(kept, 1e-300)) * np.sqrt(d))
+    cos[kept == 0] = 1.0
+    wts = np.sqrt(np.exp(-((cos * 100.0) ** 2) / KERNEL_WIDTH ** 2))
     sw = np.sqrt(wts)[:, None]
-    # weighted centering takes care of the intercept
-    mu_x = (wts @ Z) / wts.sum()
-    mu_y = (wts @ y) / wts.sum()
-    X = (Z - mu_x) * sw
-    t = (y - mu_y) * sw[:, 0]
+    x = (z - (wts @ z) / wts.sum()) * sw  # weighted centring takes care of the intercept
+    t = (y - (wts @ y) / wts.sum()) * sw[:, 0]
     used: list[int] = []
-    resid = t.copy()
-    E = X.copy()
+    resid, e = t.copy(), x.copy()
     for _ in range(min(n_features, d)):
-        den = (E * E).sum(0)
-        num = (E.T @ resid) ** 2
-        gain = np.where(den > 1e-12, num / np.maximum(den, 1e-12), -np.inf)
+        den = (e * e).sum(0)
+        gain = np.where(den > 1e-12, (e.T @ resid) ** 2 / np.maximum(den, 1e-12), -np.inf)
         gain[used] = -np.inf
         j = int(np.argmax(gain))
         used.append(j)
-        e = E[:, j].copy()
-        ee = e @ e
-        if ee > 1e-12:
-            resid = resid - e * (e @ resid) / ee
-            E = E - np.outer(e, (e @ E) / ee)
-    A = X[:, used]
-    coef = np.linalg.solve(A.T @ A + alpha * np.eye(len(used)), A.T @ t)
-    order = np.argsort(-np.abs(coef), kind="stable")
-    feats = [{"feature": words[used[i]], "weight": float(coef[i])} for i in order]
-    return pd.DataFrame({"uid": [uid], "features": [feats]})
-
-
-def local_surrogate(tfidf: TfidfModel, model: LinearModel, msgs: DataFrame, n_samples: int = 500,
+        v = e[:, j].copy()
+        if v @ v > 1e-12:
+            resid = resid - v * (v @ resid) / (v @ v)
+            e = e - np.outer(v, (v @ e) / (v @ v))
+    a = x[:, used]
+    coef = np.linalg.solve(a.T @ a + alpha * np.eye(len(used)), a.T @ t)
+    return [(words[used[i]], float(coef[i])) for i in np.argsort(-np.abs(coef), kind="stable")]
+
+
+def local_surrogate(tfidf: TfidfModel, model: LinearModel, msgs: DataFrame, n_samples: int = SAMPLES,
                     n_features: int = K.ATTRIBUTION_TOP, seed: int = 42) -> DataFrame:
-    """msgs(uid, cleaned_text, prediction) -> uid, surrogate_features, surrogate_summary."""
-    base = msgs.select("uid", F.col("cleaned_text").alias("text"), "prediction")
-    long_enough = base.filter(F.length("text") >= K.SHORT_TEXT_LIMIT)
-    copies = perturbed_copies(long_enough, n_samples, seed)
-    keyed = copies.withColumn("row_id", F.col("uid") * n_samples + F.col("sample"))
-    feats = featurise(tfidf, keyed, keep=("uid", "sample", "prediction", "kept", "words"))
-    # margin-only models are mapped through the logistic, as the original does
-    prob = sigmoid(model.margin())
-    scored = feats.select("uid", "sample", "kept", "words",
-                          F.when(F.col("prediction") == K.PHISHING, prob).otherwise(1.0 - prob).alias("p"))
-    fitted = scored.groupBy("uid").applyInPandas(lambda pdf: _fit_one(pdf, n_features), OUT_SCHEMA)
-    cleaned = fitted.select("uid", F.transform(
-        F.filter("features", lambda x: ~F.lower(F.trim(x["feature"])).isin(*K.FILLER_TOKENS)),
-        lambda x: F.struct(F.trim(x["feature"]).alias("feature"), F.round(x["weight"], 4).alias("weight"))).alias("surrogate_features"))
-    out = base.join(cleaned, "uid", "left")
-    too_short = F.length("text") < K.SHORT_TEXT_LIMIT
-    feats_col = F.when(too_short, F.array().cast("array<struct<feature:string,weight:double>>")).otherwise(
-        F.coalesce("surrogate_features", F.array().cast("array<struct<feature:string,weight:double>>")))
-    out = out.select("uid", "prediction", "text", feats_col.alias("surrogate_features"))
-    summary = F.when(F.length("text") < K.SHORT_TEXT_LIMIT, F.lit(SURROGATE_TOO_SHORT)).otherwise(
+    """``msgs`` (with cleaned_text and prediction) plus surrogate_features and
+    surrogate_summary; a row for every row, all fields kept."""
+    from pyspark.sql.types import StructField, StructType
+    spark = msgs.sparkSession
+    shared = spark.sparkContext.broadcast(TextScorer.of(tfidf, model))  # bounded by max_features
+    kind = spark.createDataFrame([], f"x {FEATURES}").schema["x"].dataType
+    schema = StructType([*msgs.schema.fields, StructField("_found", kind)])
+    names, fillers = msgs.columns, set(K.FILLER_TOKENS)
+
+    def run(batches):
+        import pyarrow as pa
+        scorer = shared.value
+        for batch in batches:
+            text, pred = batch.column(names.index("cleaned_text")), batch.column(names.index("prediction"))
+            found = []
+            for t, p in zip(text.to_pylist(), pred.to_pylist()):
+                short = len(t or "") < K.SHORT_TEXT_LIMIT
+                pairs = [] if short else explain(t, p == K.PHISHING, scorer, n_samples, n_features, seed)
+                found.append([{"feature": w, "weight": v} for w, v in pairs if w.lower() not in fillers])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(found, pa.list_(pa.struct([("feature", pa.string()), ("weight", pa.float64())])))],
+                names=[*names, "_found"])
+
+    out = msgs.mapInArrow(run, schema).withColumn("surrogate_features", F.transform("_found", lambda x: F.struct(
+        x["feature"].alias("feature"), F.round(x["weight"], 4).alias("weight")))).drop("_found")
+    summary = F.when(F.length("cleaned_text") < K.SHORT_TEXT_LIMIT, F.lit(SURROGATE_TOO_SHORT)).otherwise(
         attribution_sentence("surrogate_features", "prediction", SURROGATE_SENTENCES))
-    return out.select("uid", "surrogate_features", summary.alias("surrogate_summary"))
+    return out.withColumn("surrogate_summary", summary)

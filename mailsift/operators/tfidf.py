@@ -4,20 +4,23 @@ fit:   terms per document are counted inside the row (no shuffle), then one
        aggregate per term (document frequency, corpus count; partial
        aggregation makes hot terms cheap), a min_df filter and a top-k by
        corpus count (tie: term). The vocabulary is bounded by ``max_features``
-       and held like any fitted Spark ML model: on the driver, broadcast.
+       and held like any fitted Spark ML model: on the driver.
        idf = ln((1 + n) / (1 + df)) + 1 with n = all training documents.
 transform: sublinear tf (1 + ln tf) x idf, L2-normalised per document, as
-       sorted (ix, value) arrays; the only shuffle is one regroup per
-       document, pre-combined map-side so each document ships once.
+       sorted (ix, value) arrays. Map-only: the vocabulary is one constant, an
+       array of hash buckets, and each row looks its own terms up in it. No
+       row is exploded, shuffled or grouped, so no key is needed.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from zlib import crc32
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,12 +50,25 @@ def document_frequencies(tc: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("df"), F.sum("x.tf").alias("corpus_tf"))
 
 
-def top_terms(stats: DataFrame, max_features: int | None = MAX_FEATURES, min_df: int = MIN_DF) -> DataFrame:
+# the final merge of a top-k sees at most this many times k rows, however many tasks there are
+TOP_GROUPS = 16
+# a fitted vocabulary is a constant of the plan: this many terms at most
+MAX_VOCABULARY = 200_000
+
+
+def top_terms(stats: DataFrame, max_features: int | None, min_df: int = MIN_DF) -> DataFrame:
+    """The ``max_features`` commonest terms (ties: the smaller term); None keeps all.
+
+    Two levels: the top k of each of TOP_GROUPS hash groups (tasks keep k rows a
+    group before the shuffle), then the top k of those."""
     kept = stats.filter(F.col("df") >= min_df)
-    if max_features is not None:
-        # TakeOrdered: each task keeps its own top k, the merge sees k x tasks rows
-        kept = kept.orderBy(F.desc("corpus_tf"), F.asc("term")).limit(max_features)
-    return kept
+    if max_features is None:
+        return kept
+    order = [F.desc("corpus_tf"), F.asc("term")]
+    group = kept.withColumn("_g", F.pmod(F.xxhash64("term"), F.lit(TOP_GROUPS)))
+    rank = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
+    some = group.withColumn("_r", rank).filter(F.col("_r") <= max_features)
+    return some.select(*kept.columns).orderBy(*order).limit(max_features)
 
 
 @dataclass
@@ -63,19 +79,21 @@ class TfidfModel:
     n_max: int = NGRAM_MAX
     sublinear: bool = True
     use_idf: bool = True
-    _df_cache: dict = field(default_factory=dict, repr=False)
 
     @property
     def size(self) -> int:
         return len(self.vocab)
 
     @staticmethod
-    def fit(df: DataFrame | None, text: str = "text", max_features: int | None = MAX_FEATURES,
+    def fit(df: DataFrame | None, text: str = "text", max_features: int = MAX_FEATURES,
             min_df: int = MIN_DF, stop_words: Iterable[str] = ENGLISH_STOP_WORDS,
             n_max: int = NGRAM_MAX, sublinear: bool = True, use_idf: bool = True,
             tc: DataFrame | None = None) -> "TfidfModel":
         """Fit on documents ``df`` or on already counted terms ``tc`` (one row
-        per document with a ``tc`` column, as made by :func:`doc_terms`)."""
+        per document with a ``tc`` column, as made by :func:`doc_terms`).
+        ``max_features`` bounds what the driver holds."""
+        if not 0 < max_features <= MAX_VOCABULARY:
+            raise ValueError(f"max_features must be 1 to {MAX_VOCABULARY}")
         stop_words = tuple(stop_words)
         if tc is None:
             tc = doc_terms(df, text, stop_words, n_max)
@@ -89,39 +107,43 @@ class TfidfModel:
         return TfidfModel(vocab, n_docs, stop_words, n_max, sublinear, use_idf)
 
     def vocab_df(self, spark: SparkSession) -> DataFrame:
-        key = id(spark)
-        if key not in self._df_cache:
-            self._df_cache[key] = spark.createDataFrame(self.vocab, VOCAB_SCHEMA)
-        return self._df_cache[key]
+        return spark.createDataFrame(self.vocab, VOCAB_SCHEMA)
+
+    def _buckets(self) -> tuple[Column, int]:
+        """The vocabulary as a constant: array of buckets of (term, ix, idf),
+        a term's bucket being its crc32 modulo their number."""
+        n = 1 << max(self.size.bit_length(), 4)
+        rows: list[list] = [[] for _ in range(n)]
+        for term, ix, _, _, idf in self.vocab:
+            rows[crc32(term.encode()) % n].append({"t": term, "i": ix, "d": idf})
+        text = json.dumps(rows, ensure_ascii=False)
+        return F.from_json(F.lit(text), "array<array<struct<t:string,i:int,d:double>>>"), n
 
     def transform(self, df: DataFrame | None, text: str = "text", keep: Iterable[str] = (),
                   tc: DataFrame | None = None) -> DataFrame:
-        """row_id, *keep, pairs array<struct<ix int, w double>> (sorted by ix, L2 = 1 or empty).
+        """*keep, pairs array<struct<ix int, w double>> (sorted by ix, L2 = 1 or empty);
+        one row per row of the input, in its partition.
         ``tc``: already counted terms (with the keep columns) instead of ``df``."""
-        keep = [c for c in keep if c != "row_id"]
+        keep = list(keep)
         if tc is None:
-            tc = doc_terms(df, text, self.stop_words, self.n_max, keep=["row_id", *keep])
-        else:
-            tc = tc.select("row_id", *keep, "tc")
-        # carried columns ride on the first exploded row only (nulls elsewhere
-        # cost nothing), so a long document is not copied once per term
-        x = tc.select("row_id", *keep, F.posexplode_outer("tc").alias("_pos", "x"))
-        x = x.select("row_id", *[F.when(F.coalesce(F.col("_pos"), F.lit(0)) == 0, F.col(c)).alias(c) for c in keep], "x")
-        voc = F.broadcast(self.vocab_df(tc.sparkSession).select("term", "term_ix", "idf"))
-        j = x.join(voc, F.col("x.term") == voc["term"], "left")
-        tfw = (1.0 + F.log(F.col("x.tf"))) if self.sublinear else F.col("x.tf").cast("double")
-        raw = tfw * F.col("idf")
-        pair = F.when(F.col("term_ix").isNotNull(), F.struct(F.col("term_ix").alias("ix"), raw.alias("w")))
-        g = j.groupBy("row_id").agg(
-            *[F.any_value(c, ignoreNulls=True).alias(c) for c in keep],
-            F.array_sort(F.collect_list(pair)).alias("_p"),
-            F.sqrt(F.sum(F.when(F.col("term_ix").isNotNull(), raw * raw))).alias("_norm"))
-        pairs = F.transform("_p", lambda p: F.struct(p["ix"].alias("ix"), (p["w"] / F.col("_norm")).alias("w")))
-        return g.select("row_id", *keep, pairs.cast(PAIRS).alias("pairs"))
+            tc = doc_terms(df, text, self.stop_words, self.n_max, keep=keep)
+        buckets, n = self._buckets()
+
+        def look_up(x: Column) -> Column:
+            place = (F.crc32(x["term"].cast("binary")) % n).cast("int")
+            found = F.get(F.filter(F.get(buckets, place), lambda e: e["t"] == x["term"]), 0)
+            tf = (1.0 + F.log(x["tf"])) if self.sublinear else x["tf"].cast("double")
+            return F.struct(found["i"].alias("ix"), (tf * found["d"]).alias("w"))
+
+        known = F.sort_array(F.filter(F.transform("tc", look_up), lambda p: p["ix"].isNotNull()))
+        norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, p: s + p["w"] * p["w"]))
+        scaled = F.transform(F.array(known), lambda a: F.transform(F.array(norm(a)), lambda z: F.transform(
+            a, lambda p: F.struct(p["ix"].alias("ix"), (p["w"] / z).alias("w"))))[0])[0]
+        return tc.select(*keep, scaled.cast(PAIRS).alias("pairs"))
 
     def long_form(self, df: DataFrame, text: str = "text") -> DataFrame:
         """(row_id, term_ix, weight)."""
-        t = self.transform(df, text)
+        t = self.transform(df, text, keep=["row_id"])
         return t.select("row_id", F.explode("pairs").alias("p")).select(
             "row_id", F.col("p.ix").alias("term_ix"), F.col("p.w").alias("weight"))
 

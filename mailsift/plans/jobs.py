@@ -1,30 +1,35 @@
-"""Training-side studies built from the operators.
+"""Training-side studies and jobs built from the operators.
 
 compare_models    M7: fit LR / NB / SVM on one cached feature table, score the
                   hold-out, evaluate all models in one grouped pass, pick the best
 learning_curve    M8: folds x nested prefixes; naive Bayes for all 25 cells in
-                  one grouped aggregate (cell = fold, size), weighted F1
+                  one grouped aggregate (cell = fold, size), the others fitted
+                  cell by cell; weighted F1
 contribution      M9: growing source prefixes, each with its own split and
-                  vocabulary, three models per stage
+                  vocabulary over terms counted once, three models per stage
 score_external    M10: clean, drop empty, score, append prediction + confidence
-PRESETS           M11: parameter sets of the earlier pipeline versions
+PRESETS           M11: parameter sets and source lists of the earlier versions
+train_from_files  the whole run: five CSV shapes -> corpus -> models -> result tables
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import FOLDS, LEGITIMATE, PHISHING
-from ..functions.text import clean_text
+from ..functions.constants import ENGLISH_STOP_WORDS, FOLDS, LEGITIMATE, MAX_FEATURES, NGRAM_MAX, PHISHING
+from ..functions.text import clean_text, normalise_label, strip_ws
 from ..operators import corpus as C
 from ..operators import metrics as MT
 from ..operators import models as MD
 from ..operators import split as SP
+from ..operators.explain import top_features
 from ..operators.tfidf import TfidfModel
-from .pipeline import TextRun
+from ..session import scratch_path
+from ..sources.io import read_corpus, save_model, with_row_ids, write_table
+from .pipeline import TextRun, materialise
 
 MODEL_ORDER = ("Logistic Regression", "Naive Bayes", "SVM")
 
@@ -43,6 +48,44 @@ def compare_models(run: TextRun, models=MODEL_ORDER) -> tuple[DataFrame, DataFra
 
 # ------------------------------------------------------------ learning curve
 
+def learning_curve(run: TextRun, name: str, k: int = FOLDS) -> DataFrame:
+    """(size, train_score, validation_score) of the named model: the mean
+    weighted F1 over the folds. One fit per (fold, size) for the models of MLlib,
+    from a small thread pool over the cached features."""
+    if name == "Naive Bayes":
+        return learning_curve_nb(run, k)
+    from concurrent.futures import ThreadPoolExecutor
+    fit = {"Logistic Regression": MD.fit_logistic_regression, "SVM": MD.fit_linear_svm}[name]
+    feats = run.train_features.select("row_id", "label", "pairs")
+    folded = SP.stratified_folds(run.train.select("row_id", "label"), k)
+    cells = SP.train_prefixes(folded, k)
+    sets = materialise(cells.join(feats, "row_id"))
+    held = materialise(folded.select("row_id", "fold").join(feats, "row_id"))
+    grid = sorted((r[0], r[1]) for r in cells.select("fold", "size").distinct().collect())  # k folds x 5 sizes
+
+    def one(cell):
+        fold, size = cell
+        own = sets.filter((F.col("fold") == fold) & (F.col("size") == size))
+        model = fit(own, run.n_features)
+        valid = held.filter(F.col("fold") == fold)
+        both = [model.score(d, keep=("label",)).select(F.lit(fold).alias("fold"), F.lit(size).alias("size"), F.lit(kind).alias("kind"),
+                                                       F.col("label").alias("actual"), "predicted")
+                for d, kind in ((own, "train"), (valid, "validation"))]
+        return both[0].unionByName(both[1])
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        scored = list(pool.map(one, grid))
+    union = scored[0]
+    for more in scored[1:]:
+        union = union.unionByName(more)
+    return _curve(_weighted_f1(union, ("fold", "size", "kind")))
+
+
+def _curve(per_cell: DataFrame) -> DataFrame:
+    return (per_cell.groupBy("size").pivot("kind", ["train", "validation"]).agg(F.avg("weighted_f1"))
+            .select("size", F.col("train").alias("train_score"), F.col("validation").alias("validation_score")))
+
+
 def _weighted_f1(pred: DataFrame, by) -> DataFrame:
     """Support-weighted F1 over the two classes."""
     r = MT.classification_report(pred, by=by)
@@ -93,51 +136,43 @@ def learning_curve_nb(run: TextRun, k: int = FOLDS, alpha: float = 1.0) -> DataF
     sizes = cells.select("fold", "size").distinct()
     valid = folded.join(sizes, "fold").select("row_id", "fold", "size")
     per_cell = score(cells, "train").unionByName(score(valid, "validation"))
-    return (per_cell.groupBy("size").pivot("kind", ["train", "validation"]).agg(F.avg("weighted_f1"))
-            .select("size", F.col("train").alias("train_score"), F.col("validation").alias("validation_score")))
+    return _curve(per_cell)
 
 
 # ------------------------------------------------------------ contribution
 
 def contribution(corpus_by_source: DataFrame, stage_names: list[str], models=MODEL_ORDER,
-                 max_features: int = 15000) -> DataFrame:
+                 max_features: int = MAX_FEATURES) -> DataFrame:
     """Rows: dataset, model, accuracy, precision, recall, f1. Stage s holds the
-    first s sources, re-cleaned, not deduplicated; single-class stages are skipped."""
-    from concurrent.futures import ThreadPoolExecutor
-    spark = corpus_by_source.sparkSession
-    staged = C.cumulative_corpora(corpus_by_source, len(stage_names)).persist()
+    first s sources, re-cleaned, not deduplicated; single-class stages are skipped.
 
-    def one(s_name):
-        s, name = s_name
-        df = staged.filter(F.col("stage") == s).drop("stage")
+    The re-cleaned texts are tokenised and counted once; a stage is a filter over
+    that table, with its own split, vocabulary and models."""
+    spark = corpus_by_source.sparkSession
+    base = C.finalise(corpus_by_source)
+    counted = materialise(MD.counted_terms((ENGLISH_STOP_WORDS, NGRAM_MAX), base, keep=("row_id", "source_rank", "label")))
+    rows = []
+    for s, name in enumerate(stage_names, start=1):
+        df = counted.filter(F.col("source_rank") < s)
         if not C.require_two_classes(df, on_fail="skip"):
-            return None
+            continue
         run = TextRun(spark, df, max_features=max_features)
         res, _, _ = compare_models(run, models)
-        return res.withColumn("dataset", F.lit(name)).persist()
-
-    # independent stages: their jobs overlap from a small driver thread pool
-    with ThreadPoolExecutor(max_workers=min(4, len(stage_names))) as pool:
-        out = [r for r in pool.map(one, list(enumerate(stage_names, start=1))) if r is not None]
-    if not out:
-        return spark.createDataFrame([], "dataset string, model string, accuracy double, precision double, recall double, f1 double")
-    u = out[0]
-    for o in out[1:]:
-        u = u.unionByName(o)
-    return u.select("dataset", "model", "accuracy", "precision", "recall", F.col("f1_score").alias("f1"))
+        rows += [(name, r["model"], r["accuracy"], r["precision"], r["recall"], r["f1_score"])
+                 for r in res.orderBy("model_rank").collect()]  # a row a model
+        run.release()
+    counted.unpersist()
+    return spark.createDataFrame(rows, "dataset string, model string, accuracy double, precision double, recall double, f1 double")
 
 
 # ------------------------------------------------------------ external scoring
 
 def score_external(tfidf: TfidfModel, model: MD.LinearModel, df: DataFrame, text: str = "text") -> DataFrame:
     """Clean (one pass), drop empty text, score; every other column is kept.
-    phishing_confidence is null for models without probabilities."""
+    phishing_confidence is null for models without probabilities. Map-only."""
     cols = [c for c in df.columns if c != text]
-    d = df.select(*cols, clean_text(text).alias(text))
-    # ids assigned once, before any shuffle; every other column rides along
-    d = C.nonempty(d, text).withColumn("row_id", F.monotonically_increasing_id())
-    feats = MD.featurise(tfidf, d, text=text, keep=[*cols, text])
-    s = feats.select(*cols, text, model.margin().alias("_m"))
+    d = df.filter(C.has_text([text])).select(*cols, clean_text(text).alias(text))
+    s = MD.featurise(tfidf, d, text=text, keep=[*cols, text]).select(*cols, text, model.margin().alias("_m"))
     conf = F.lit(None).cast("double") if not model.has_proba else 1.0 / (1.0 + F.exp(-F.col("_m")))
     return s.select(*cols, text, F.when(F.col("_m") > 0, F.lit(PHISHING)).otherwise(F.lit(LEGITIMATE)).alias("predicted_label"),
                     conf.alias("phishing_confidence"))
@@ -148,7 +183,8 @@ def score_external(tfidf: TfidfModel, model: MD.LinearModel, df: DataFrame, text
 @dataclass(frozen=True)
 class PipelineConfig:
     name: str
-    max_features: int | None
+    sources: int           # the first so many of the five sources
+    max_features: int
     min_df: int
     sublinear: bool
     balanced: bool
@@ -162,7 +198,74 @@ class PipelineConfig:
 
 # --- fixed values: parameters of the current and the two earlier versions ---
 PRESETS = {
-    "current": PipelineConfig("current", 15000, 2, True, True, True, True),
-    "before_kaggle": PipelineConfig("before_kaggle", 10000, 1, False, False, False, False),
-    "before_phishtank": PipelineConfig("before_phishtank", 10000, 1, False, False, False, False),
+    "current": PipelineConfig("current", 5, 15000, 2, True, True, True, True),
+    "before_phishtank": PipelineConfig("before_phishtank", 4, 10000, 1, False, False, False, False),
+    "before_kaggle": PipelineConfig("before_kaggle", 3, 10000, 1, False, False, False, False),
 }
+
+
+def preset_runs(raw: DataFrame, models=MODEL_ORDER) -> DataFrame:
+    """Rows: preset, model, accuracy, precision, recall, f1_score. Each preset
+    trains on its own sources of ``raw`` (the corpus view), cleaned its way."""
+    spark, rows = raw.sparkSession, []
+    for name, cfg in PRESETS.items():
+        own = raw.filter(F.col("source_rank") < cfg.sources)
+        if cfg.clean_case:
+            corpus = C.build_corpus(own)
+        else:
+            strip = strip_ws(F.coalesce("raw_text", F.lit("")))
+            corpus = C.dedupe_first(C.valid_raw(own, "raw_text", "raw_label").select(
+                "row_id", "source_rank", "row_no", "source", strip.alias("text"), normalise_label("raw_label").alias("label")))
+        run = TextRun(spark, materialise(corpus), max_features=cfg.max_features, min_df=cfg.min_df,
+                      sublinear=cfg.sublinear, engineered=cfg.engineered, balanced=cfg.balanced)
+        res, _, _ = compare_models(run, models)
+        rows += [(name, r["model"], r["accuracy"], r["precision"], r["recall"], r["f1_score"])
+                 for r in res.orderBy("model_rank").collect()]  # a row a model
+        run.corpus.unpersist()
+        run.release()
+    return spark.createDataFrame(rows, "preset string, model string, accuracy double, precision double, recall double, f1_score double")
+
+
+# ------------------------------------------------------------ the run from files
+
+# --- fixed values: the five file shapes, in the order of their union ---
+FILE_SOURCES = (
+    C.SourceSpec("labelled", 0, ("text",), label_col="label"),
+    C.SourceSpec("legitimate mail", 1, ("subject", "body"), constant_label=LEGITIMATE),
+    C.SourceSpec("phishing mail", 2, ("subject", "body"), constant_label=PHISHING),
+    C.SourceSpec("typed mail", 3, ("Email Text",), label_col="Email Type", keep_label=PHISHING, pre_clean=1),
+    C.SourceSpec("full mail", 4, ("sender", "subject", "body"), label_col="label"),
+)
+
+
+def corpus_from_files(spark: SparkSession, paths: list[str], specs=FILE_SOURCES) -> DataFrame:
+    """CSV files -> the cleaned, deduplicated corpus. Each file is read once, its
+    columns picked by name, numbered and written as Parquet before anything else."""
+    parts = []
+    for path, spec in zip(paths, specs, strict=True):
+        wanted = [*spec.text_cols, *([spec.label_col] if spec.label_col else [])]
+        stored = scratch_path(spark, "source")
+        with_row_ids(read_corpus(spark, path, wanted)).write.parquet(stored)
+        parts.append(C.canonicalise(spark.read.parquet(stored), spec))
+    return C.dedupe_first(C.finalise(C.combine(parts)))
+
+
+def train_from_files(spark: SparkSession, paths: list[str], out_dir: str, models=MODEL_ORDER, specs=FILE_SOURCES,
+                     fmt: str = "csv") -> tuple[TextRun, str | None]:
+    """The whole training run; its tables go to ``out_dir``: corpus, class
+    distribution, source breakdown, model results, a report and the errors (with
+    their texts) of every model, the best model's top terms, and the model itself."""
+    run = TextRun(spark, materialise(C.require_unique(corpus_from_files(spark, paths, specs))))
+    write_table(run.corpus, out_dir, "corpus", "parquet")
+    write_table(C.class_distribution(run.corpus), out_dir, "class_distribution", fmt)
+    write_table(C.source_breakdown(run.corpus), out_dir, "source_breakdown", fmt)
+    results, scored, best = compare_models(run, models)
+    write_table(results, out_dir, "model_results", fmt)
+    write_table(MT.classification_report(scored, by=("model",)), out_dir, "classification_reports", fmt)
+    errors = MT.error_tables(scored, keep=("row_id", "model"))
+    write_table(run.with_text(errors), out_dir, "errors", fmt)
+    if best is not None:
+        model = run.model(best)
+        write_table(top_features(model.coefficients(spark)), out_dir, "top_features", fmt)
+        save_model(spark, f"{out_dir}/model", run.tfidf, model)
+    return run, best

@@ -15,6 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.constants import ENGLISH_STOP_WORDS, MAX_FEATURES, MIN_DF, NGRAM_MAX
 from ..operators import corpus as C
 from ..operators import models as MD
 from ..operators import split as SP
@@ -33,10 +34,10 @@ def materialise(df: DataFrame, checkpoint: bool = False) -> DataFrame:
 @dataclass
 class TextRun:
     spark: SparkSession
-    corpus: DataFrame                      # row_id, source_rank, source, text, label
+    corpus: DataFrame                      # row_id (unique), text, label; or the counted terms instead of the text
     checkpoint: bool = False
-    max_features: int = 15000
-    min_df: int = 2
+    max_features: int = MAX_FEATURES
+    min_df: int = MIN_DF
     sublinear: bool = True
     engineered: bool = True
     balanced: bool = True
@@ -49,7 +50,10 @@ class TextRun:
 
     @property
     def parts(self) -> DataFrame:
-        return self._get("parts", lambda: materialise(SP.stratified_split(self.corpus), self.checkpoint))
+        def build():
+            C.require_two_classes(self.corpus)
+            return materialise(SP.stratified_split(self.corpus), self.checkpoint)
+        return self._get("parts", build)
 
     @property
     def train(self) -> DataFrame:
@@ -62,9 +66,10 @@ class TextRun:
     @property
     def terms(self) -> DataFrame:
         """Every document tokenised and counted once (+ engineered features)."""
-        from ..functions.constants import ENGLISH_STOP_WORDS, NGRAM_MAX
+        if "tc" in self.corpus.columns:
+            return self.parts
         return self._get("terms", lambda: materialise(
-            MD.counted_terms((ENGLISH_STOP_WORDS, NGRAM_MAX), self.parts, keep=("label", "part")), self.checkpoint))
+            MD.counted_terms((ENGLISH_STOP_WORDS, NGRAM_MAX), self.parts, keep=("row_id", "label", "part")), self.checkpoint))
 
     @property
     def tfidf(self) -> TfidfModel:
@@ -84,7 +89,7 @@ class TextRun:
     def features(self) -> DataFrame:
         """row_id, label, part, pairs for every document."""
         return self._get("features", lambda: materialise(
-            MD.featurise_terms(self.tfidf, self.terms, keep=("label", "part"), engineered=self.engineered),
+            MD.featurise_terms(self.tfidf, self.terms, keep=("row_id", "label", "part"), engineered=self.engineered),
             self.checkpoint))
 
     @property
@@ -109,7 +114,15 @@ class TextRun:
         return self._get("svm", lambda: MD.fit_linear_svm(self.train_features, self.n_features, self.names))
 
     def model(self, name: str) -> MD.LinearModel:
-        return {"Logistic Regression": self.lr, "Naive Bayes": self.nb, "SVM": self.svm}[name]
+        """Fits the named model only."""
+        return getattr(self, {"Logistic Regression": "lr", "Naive Bayes": "nb", "SVM": "svm"}[name])
+
+    def release(self) -> None:
+        """Frees the cached stages; the fitted models stay."""
+        for value in self._memo.values():
+            if isinstance(value, DataFrame):
+                value.unpersist()
+        self._memo = {k: v for k, v in self._memo.items() if not isinstance(v, DataFrame)}
 
     def scored(self, model: MD.LinearModel | None = None) -> DataFrame:
         """row_id, actual, margin, predicted, phishing_confidence on the hold-out."""
@@ -117,13 +130,17 @@ class TextRun:
         s = m.score(self.test_features, keep=("label",))
         return s.withColumnRenamed("label", "actual")
 
+    def with_text(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (few, with row_id) and their text."""
+        return rows.join(self.corpus.select("row_id", "text"), "row_id")
+
 
 _RUNS: dict = {}
 
 
 def fixture_run(spark: SparkSession, sf_dir: str) -> TextRun:
     """The text model on the fixture corpus, fitted once per session and folder."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _RUNS:
         corpus = materialise(C.build_corpus(S.corpus_view(spark, sf_dir)))
         _RUNS[key] = TextRun(spark, corpus)

@@ -74,7 +74,7 @@ def q_corpus_valid(spark, sf_dir):
 
 @register("corpus_dedupe", Q.with_ctes(Q.clean_corpus_cte()) + "SELECT row_id, source_rank, source, text, label FROM dedup")
 def q_corpus_dedupe(spark, sf_dir):
-    return corpus(spark, sf_dir)
+    return corpus(spark, sf_dir).select("row_id", "source_rank", "source", "text", "label")
 
 
 @register("class_distribution", Q.with_ctes(Q.clean_corpus_cte()) + """
@@ -101,7 +101,7 @@ UNION ALL SELECT 'deduplicated', source, count(*) FROM dedup GROUP BY source""")
 def q_funnel(spark, sf_dir):
     raw = S.corpus_view(spark, sf_dir)
     valid = C.valid_raw(raw, "raw_text", "raw_label").select(
-        "row_id", "source_rank", "source", "raw_text", T.normalise_label("raw_label").alias("label"))
+        "row_id", "source_rank", "row_no", "source", "raw_text", T.normalise_label("raw_label").alias("label"))
     valid = C.clean_passes(valid, "raw_text", "text", 2)
     return C.funnel([("raw", raw), ("valid", valid), ("deduplicated", C.dedupe_first(valid))])
 
@@ -153,13 +153,13 @@ def q_serving_text(spark, sf_dir):
 
 @register("message_defaults", Q.with_ctes() + f"""
 SELECT uid, CASE WHEN coalesce(subject, '') = '' THEN {Q.q(K.NO_SUBJECT)} ELSE subject END AS subject,
-       CAST(uid AS VARCHAR) AS message_id, substring(coalesce(body, ''), 1, {K.BODY_LIMIT}) AS body
+       CAST(uid AS VARCHAR) AS message_id, coalesce(body, '') AS body
 FROM mail""")
 def q_message_defaults(spark, sf_dir):
     m = S.mail_view(spark, sf_dir)
     return m.select("uid", M.default_subject("subject").alias("subject"),
                     M.default_message_id(F.lit(None).cast("string"), "uid").alias("message_id"),
-                    M.cap_body("body").alias("body"))
+                    M.message_body("body").alias("body"))
 
 
 @register("compose_text", Q.with_ctes() + f"""
@@ -248,6 +248,15 @@ def q_vocabulary(spark, sf_dir):
     return v.select("term", "term_ix", "df", "corpus_tf", r6("idf").alias("idf"))
 
 
+@register("vocabulary_small", Q.with_ctes(_CORPUS, Q.split_cte(), Q.tf_cte("tf_train", "train"), Q.vocab_cte("tf_train", "train", 500)) +
+          "SELECT term, term_ix, df, corpus_tf, round(idf, 6) AS idf FROM vocab")
+def q_vocabulary_small(spark, sf_dir):
+    """A cut that fires, ties at its edge included."""
+    run = fixture_run(spark, sf_dir)
+    small = TF.TfidfModel.fit(None, max_features=500, tc=run.terms.filter(F.col("part") == "train"))
+    return small.vocab_df(spark).select("term", "term_ix", "df", "corpus_tf", r6("idf").alias("idf"))
+
+
 @register("tfidf_weights", Q.with_ctes(_CORPUS, *Q.text_model_ctes()[:5]) +
           "SELECT row_id, ix AS term_ix, round(w, 6) AS weight FROM tfidf")
 def q_tfidf_weights(spark, sf_dir):
@@ -332,14 +341,14 @@ def q_classification_report(spark, sf_dir):
                     r6("f1").alias("f1"), "support")
 
 
-@register("error_tables", _MODEL + """
-SELECT row_id, actual, predicted, round(phishing_confidence, 6) AS phishing_confidence, 'misclassified' AS kind
-FROM scored WHERE actual <> predicted
-UNION ALL SELECT row_id, actual, predicted, round(phishing_confidence, 6),
-       CASE WHEN actual = 'legitimate' THEN 'false_positive' ELSE 'false_negative' END FROM scored WHERE actual <> predicted""")
+@register("error_tables", _MODEL.rstrip() + """,
+wrong AS (SELECT s.*, d.text FROM scored s JOIN dedup d ON d.row_id = s.row_id WHERE actual <> predicted)
+SELECT row_id, text, actual, predicted, round(phishing_confidence, 6) AS phishing_confidence, 'misclassified' AS kind FROM wrong
+UNION ALL SELECT row_id, text, actual, predicted, round(phishing_confidence, 6),
+       CASE WHEN actual = 'legitimate' THEN 'false_positive' ELSE 'false_negative' END FROM wrong""")
 def q_error_tables(spark, sf_dir):
-    e = MT.error_tables(_scored(spark, sf_dir))
-    return e.select("row_id", "actual", "predicted", r6("phishing_confidence").alias("phishing_confidence"), "kind")
+    e = fixture_run(spark, sf_dir).with_text(MT.error_tables(_scored(spark, sf_dir)))
+    return e.select("row_id", "text", "actual", "predicted", r6("phishing_confidence").alias("phishing_confidence"), "kind")
 
 
 @register("top_features", _MODEL + f"""
@@ -386,12 +395,12 @@ _MAIL = Q.with_ctes(_CORPUS, *Q.text_model_ctes(), *Q.mail_ctes())
 
 
 def _classified(spark, sf_dir):
-    key = ("classified", id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CLASSIFIED:
         run = fixture_run(spark, sf_dir)
         msgs = S.mail_view(spark, sf_dir)
         dom = CL.trusted_domains(S.trusted_view(spark, sf_dir))
-        _CLASSIFIED[key] = CL.classify_messages(run.tfidf, run.nb, msgs, dom).persist()
+        _CLASSIFIED[key] = CL.classify_messages(run.tfidf, run.nb, msgs, dom, keep=("sender",)).persist()
     return _CLASSIFIED[key]
 
 
@@ -449,11 +458,11 @@ def q_phishing_view(spark, sf_dir):
 
 
 @register("new_messages", Q.with_ctes() + """
-SELECT uid, sender, subject FROM mail WHERE uid > (SELECT CAST(floor(avg(doc_id)) AS BIGINT) FROM labels)""")
+SELECT uid, sender, subject, body FROM mail WHERE uid > (SELECT CAST(floor(avg(doc_id)) AS BIGINT) FROM labels)""")
 def q_new_messages(spark, sf_dir):
     # last seen uid: a high-water mark derived from the labels table
     last = S.table(spark, sf_dir, "labels").agg(F.floor(F.avg("doc_id"))).first()[0]
-    return CL.new_messages(S.mail_view(spark, sf_dir), last).select("uid", "sender", "subject")
+    return CL.new_messages(S.mail_view(spark, sf_dir), last).select("uid", "sender", "subject", "body")
 
 
 @register("cumulative_corpora", Q.with_ctes(Q.clean_corpus_cte()) + """
@@ -461,19 +470,86 @@ SELECT s.stage, v.label, count(*) AS count FROM valid v
 JOIN (VALUES (1), (2), (3), (4), (5)) s(stage) ON v.source_rank + 1 <= s.stage GROUP BY s.stage, v.label""")
 def q_cumulative_corpora(spark, sf_dir):
     raw = S.corpus_view(spark, sf_dir)
-    once = raw.select("row_id", "source_rank", "source", T.clean_text("raw_text").alias("text"),
+    once = raw.select("row_id", "source_rank", "row_no", "source", T.clean_text("raw_text").alias("text"),
                       T.normalise_label("raw_label").alias("label"))
     staged = C.cumulative_corpora(C.valid_rows(once), 5)
     return staged.groupBy("stage", "label").agg(F.count(F.lit(1)).alias("count"))
 
 
-# ------------------------------------------------------------ jobs (rows-only checks: no SQL form)
+# ------------------------------------------------------------ canonical sources (P1-P4, F2, U1, W1)
 
-from ..operators import synth as SY  # noqa: E402
-from ..sources import io as IO  # noqa: E402
+from .pipeline import TextRun, materialise  # noqa: E402
+
+
+def _conv_view(spark, sf_dir):
+    c = S.table(spark, sf_dir, "conversations")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.col("role").alias("sender"),
+                    F.col("turn").cast("string").alias("subject"), F.col("text").alias("body"),
+                    F.when(F.col("role") == "user", F.lit("spam")).otherwise(F.lit("ham")).alias("raw_label"))
+
+
+def _sources_sql():
+    cl, nl = Q.clean_text, Q.normalise_label
+    fin = lambda t: f"{cl(t)}"
+    return Q.with_ctes("""
+conv AS (SELECT conv_id * 1000 + turn AS row_id, role AS sender, CAST(turn AS VARCHAR) AS subject, text AS body,
+                CASE WHEN role = 'user' THEN 'spam' ELSE 'ham' END AS raw_label FROM conversations)""") + f"""
+, a0 AS (SELECT row_id, 0 AS source_rank, 'corpus' AS source, raw_text AS text, raw_label AS label FROM corpus),
+a AS (SELECT row_id, source_rank, source, {fin('text')} AS text, {nl('label')} AS label FROM a0),
+b0 AS (SELECT uid AS row_id, 1 AS source_rank, 'mail' AS source,
+              trim(concat_ws(' ', {cl('subject')}, {cl('body')}), ' ') AS text, 'legitimate' AS label FROM mail),
+b AS (SELECT row_id, source_rank, source, {fin('text')} AS text, {nl('label')} AS label FROM b0),
+c0 AS (SELECT row_id, 2 AS source_rank, 'turns' AS source,
+              trim(concat_ws(' ', {cl('sender')}, {cl('subject')}, {cl('body')}), ' ') AS text, {nl('raw_label')} AS label FROM conv),
+c AS (SELECT row_id, source_rank, source, {fin('text')} AS text, {nl('label')} AS label FROM c0 WHERE label = 'phishing'),
+u AS (SELECT * FROM a WHERE text <> '' AND label IN ('legitimate', 'phishing')
+      UNION ALL SELECT * FROM b WHERE text <> '' AND label IN ('legitimate', 'phishing')
+      UNION ALL SELECT * FROM c WHERE text <> '' AND label IN ('legitimate', 'phishing')),
+f AS (SELECT row_id, source_rank, source, {cl('text')} AS text, {nl('label')} AS label FROM u),
+fv AS (SELECT * FROM f WHERE text <> '' AND label IN ('legitimate', 'phishing')),
+united AS (SELECT source_rank || ':' || row_id AS row_id, source, text, label FROM (
+  SELECT *, row_number() OVER (PARTITION BY text, label ORDER BY source_rank, row_id) AS rn FROM fv) WHERE rn = 1)
+"""
+
+
+_SOURCES = _sources_sql()
+
+
+def _united(spark, sf_dir):
+    """Three sources that all count their rows from about 0."""
+    a = C.canonicalise(S.corpus_view(spark, sf_dir), C.SourceSpec("corpus", 0, ("raw_text",), label_col="raw_label"))
+    b = C.canonicalise(S.mail_view(spark, sf_dir).withColumnRenamed("uid", "row_id"),
+                       C.SourceSpec("mail", 1, ("subject", "body"), constant_label=K.LEGITIMATE))
+    c = C.canonicalise(_conv_view(spark, sf_dir),
+                       C.SourceSpec("turns", 2, ("sender", "subject", "body"), label_col="raw_label", keep_label=K.PHISHING))
+    return C.dedupe_first(C.finalise(C.combine([a, b, c])))
+
+
+@register("canonical_sources", _SOURCES + "SELECT row_id, source, text, label FROM united")
+def q_canonical_sources(spark, sf_dir):
+    return _united(spark, sf_dir).select("row_id", "source", "text", "label")
+
+
+@register("multi_source_training", _SOURCES.rstrip() + ",\n" + ",\n".join(x.strip() for x in Q.text_model_ctes("united")) + """
+SELECT row_id, actual, predicted, round(margin, 6) AS margin FROM scored""")
+def q_multi_source_training(spark, sf_dir):
+    """The whole text model on sources whose row numbers collide."""
+    run = TextRun(spark, C.require_unique(materialise(_united(spark, sf_dir))))
+    s = run.scored(run.nb)
+    return s.select("row_id", "actual", "predicted", r6("margin").alias("margin"))
+
+
+# ------------------------------------------------------------ studies and jobs
+
+from ..operators import surrogate as SG  # noqa: E402
 from ..session import scratch_path  # noqa: E402
+from ..sources import io as IO  # noqa: E402
 from . import jobs as JB  # noqa: E402
 
+_METRIC_COLUMNS = ("accuracy", "precision", "recall")
+_METRICS = f"""round({_div('tp + tn', 'tp + tn + fp + fn')}, 6) AS accuracy, round({_div('tp', 'tp + fp')}, 6) AS precision,
+       round({_div('tp', 'tp + fn')}, 6) AS recall, round({_div('2 * tp', '2 * tp + fp + fn')}, 6) AS """
+
 
 @register("compare_models")
 def q_compare_models(spark, sf_dir):
@@ -481,175 +557,312 @@ def q_compare_models(spark, sf_dir):
     return res.withColumn("is_best", F.col("model") == F.lit(best))
 
 
-@register("learning_curve_nb")
+@register("learning_curve")
+def q_learning_curve(spark, sf_dir):
+    """Of the best of the three models."""
+    run = fixture_run(spark, sf_dir)
+    _, _, best = JB.compare_models(run)
+    return JB.learning_curve(run, best).withColumn("model", F.lit(best))
+
+
+_CURVE = Q.with_ctes(_CORPUS, *Q.text_model_ctes(), _FOLDS, _PREFIX).rstrip() + """,
+cells AS (SELECT row_id, fold, CAST(size AS INT) AS size FROM prank CROSS JOIN sizes WHERE rk <= size),
+cfc AS (SELECT c.fold, c.size, t.label, f.ix, sum(f.w) AS s FROM cells c JOIN train t ON t.row_id = c.row_id
+        JOIN feats f ON f.row_id = c.row_id GROUP BY c.fold, c.size, t.label, f.ix),
+csum AS (SELECT fold, size, sum(s) FILTER (label = 'phishing') AS t_p, sum(s) FILTER (label = 'legitimate') AS t_l FROM cfc GROUP BY fold, size),
+cnum AS (SELECT c.fold, c.size, count(*) FILTER (t.label = 'phishing') AS n_p, count(*) FILTER (t.label = 'legitimate') AS n_l
+         FROM cells c JOIN train t ON t.row_id = c.row_id GROUP BY c.fold, c.size),
+delta AS (SELECT fold, size, ix, ln(coalesce(sum(s) FILTER (label = 'phishing'), 0) + 1.0)
+                 - ln(coalesce(sum(s) FILTER (label = 'legitimate'), 0) + 1.0) AS d FROM cfc GROUP BY fold, size, ix),
+judged AS (SELECT row_id, fold, size, 'train' AS kind FROM cells UNION ALL
+           SELECT f.row_id, f.fold, z.size, 'validation' FROM folds f JOIN (SELECT DISTINCT fold, size FROM cells) z ON z.fold = f.fold),
+summed AS (SELECT e.row_id, e.fold, e.size, e.kind, t.label, coalesce(sum(f.w), 0) AS sx, coalesce(sum(f.w * coalesce(d.d, 0)), 0) AS sd
+           FROM judged e JOIN train t ON t.row_id = e.row_id LEFT JOIN feats f ON f.row_id = e.row_id
+           LEFT JOIN delta d ON d.fold = e.fold AND d.size = e.size AND d.ix = f.ix GROUP BY e.row_id, e.fold, e.size, e.kind, t.label),
+told AS (SELECT s.*, CASE WHEN CASE WHEN n_p > 0 AND n_l > 0 THEN ln(n_p) - ln(n_l) END
+                + (ln(t_l + n_features) - ln(t_p + n_features)) * sx + sd > 0 THEN 'phishing' ELSE 'legitimate' END AS predicted
+         FROM summed s JOIN csum USING (fold, size) JOIN cnum USING (fold, size) CROSS JOIN nf),
+cells_cm AS (SELECT fold, size, kind, count(*) FILTER (label = 'phishing' AND predicted = 'phishing') AS tp,
+               count(*) FILTER (label = 'legitimate' AND predicted = 'phishing') AS fp,
+               count(*) FILTER (label = 'phishing' AND predicted = 'legitimate') AS fn,
+               count(*) FILTER (label = 'legitimate' AND predicted = 'legitimate') AS tn FROM told GROUP BY fold, size, kind),
+""" + f"""wf AS (SELECT size, kind, ({_div('2 * tp', '2 * tp + fp + fn')} * (tp + fn) + {_div('2 * tn', '2 * tn + fp + fn')} * (tn + fp))
+                      / (tp + fp + fn + tn) AS f FROM cells_cm)
+SELECT size, round(avg(f) FILTER (kind = 'train'), 6) AS train_score, round(avg(f) FILTER (kind = 'validation'), 6) AS validation_score
+FROM wf GROUP BY size"""
+
+
+@register("learning_curve_nb", _CURVE)
 def q_learning_curve_nb(spark, sf_dir):
-    return JB.learning_curve_nb(fixture_run(spark, sf_dir))
+    c = JB.learning_curve_nb(fixture_run(spark, sf_dir))
+    return c.select("size", r6("train_score").alias("train_score"), r6("validation_score").alias("validation_score"))
 
 
-@register("dataset_contribution")
-def q_dataset_contribution(spark, sf_dir):
+def _stages(spark, sf_dir):
     raw = S.corpus_view(spark, sf_dir)
-    once = raw.select("row_id", "source_rank", "source", T.clean_text("raw_text").alias("text"),
+    once = raw.select("row_id", "source_rank", "row_no", "source", T.clean_text("raw_text").alias("text"),
                       T.normalise_label("raw_label").alias("label"))
-    names = [" + ".join(S.SOURCE_NAMES[: i + 1]) for i in range(len(S.SOURCE_NAMES))]
-    # naive Bayes per stage here; models=JB.MODEL_ORDER runs all three
-    return JB.contribution(C.valid_rows(once), names, models=("Naive Bayes",))
+    return C.valid_rows(once), [" + ".join(S.SOURCE_NAMES[: i + 1]) for i in range(len(S.SOURCE_NAMES))]
+
+
+@register("dataset_contribution")
+def q_dataset_contribution(spark, sf_dir):
+    return JB.contribution(*_stages(spark, sf_dir))
+
 
+def _nb_metrics_sql(head: str, source: str, names: str, f1: str, **how) -> str:
+    ctes = ",\n".join(x.strip() for x in (*Q.text_model_ctes(source, **how), _COUNTS))
+    return f"SELECT * FROM ({head.rstrip()},\n{ctes}\nSELECT {names}, {_METRICS}{f1} FROM cm)"
 
-@register("external_scoring")
+
+@register("dataset_contribution_nb", " UNION ALL ".join(
+    _nb_metrics_sql(Q.with_ctes(_CORPUS, f"staged AS (SELECT * FROM valid WHERE source_rank < {s})"), "staged",
+                    f"'{' + '.join(S.SOURCE_NAMES[:s])}' AS dataset, 'Naive Bayes' AS model", "f1") for s in range(1, 6)))
+def q_dataset_contribution_nb(spark, sf_dir):
+    c = JB.contribution(*_stages(spark, sf_dir), models=("Naive Bayes",))
+    return c.select("dataset", "model", *[r6(x).alias(x) for x in (*_METRIC_COLUMNS, "f1")])
+
+
+@register("external_scoring", _MODEL.rstrip() + f""",
+ext AS (SELECT *, conv_id * 1000 + turn AS row_id, {Q.clean_text('text')} AS ctext FROM conversations),
+kept AS (SELECT * FROM ext WHERE ctext <> ''),
+""" + ",\n".join(x.strip() for x in (Q.tf_cte("tf_ext", "kept", "ctext"), Q.tfidf_cte("xtfidf", "tf_ext"),
+                                      Q.engineered_pairs_cte("xeng", "kept", "ctext"),
+                                      "xfeats AS (SELECT * FROM xtfidf UNION ALL SELECT * FROM xeng)",
+                                      Q.margins_cte("xm", "kept", "xfeats", None))) + """
+SELECT conv_id, turn, role, ctext AS text, CASE WHEN margin > 0 THEN 'phishing' ELSE 'legitimate' END AS predicted_label,
+       round(1.0 / (1.0 + exp(-margin)), 6) AS phishing_confidence FROM kept JOIN xm ON xm.row_id = kept.row_id""")
 def q_external_scoring(spark, sf_dir):
     """Score an external table (conversation turns: a text column plus others)."""
     run = fixture_run(spark, sf_dir)
-    ext = S.table(spark, sf_dir, "conversations")
-    return JB.score_external(run.tfidf, run.nb, ext)
+    ext = IO.read_if_present(spark, f"{sf_dir}/conversations.parquet", "text", "parquet")
+    return JB.score_external(run.tfidf, run.nb, ext).withColumn("phishing_confidence", r6("phishing_confidence"))
 
 
-@register("preset_ablation")
-def q_preset_ablation(spark, sf_dir):
-    """Naive Bayes hold-out metrics under each pipeline preset."""
-    from .pipeline import TextRun, materialise
+@register("optional_table", "SELECT 'conversations' AS name, true AS there, count(*) AS rows FROM conversations "
+          "UNION ALL SELECT 'nothing', false, 0 UNION ALL SELECT 'events', false, 0")
+def q_optional_table(spark, sf_dir):
+    """An external table is used only if it exists and has a text column."""
     out = None
-    for name, cfg in JB.PRESETS.items():
-        raw = S.corpus_view(spark, sf_dir)
-        if cfg.clean_case:
-            corpus_df = fixture_run(spark, sf_dir).corpus
-        else:
-            strip = T.strip_ws(F.coalesce("raw_text", F.lit("")))
-            corpus_df = materialise(C.dedupe_first(C.valid_rows(raw.select(
-                "row_id", "source_rank", "source", strip.alias("text"), T.normalise_label("raw_label").alias("label")))))
-        run = TextRun(spark, corpus_df, max_features=cfg.max_features or 15000, min_df=cfg.min_df,
-                      sublinear=cfg.sublinear, engineered=cfg.engineered, balanced=cfg.balanced)
-        m = MT.binary_metrics(run.scored(run.nb)).withColumn("preset", F.lit(name))
-        out = m if out is None else out.unionByName(m)
+    for name in ("conversations", "nothing", "events"):
+        df = IO.read_if_present(spark, f"{sf_dir}/{name}.parquet", "text", "parquet")
+        n = F.lit(0).cast("long") if df is None else None
+        row = (spark.range(1).select(F.lit(name).alias("name"), F.lit(False).alias("there"), n.alias("rows")) if df is None else
+               df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), F.lit(True).alias("there"), "rows"))
+        out = row if out is None else out.unionByName(row)
     return out
 
 
-@register("synthetic_messages")
-def q_synthetic_messages(spark, sf_dir):
-    """One generated message per document (n grows with the documents table)."""
-    n = S.table(spark, sf_dir, "documents").count()
-    return SP.seeded_shuffle(SY.synthetic_messages(spark, n, balanced=True, seed=42))
+@register("preset_ablation")
+def q_preset_ablation(spark, sf_dir):
+    """Hold-out metrics of three models under each pipeline preset."""
+    return JB.preset_runs(S.corpus_view(spark, sf_dir))
 
 
-@register("read_corpus_csv")
+def _preset_sql(cfg) -> str:
+    if cfg.clean_case:
+        docs = Q.clean_corpus_cte().replace("FROM corpus", f"FROM corpus WHERE source_rank < {cfg.sources}")
+    else:
+        docs = f"""
+stripped AS (SELECT row_id, source_rank, {Q.strip_ws("coalesce(raw_text, '')")} AS text, {Q.normalise_label('raw_label')} AS label
+             FROM corpus WHERE source_rank < {cfg.sources}),
+dedup AS (SELECT row_id, source_rank, text, label FROM (
+    SELECT *, row_number() OVER (PARTITION BY text, label ORDER BY source_rank, row_id) AS rn FROM stripped
+    WHERE text <> '' AND label IN ('legitimate', 'phishing')) WHERE rn = 1)"""
+    return _nb_metrics_sql(Q.with_ctes(docs), "dedup", f"'{cfg.name}' AS preset, 'Naive Bayes' AS model", "f1_score",
+                           max_features=cfg.max_features, min_df=cfg.min_df, sublinear=cfg.sublinear, engineered=cfg.engineered)
+
+
+@register("preset_ablation_nb", " UNION ALL ".join(_preset_sql(cfg) for cfg in JB.PRESETS.values()))
+def q_preset_ablation_nb(spark, sf_dir):
+    c = JB.preset_runs(S.corpus_view(spark, sf_dir), models=("Naive Bayes",))
+    return c.select("preset", "model", *[r6(x).alias(x) for x in (*_METRIC_COLUMNS, "f1_score")])
+
+
+@register("two_class_guard", Q.with_ctes(Q.clean_corpus_cte()) + """
+SELECT s.source_rank, s.source, count(DISTINCT v.label) >= 2 AS both FROM (SELECT DISTINCT source_rank, source FROM corpus) s
+LEFT JOIN valid v ON v.source_rank = s.source_rank GROUP BY s.source_rank, s.source""")
+def q_two_class_guard(spark, sf_dir):
+    valid, _ = _stages(spark, sf_dir)
+    valid = valid.select("source_rank", "label")
+    return spark.createDataFrame([(i, name, C.require_two_classes(valid.filter(F.col("source_rank") == i), on_fail="skip"))
+                                  for i, name in enumerate(S.SOURCE_NAMES)], "source_rank int, source string, both boolean")
+
+
+@register("seeded_shuffle", Q.with_ctes() + "SELECT uid, sender FROM mail")
+def q_seeded_shuffle(spark, sf_dir):
+    return SP.seeded_shuffle(S.mail_view(spark, sf_dir).select("uid", "sender"), "uid")
+
+
+@register("inbox_order", Q.with_ctes() + "SELECT uid, subject FROM mail")
+def q_inbox_order(spark, sf_dir):
+    return CL.inbox_order(S.mail_view(spark, sf_dir).select("uid", "subject"))
+
+
+@register("trusted_domains_csv", Q.with_ctes() + "SELECT DISTINCT domain FROM trusted WHERE domain IS NOT NULL AND domain <> ''")
+def q_trusted_domains_csv(spark, sf_dir):
+    path = scratch_path(spark, "domains")
+    hosts = S.trusted_view(spark, sf_dir).select(F.lit(1).alias("rank"), F.concat(F.lit(" "), F.upper("domain")).alias("Domain"))
+    IO.write_table(hosts.unionByName(hosts), path, "domains", fmt="csv")
+    return IO.read_trusted_domains(spark, path + "/domains").unionByName(IO.read_trusted_domains(spark, path + "/none"))
+
+
+_NA = ", ".join(Q.q(t) for t in K.NA_TOKENS)
+
+
+@register("read_corpus_csv", Q.with_ctes() + f"""
+SELECT CASE WHEN raw_text IN ({_NA}) THEN NULL ELSE raw_text END AS raw_text,
+       CASE WHEN raw_label IN ({_NA}) THEN NULL ELSE raw_label END AS raw_label FROM corpus""")
 def q_read_corpus_csv(spark, sf_dir):
-    """CSV round trip of the raw corpus view (quoted newlines, NA tokens)."""
+    """CSV round trip of the raw corpus view (quoted newlines, NA tokens, a
+    column too many, another column order)."""
     path = scratch_path(spark, "corpus-csv")
-    IO.write_table(S.corpus_view(spark, sf_dir).select("raw_text", "raw_label"), path, "corpus", fmt="csv")
+    IO.write_table(S.corpus_view(spark, sf_dir).select("raw_label", F.col("row_id").alias("extra"), "raw_text"), path, "corpus", fmt="csv")
     return IO.read_corpus(spark, path + "/corpus", ["raw_text", "raw_label"])
 
 
-def _write_eml(spark, sf_dir) -> str:
-    """Mail view -> one RFC-822 file per message (uid=<n>/part-*.txt)."""
-    path = scratch_path(spark, "eml")
+def _write_sources(spark, sf_dir) -> list[str]:
+    """The corpus view as five CSV files of the five shapes."""
+    raw, path = S.corpus_view(spark, sf_dir), scratch_path(spark, "files")
+    subject = F.concat(F.lit("About "), "source").alias("subject")
+    body, label, extra = F.col("raw_text").alias("body"), F.col("raw_label").alias("label"), F.col("row_no").alias("extra")
+    shapes = [[label, extra, F.col("raw_text").alias("text")], [extra, subject, body, label], [subject, body, extra],
+              [extra, F.col("raw_text").alias("Email Text"), F.col("raw_label").alias("Email Type")],
+              [F.lit("Desk@example.org").alias("sender"), subject, body, label]]
+    return [IO.write_table(raw.filter(F.col("source_rank") == i).select(*cols), path, f"source{i}", fmt="csv")
+            for i, cols in enumerate(shapes)]
+
+
+def _files_sql() -> str:
+    cl, nl, parts = Q.clean_text, Q.normalise_label, []
+    for spec in JB.FILE_SOURCES:
+        if len(spec.text_cols) == 1:
+            text = cl("raw_text")
+            for _ in range(spec.pre_clean):
+                text = cl(text)
+        else:
+            bits = ([cl("'Desk@example.org'")] if "sender" in spec.text_cols else []) + [cl("concat('About ', source)"), cl("raw_text")]
+            text = cl(f"trim(concat_ws(' ', {', '.join(bits)}), ' ')")
+        label = Q.q(spec.constant_label) if spec.constant_label else nl("raw_label")
+        parts.append(f"SELECT source_rank, row_id, {Q.q(spec.name)} AS source, {text} AS text, {label} AS label FROM corpus "
+                     f"WHERE source_rank = {spec.rank}" + (f" AND {nl('raw_label')} = {Q.q(spec.keep_label)}" if spec.keep_label else ""))
+    return Q.with_ctes("u AS (" + " UNION ALL ".join(parts) + ")") + f"""
+SELECT source, text, label FROM (SELECT *, row_number() OVER (PARTITION BY text, label ORDER BY source_rank, row_id) AS rn FROM (
+  SELECT source_rank, row_id, source, {cl('text')} AS text, label FROM u WHERE text <> '' AND label IN ('legitimate', 'phishing'))) WHERE rn = 1"""
+
+
+@register("file_training_corpus", _files_sql())
+def q_file_training_corpus(spark, sf_dir):
+    """The file-driven run, naive Bayes only; the corpus table that it writes."""
+    out = scratch_path(spark, "run")
+    JB.train_from_files(spark, _write_sources(spark, sf_dir), out, models=("Naive Bayes",))
+    return spark.read.parquet(out + "/corpus").select("source", "text", "label")
+
+
+@register("file_training_tables")
+def q_file_training_tables(spark, sf_dir):
+    """The file-driven run with all models: the model results that it writes."""
+    out = scratch_path(spark, "run")
+    JB.train_from_files(spark, _write_sources(spark, sf_dir), out, fmt="parquet")
+    return spark.read.parquet(out + "/model_results")
+
+
+@register("ingest_messages", Q.with_ctes() + f"""
+SELECT uid, '<' || uid || '@fixture>' AS message_id, ltrim(coalesce(sender, ''), ' ') AS sender,
+       CASE WHEN coalesce(subject, '') = '' THEN {Q.q(K.NO_SUBJECT)} ELSE subject END AS subject, '' AS date,
+       {Q.strip_html("coalesce(body, '')")} AS body FROM mail""")
+def q_ingest_messages(spark, sf_dir):
+    """Every message of the mail view as a raw RFC-822 message in a binary column."""
     m = S.mail_view(spark, sf_dir)
-    msg = F.concat(F.lit("From: "), F.coalesce("sender", F.lit("")), F.lit("\r\nSubject: "), F.coalesce("subject", F.lit("")),
+    raw = F.concat(F.lit("From: "), F.coalesce("sender", F.lit("")), F.lit("\r\nSubject: "), F.coalesce("subject", F.lit("")),
                    F.lit("\r\nMessage-ID: <"), F.col("uid").cast("string"), F.lit("@fixture>\r\n"),
                    F.lit("Content-Type: text/html; charset=utf-8\r\n\r\n<html><body><p>"),
                    F.coalesce("body", F.lit("")), F.lit("</p></body></html>"))
-    m.select("uid", msg.alias("value")).write.partitionBy("uid").text(path)
-    return path
-
-
-@register("ingest_messages")
-def q_ingest_messages(spark, sf_dir):
-    path = _write_eml(spark, sf_dir)
-    return IO.ingest_messages(spark, path + "/uid=*/*.txt")
+    return IO.ingest_messages(m.select("uid", raw.cast("binary").alias("content")))
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", _MODEL + """
+SELECT row_id, round(margin, 6) AS m_loaded, round(margin, 6) AS margin, true AS equal FROM scored""")
 def q_model_roundtrip(spark, sf_dir):
     """Save and reload the fitted pair; scores must equal the in-memory model's."""
     run = fixture_run(spark, sf_dir)
     path = scratch_path(spark, "model")
     IO.save_model(spark, path, run.tfidf, run.nb)
     tf2, nb2 = IO.load_model(spark, path)
-    a = run.nb.score(MD.featurise(tf2, run.test), keep=("label",)).select("row_id", F.col("margin").alias("m_loaded"))
-    b = run.scored().select("row_id", "margin")
-    return a.join(b, "row_id").withColumn("equal", F.abs(F.col("m_loaded") - F.col("margin")) < 1e-9)
+    a = nb2.score(MD.featurise(tf2, run.test), keep=("label",)).select("row_id", F.col("margin").alias("m_loaded"))
+    j = a.join(run.scored().select("row_id", "margin"), "row_id")
+    return j.select("row_id", r6("m_loaded").alias("m_loaded"), r6("margin").alias("margin"),
+                    (F.abs(F.col("m_loaded") - F.col("margin")) < 1e-9).alias("equal"))
+
+
+# ------------------------------------------------------------ two mailboxes, streams
+
+_TWO = _MODEL.rstrip() + f""",
+mails AS (SELECT 'inbox' AS mailbox, uid, sender, subject, body FROM mail
+         UNION ALL SELECT 'archive', conv_id * 8 + turn + 1, role, 'turn', text FROM conversations),
+docs2 AS (SELECT mailbox || ':' || uid AS row_id, mailbox, uid, {Q.clean_text(Q.serving_text('subject', 'sender', 'body'))} AS ctext FROM mails),
+""" + ",\n".join(x.strip() for x in (Q.tf_cte("tf_two", "docs2", "ctext"), Q.tfidf_cte("t2", "tf_two"), Q.engineered_pairs_cte("e2", "docs2", "ctext"),
+                                      "f2 AS (SELECT * FROM t2 UNION ALL SELECT * FROM e2)", Q.margins_cte("m2", "docs2", "f2", None)))
+_TWO_SCORED = _TWO + """,
+done AS (SELECT mailbox, uid, CASE WHEN margin > 0 THEN 'phishing' ELSE 'legitimate' END AS prediction,
+                round(1.0 / (1.0 + exp(-margin)), 6) AS phishing_confidence FROM docs2 JOIN m2 ON m2.row_id = docs2.row_id)
+"""
 
 
-@register("stream_scoring")
-def q_stream_scoring(spark, sf_dir):
-    """Two arrival batches (the second re-delivers every message) scored by
-    the stream; exactly one row per (mailbox, uid) comes out."""
-    from ..streaming.score import score_stream
-    run = fixture_run(spark, sf_dir)
-    root = scratch_path(spark, "stream")
-    ev = S.table(spark, sf_dir, "events").agg(F.min("ts").alias("t0")).first()["t0"]
-    m = S.mail_view(spark, sf_dir).select(F.lit("inbox").alias("mailbox"), "uid", "sender", "subject", "body")
-    m.withColumn("arrival", F.lit(ev)).write.mode("append").parquet(root + "/in")
-    # the whole mailbox is delivered a second time, five minutes later
-    m.withColumn("arrival", F.lit(ev) + F.expr("INTERVAL 5 MINUTES")).write.mode("append").parquet(root + "/in")
-    dom = CL.trusted_domains(S.trusted_view(spark, sf_dir))
-    q = score_stream(spark, root + "/in", root + "/out", root + "/ckpt", run.tfidf, run.nb, dom)
-    q.awaitTermination()
-    return spark.read.parquet(root + "/out").select("mailbox", "uid", "prediction", "phishing_confidence")
+def _two_mailboxes(spark, sf_dir):
+    """Two mailboxes that use the same uids."""
+    inbox = S.mail_view(spark, sf_dir).select(F.lit("inbox").alias("mailbox"), "uid", "sender", "subject", "body")
+    turns = S.table(spark, sf_dir, "conversations").select(
+        F.lit("archive").alias("mailbox"), (F.col("conv_id") * 8 + F.col("turn") + 1).alias("uid"), F.col("role").alias("sender"),
+        F.lit("turn").alias("subject"), F.col("text").alias("body"))
+    return inbox.unionByName(turns)
 
 
-@register("local_surrogate")
-def q_local_surrogate(spark, sf_dir):
-    """Local surrogate explanations for every stored message (bodies capped at
-    5,000 characters as at ingestion); 32 perturbed copies per message."""
-    from ..operators import surrogate as SG
+@register("two_mailbox_scoring", _TWO_SCORED + "SELECT mailbox, uid, prediction, phishing_confidence FROM done")
+def q_two_mailbox_scoring(spark, sf_dir):
     run = fixture_run(spark, sf_dir)
-    msgs = S.mail_view(spark, sf_dir).withColumn("body", M.cap_body("body"))
-    c = CL.classify_messages(run.tfidf, run.nb, msgs, CL.trusted_domains(S.trusted_view(spark, sf_dir)),
-                             with_text=True)
-    out = SG.local_surrogate(run.tfidf, run.nb, c, n_samples=32)
-    return out.select("uid", F.array_join(F.transform("surrogate_features", lambda x: x["feature"]), ", ").alias("features"),
-                      "surrogate_summary")
-
+    c = CL.classify_messages(run.tfidf, run.nb, _two_mailboxes(spark, sf_dir), CL.trusted_domains(S.trusted_view(spark, sf_dir)))
+    return c.select("mailbox", "uid", "prediction", r6("phishing_confidence").alias("phishing_confidence"))
 
-# ------------------------------------------------------------ canonical sources (P1-P4, F2, U1, W1)
 
-def _conv_view(spark, sf_dir):
-    c = S.table(spark, sf_dir, "conversations")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.col("role").alias("sender"),
-                    F.col("turn").cast("string").alias("subject"), F.col("text").alias("body"),
-                    F.when(F.col("role") == "user", F.lit("spam")).otherwise(F.lit("ham")).alias("raw_label"))
+def _streamed(spark, sf_dir) -> str:
+    """The messages arrive in three files, are all delivered again, and two
+    mailboxes use the same uids; some come five hours late. The scored folder."""
+    from ..streaming.score import score_stream
+    run = fixture_run(spark, sf_dir)
+    root = scratch_path(spark, "stream")
+    t0 = S.table(spark, sf_dir, "events").agg(F.min("ts").alias("t0")).first()["t0"]
+    m = _two_mailboxes(spark, sf_dir)
+    late = F.lit(t0) - F.expr("INTERVAL 5 HOURS")
+    for part, arrival in ((m.filter("uid % 2 = 0"), F.lit(t0)), (m.filter("uid % 2 = 1"), late), (m, F.lit(t0))):
+        part.withColumn("arrival", arrival.cast("timestamp")).coalesce(1).write.mode("append").parquet(root + "/in")
+    dom = CL.trusted_domains(S.trusted_view(spark, sf_dir))
+    score_stream(spark, root + "/in", root + "/out", root + "/ckpt", run.tfidf, run.nb, dom, max_files=1).awaitTermination()
+    return root
 
 
-def _sources_sql():
-    cl, nl = Q.clean_text, Q.normalise_label
-    fin = lambda t: f"{cl(t)}"
-    return Q.with_ctes("""
-conv AS (SELECT conv_id * 1000 + turn AS row_id, role AS sender, CAST(turn AS VARCHAR) AS subject, text AS body,
-                CASE WHEN role = 'user' THEN 'spam' ELSE 'ham' END AS raw_label FROM conversations)""") + f"""
-, a0 AS (SELECT row_id, 0 AS source_rank, 'corpus' AS source, raw_text AS text, raw_label AS label FROM corpus),
-a AS (SELECT row_id, source_rank, source, {fin('text')} AS text, {nl('label')} AS label FROM a0),
-b0 AS (SELECT uid AS row_id, 1 AS source_rank, 'mail' AS source,
-              trim(concat_ws(' ', {cl('subject')}, {cl('body')}), ' ') AS text, 'legitimate' AS label FROM mail),
-b AS (SELECT row_id, source_rank, source, {fin('text')} AS text, {nl('label')} AS label FROM b0),
-c0 AS (SELECT row_id, 2 AS source_rank, 'turns' AS source,
-              trim(concat_ws(' ', {cl('sender')}, {cl('subject')}, {cl('body')}), ' ') AS text, {nl('raw_label')} AS label FROM conv),
-c AS (SELECT row_id, source_rank, source, {fin('text')} AS text, {nl('label')} AS label FROM c0 WHERE label = 'phishing'),
-u AS (SELECT * FROM a WHERE text <> '' AND label IN ('legitimate', 'phishing')
-      UNION ALL SELECT * FROM b WHERE text <> '' AND label IN ('legitimate', 'phishing')
-      UNION ALL SELECT * FROM c WHERE text <> '' AND label IN ('legitimate', 'phishing')),
-f AS (SELECT row_id, source_rank, source, {cl('text')} AS text, {nl('label')} AS label FROM u),
-fv AS (SELECT * FROM f WHERE text <> '' AND label IN ('legitimate', 'phishing'))
-SELECT row_id, source, text, label FROM (
-  SELECT *, row_number() OVER (PARTITION BY text, label ORDER BY source_rank, row_id) AS rn FROM fv) WHERE rn = 1"""
+@register("stream_scoring", _TWO_SCORED + "SELECT mailbox, uid, prediction, phishing_confidence FROM done")
+def q_stream_scoring(spark, sf_dir):
+    """Exactly one row per (mailbox, uid) comes out, late ones included."""
+    out = spark.read.parquet(_streamed(spark, sf_dir) + "/out")
+    return out.select("mailbox", "uid", "prediction", r6("phishing_confidence").alias("phishing_confidence"))
 
 
-@register("canonical_sources", _sources_sql())
-def q_canonical_sources(spark, sf_dir):
-    a = C.canonicalise(S.corpus_view(spark, sf_dir), C.SourceSpec("corpus", 0, ("raw_text",), label_col="raw_label"))
-    b = C.canonicalise(S.mail_view(spark, sf_dir).withColumnRenamed("uid", "row_id"),
-                       C.SourceSpec("mail", 1, ("subject", "body"), constant_label=K.LEGITIMATE))
-    c = C.canonicalise(_conv_view(spark, sf_dir),
-                       C.SourceSpec("turns", 2, ("sender", "subject", "body"), label_col="raw_label", keep_label=K.PHISHING))
-    return C.dedupe_first(C.finalise(C.combine([a, b, c]))).select("row_id", "source", "text", "label")
+@register("stream_summary", _TWO_SCORED + "SELECT prediction, count(*) AS count FROM done GROUP BY prediction")
+def q_stream_summary(spark, sf_dir):
+    """Running counts per prediction over the stream's own output (T3)."""
+    from ..streaming.score import latest_summary, stream_summary
+    root = _streamed(spark, sf_dir)
+    stream_summary(spark, root + "/out", root + "/summary", root + "/ckpt2").awaitTermination()
+    return latest_summary(spark, root + "/summary")
 
 
-@register("stream_summary")
-def q_stream_summary(spark, sf_dir):
-    """Running counts per prediction over the stream-scored output (T3)."""
-    from ..streaming.score import stream_summary
-    scored = q_stream_scoring(spark, sf_dir)
-    root = scratch_path(spark, "summary")
-    scored.write.mode("overwrite").parquet(root + "/scored")
-    name = "inbox_summary_" + root.rsplit("-", 1)[-1]
-    stream_summary(spark, root + "/scored", root + "/ckpt", name).awaitTermination()
-    return spark.table(name)
+@register("local_surrogate")
+def q_local_surrogate(spark, sf_dir):
+    """Local surrogate explanations of every stored message, whole texts, from
+    the default number of copies."""
+    run = fixture_run(spark, sf_dir)
+    c = CL.classify_messages(run.tfidf, run.nb, S.mail_view(spark, sf_dir), CL.trusted_domains(S.trusted_view(spark, sf_dir)),
+                             keep=("sender",), surrogate_samples=SG.SAMPLES)
+    return c.select("uid", F.array_join(F.transform("surrogate_features", lambda x: x["feature"]), ", ").alias("features"),
+                    "surrogate_summary")

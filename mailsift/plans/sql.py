@@ -31,7 +31,7 @@ mail AS (
               WHEN 0 THEN concat('Desk <U', CAST(d.doc_id AS VARCHAR), '@Mail', CAST(d.doc_id % 10 AS VARCHAR), '.Example.com>')
               WHEN 1 THEN concat(' user', CAST(d.doc_id AS VARCHAR), '@sub.example.net ')
               WHEN 2 THEN 'no at sign' ELSE NULL END AS sender,
-         CASE WHEN d.doc_id % 9 = 0 THEN '' ELSE substring(d.text, 1, 60) END AS subject,
+         CASE WHEN d.doc_id % 9 = 0 THEN '' ELSE concat_ws(' ', 'Note of', d.source, d.lang) END AS subject,
          d.text AS body
   FROM documents d
 ),
@@ -171,10 +171,11 @@ vocab AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INT) AS ter
           FROM vtop, (SELECT count(*) AS n FROM {docs}) nd)"""
 
 
-def tfidf_cte(name: str, tf: str) -> str:
-    """name(row_id, ix, w): sublinear tf x idf, L2-normalised per document."""
+def tfidf_cte(name: str, tf: str, sublinear: bool = True) -> str:
+    """name(row_id, ix, w): (sublinear) tf x idf, L2-normalised per document."""
+    weight = "(1.0 + ln(t.tf))" if sublinear else "CAST(t.tf AS DOUBLE)"
     return f"""
-{name}_raw AS (SELECT t.row_id, v.term_ix AS ix, (1.0 + ln(t.tf)) * v.idf AS raw FROM {tf} t JOIN vocab v ON t.term = v.term),
+{name}_raw AS (SELECT t.row_id, v.term_ix AS ix, {weight} * v.idf AS raw FROM {tf} t JOIN vocab v ON t.term = v.term),
 {name} AS (SELECT row_id, ix, raw / sqrt(sum(raw * raw) OVER (PARTITION BY row_id)) AS w FROM {name}_raw)"""
 
 
@@ -217,14 +218,15 @@ train AS (SELECT d.* FROM {source} d JOIN parts p ON d.row_id = p.row_id WHERE p
 test AS (SELECT d.* FROM {source} d JOIN parts p ON d.row_id = p.row_id WHERE p.part = 'test')"""
 
 
-def nb_cte(train: str = "train", alpha: float = 1.0) -> str:
+def nb_cte(train: str = "train", alpha: float = 1.0, engineered: bool = True) -> str:
     """coef(ix, coefficient) and prior(intercept) of multinomial NB on `train`
     using the feature pairs relation `feats` (row_id, ix, w)."""
-    return f"""
-nf AS (SELECT count(*) + {len(K.ENGINEERED_FEATURES)} AS n_features FROM vocab),
-grid AS (SELECT term_ix AS ix, term AS feature FROM vocab
+    more = f"""
          UNION ALL SELECT CAST((SELECT count(*) FROM vocab) + k AS INT), name
-         FROM (VALUES {", ".join(f"({k}, {q(nm)})" for k, nm in enumerate(K.ENGINEERED_FEATURES))}) e(k, name)),
+         FROM (VALUES {", ".join(f"({k}, {q(nm)})" for k, nm in enumerate(K.ENGINEERED_FEATURES))}) e(k, name)"""
+    return f"""
+nf AS (SELECT count(*) + {len(K.ENGINEERED_FEATURES) if engineered else 0} AS n_features FROM vocab),
+grid AS (SELECT term_ix AS ix, term AS feature FROM vocab{more if engineered else ""}),
 fc AS (SELECT t.label, f.ix, sum(f.w) AS total FROM feats f JOIN {train} t ON f.row_id = t.row_id GROUP BY t.label, f.ix),
 ctot AS (SELECT label, sum(total) AS total FROM fc GROUP BY label),
 flp AS (SELECT c.label, g.ix, ln((coalesce(fc.total, 0) + {alpha}) / (ct.total + {alpha} * nf.n_features)) AS lp
@@ -249,12 +251,14 @@ scored AS (SELECT row_id, actual, margin,
                   1.0 / (1.0 + exp(-margin)) AS phishing_confidence FROM margins)"""
 
 
-def text_model_ctes(source: str = "dedup") -> list[str]:
+def text_model_ctes(source: str = "dedup", max_features: int = K.MAX_FEATURES, min_df: int = K.MIN_DF,
+                    sublinear: bool = True, engineered: bool = True) -> list[str]:
     """split -> vocabulary on train -> tfidf + engineered pairs for all docs
     (feats) -> NB -> scores on test."""
-    return [split_cte(source), tf_cte("tf_train", "train"), vocab_cte("tf_train", "train"),
-            tf_cte("tf_all", source), tfidf_cte("tfidf", "tf_all"), engineered_pairs_cte("eng", source),
-            "feats AS (SELECT * FROM tfidf UNION ALL SELECT * FROM eng)", nb_cte("train"), scores_cte("test")]
+    feats = "feats AS (SELECT * FROM tfidf UNION ALL SELECT * FROM eng)" if engineered else "feats AS (SELECT * FROM tfidf)"
+    return [split_cte(source), tf_cte("tf_train", "train"), vocab_cte("tf_train", "train", max_features, min_df),
+            tf_cte("tf_all", source), tfidf_cte("tfidf", "tf_all", sublinear), engineered_pairs_cte("eng", source),
+            feats, nb_cte("train", engineered=engineered), scores_cte("test")]
 
 
 def margins_cte(name: str, docs: str, feats: str, label_col: str | None = "label") -> str:

@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row_id, source_rank, source, raw_label, raw_text.
+    """row_id, source_rank, row_no, source, raw_label, raw_text.
 
     Five label spellings and five pseudo-sources by doc_id % 5; trigger
     phrases planted by n_chars % 7 so exact copies stay exact copies.
@@ -48,13 +48,13 @@ def corpus_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .when(r7 == 3, F.concat("text", F.lit(" HTTPS://portal.example.org login")))
                 .otherwise(F.col("text")))
     source = F.element_at(F.array(*[F.lit(s) for s in SOURCE_NAMES]), (r5 + 1).cast("int"))
-    return j.select(F.col("doc_id").alias("row_id"), r5.cast("int").alias("source_rank"),
+    return j.select(F.col("doc_id").alias("row_id"), r5.cast("int").alias("source_rank"), F.col("doc_id").alias("row_no"),
                     source.alias("source"), raw_label.alias("raw_label"), raw_text.alias("raw_text"))
 
 
 def mail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """uid, sender, subject, body: one stored message per document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     r4 = F.col("doc_id") % 4
     sid = F.col("doc_id").cast("string")
     sender = (F.when(r4 == 0, F.concat(F.lit("Desk <U"), sid, F.lit("@Mail"),
@@ -62,7 +62,7 @@ def mail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(r4 == 1, F.concat(F.lit(" user"), sid, F.lit("@sub.example.net ")))
               .when(r4 == 2, F.lit("no at sign"))
               .otherwise(F.lit(None).cast("string")))
-    subject = F.when(F.col("doc_id") % 9 == 0, F.lit("")).otherwise(F.substring("text", 1, 60))
+    subject = F.when(F.col("doc_id") % 9 == 0, F.lit("")).otherwise(F.concat_ws(" ", F.lit("Note of"), "source", "lang"))
     return d.select((F.col("doc_id") + 1).alias("uid"), sender.alias("sender"),
                     subject.alias("subject"), F.col("text").alias("body"))
 

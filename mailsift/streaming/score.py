@@ -1,14 +1,13 @@
 """Structured Streaming scoring of arriving messages.
 
 T1  score_stream: messages landing in a directory (Parquet, fixed schema) are
-    classified once and appended. The classifier's per-message regroup is not
-    allowed in append mode on a stream, so each micro-batch runs the batch
-    plan inside ``foreachBatch``; output folders are keyed by batch id, so a
-    replayed batch overwrites itself (idempotent), and the checkpoint is the
-    "last seen uid" memory.
-T2  one row per (mailbox, uid) under re-delivery: watermark on arrival time +
-    dropDuplicatesWithinWatermark.
-T3  stream_summary: running counts per prediction (complete mode).
+    classified once and appended, a folder for each micro-batch, so a replayed
+    batch overwrites its own.
+T2  one row per (mailbox, uid) under re-delivery, however late: each batch is
+    de-duplicated in itself and against the keys scored before. Nothing is
+    dropped for being late.
+T3  stream_summary: running counts per prediction over the scored output, as a
+    table that is replaced after every batch.
 """
 
 from __future__ import annotations
@@ -19,41 +18,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.classify import classify_messages
+from ..sources.io import path_exists
 
 STREAM_SCHEMA = ("mailbox string, uid bigint, sender string, subject string, body string, "
                  "arrival timestamp")
+KEY = ["mailbox", "uid"]
 
 
-def message_stream(spark: SparkSession, in_dir: str, watermark: str = "1 hour",
-                   max_files: int | None = None) -> DataFrame:
+def message_stream(spark: SparkSession, in_dir: str, max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(STREAM_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    s = reader.parquet(in_dir)
-    return s.withWatermark("arrival", watermark).dropDuplicatesWithinWatermark(["mailbox", "uid"])
+    return reader.parquet(in_dir)
+
+
+def unseen(batch: DataFrame, batch_id: int, out_dir: str) -> DataFrame:
+    """The batch's messages that no earlier batch has scored, each once. An
+    equi-join on the key; of the scored table only the key columns are read."""
+    spark = batch.sparkSession
+    once = batch.dropDuplicates(KEY)
+    if not path_exists(spark, out_dir):
+        return once
+    scored = spark.read.schema("mailbox string, uid bigint, batch bigint").parquet(out_dir).filter(F.col("batch") < batch_id)
+    same = once["mailbox"].eqNullSafe(scored["mailbox"]) & (once["uid"] == scored["uid"])
+    return once.join(scored, same, "left_anti")
 
 
 def score_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, tfidf, model,
-                 domains: DataFrame, available_now: bool = True, watermark: str = "1 hour"):
-    stream = message_stream(spark, in_dir, watermark)
+                 domains: DataFrame, available_now: bool = True, max_files: int | None = None):
+    stream = message_stream(spark, in_dir, max_files)
 
     def per_batch(batch: DataFrame, batch_id: int):
-        scored = classify_messages(tfidf, model, batch, domains, keep=("mailbox", "sender", "subject", "body"))
-        flat = scored.select("mailbox", "uid", "prediction", "phishing_confidence", "legitimate_confidence",
-                             "sender_domain", "base_domain", "trusted_sender", "engineered_features",
-                             "explanation_summary", "linear_summary", "linear_features")
-        flat.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}"))
+        scored = classify_messages(tfidf, model, unseen(batch, batch_id, out_dir), domains).drop("margin")
+        scored.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}"))
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def stream_summary(spark: SparkSession, scored_dir: str, checkpoint: str, query_name: str,
-                   schema: str = "mailbox string, uid bigint, prediction string"):
-    """Running counts per prediction over the scored output (complete mode,
-    in-memory sink for inspection)."""
-    s = spark.readStream.schema(schema).parquet(scored_dir)
-    agg = s.groupBy("prediction").agg(F.count(F.lit(1)).alias("count"))
-    return (agg.writeStream.outputMode("complete").format("memory").queryName(query_name)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def stream_summary(spark: SparkSession, scored_dir: str, summary_dir: str, checkpoint: str, available_now: bool = True):
+    """Running counts per prediction of what :func:`score_stream` writes to
+    ``scored_dir``; after each batch the whole (one row a class) is at
+    ``summary_dir``/batch=<n>, the highest n being the latest."""
+    counts = (spark.readStream.schema("mailbox string, uid bigint, prediction string, batch bigint").parquet(scored_dir)
+              .groupBy("prediction").agg(F.count(F.lit(1)).alias("count")))
+
+    def replace(table: DataFrame, batch_id: int):
+        table.coalesce(1).write.mode("overwrite").parquet(os.path.join(summary_dir, f"batch={batch_id}"))
+
+    w = (counts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
+def latest_summary(spark: SparkSession, summary_dir: str) -> DataFrame:
+    table = spark.read.parquet(summary_dir)
+    last = table.agg(F.max("batch")).first()[0]
+    return table.filter(F.col("batch") == last).drop("batch")

@@ -15,4 +15,5 @@ def test_serving_text_and_defaults(spark):
     df = spark.createDataFrame([(" Hi ", "a@b.c", " body ")], "s string, f string, b string")
     assert df.select(M.serving_text("s", "f", "b")).first()[0] == "Subject: Hi\nFrom: a@b.c\nBody: body"
     assert one(spark, M.default_subject("x"), ["", None, "x"]) == ["(No subject)", "(No subject)", "x"]
-    assert len(one(spark, M.cap_body("x"), ["y" * 6000])[0]) == 5000
+    assert len(one(spark, M.message_body("x"), ["y" * 6000])[0]) == 6000
+    assert len(one(spark, M.message_body("x", 5000), ["y" * 6000])[0]) == 5000

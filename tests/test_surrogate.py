@@ -1,33 +1,41 @@
-from pyspark.sql import functions as F
+import numpy as np
 
+from mailsift.functions import constants as K
+from mailsift.operators import models as MD
 from mailsift.operators import surrogate as SG
+from mailsift.operators.models import LinearModel
+from mailsift.operators.tfidf import TfidfModel
 
+TFIDF = TfidfModel([("alpha", 0, 2, 3, 1.5), ("alpha beta", 1, 2, 2, 1.3), ("beta", 2, 2, 2, 1.2)], 5)
+MODEL = LinearModel("Logistic Regression", [2.0, 0.7, -2.0, 0.3, 0.2, 0.1, -0.4, 0.05, 0.9], 0.1, True, [])
+TEXTS = ["alpha beta alpha!! verify now at http://www.x.org", "the beta of alpha", "", "Urgent CARD alpha-beta beta", "ünïcode wörds alpha 12"]
 
-def test_copies_remove_exact_k_subsets(spark):
-    msgs = spark.createDataFrame([(7, "alpha beta, gamma delta! alpha", "phishing")], "uid long, text string, prediction string")
-    c = SG.perturbed_copies(msgs, 20).collect()
-    base = [r for r in c if r.sample == 0][0]
-    assert base.text == "alpha beta, gamma delta! alpha" and base.kept == [0, 1, 2, 3]
-    words = base.words
-    for r in c:
-        kept = {words[i] for i in r.kept}
-        present = set(r.text.replace(",", " ").replace("!", " ").split())
-        assert kept == present                       # dropped words vanish everywhere
-        assert r.text.count(",") == 1 and r.text.count("!") == 1   # separators stay
-        if r.sample > 0:
-            assert 1 <= 4 - len(r.kept) <= 4
-
-
-def test_fit_one_recovers_driver_word():
-    import numpy as np
-    import pandas as pd
+
+def test_copies_are_scored_as_the_plan_scores_texts(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "row_id long, text string")
+    margins = {r.row_id: r.m for r in MD.featurise(TFIDF, df, keep=["row_id"]).select("row_id", MODEL.margin().alias("m")).collect()}
+    scorer = SG.TextScorer.of(TFIDF, MODEL)
+    for i, t in enumerate(TEXTS):
+        assert abs(scorer.margin(t) - margins[i]) < 1e-9
+
+
+def test_weights_recover_the_driving_word():
     rng = np.random.default_rng(0)
-    words = ["a", "b", "c", "d"]
-    rows = []
-    for i in range(200):
-        kept = [j for j in range(4) if i == 0 or rng.random() < 0.5]
-        p = 0.2 + 0.6 * (1 if 2 in kept else 0)
-        rows.append({"uid": 1, "sample": i, "kept": kept, "words": words if i == 0 else None, "p": p})
-    out = SG._fit_one(pd.DataFrame(rows), 2)
-    feats = out["features"].iloc[0]
-    assert feats[0]["feature"] == "c" and feats[0]["weight"] > 0
+    z = (rng.random((200, 4)) < 0.5).astype(float)
+    z[0] = 1
+    found = SG._weights(z, 0.2 + 0.6 * z[:, 2], ["a", "b", "c", "d"], 2)
+    assert found[0][0] == "c" and found[0][1] > 0
+
+
+def test_hard_probabilities_for_a_model_without_margin():
+    hard = LinearModel("x", MODEL.coef, 0.1, False, [], {"has_margin": False})
+    assert {SG.TextScorer.of(TFIDF, hard).probability(t) for t in TEXTS} <= {0.0, 1.0}
+
+
+def test_explanations_do_not_depend_on_the_partitioning(spark):
+    rows = [(i, t, K.PHISHING) for i, t in enumerate(TEXTS + ["alpha beta gamma delta epsilon zeta alpha"])]
+    df = spark.createDataFrame(rows, "uid long, cleaned_text string, prediction string")
+    run = lambda d: sorted(map(str, SG.local_surrogate(TFIDF, MODEL, d, 60).collect()))
+    assert run(df.coalesce(1)) == run(df.repartition(5))
+    by = {r.uid: r for r in SG.local_surrogate(TFIDF, MODEL, df, 60).collect()}
+    assert by[2].surrogate_features == [] and by[5].surrogate_features[0].feature in ("alpha", "beta")
