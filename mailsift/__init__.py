@@ -4,7 +4,7 @@ Layout
 ------
 functions/   Column -> Column expressions (cleaning, features, domains, scores)
 operators/   DataFrame -> DataFrame operators (corpus, splits, TF-IDF, models,
-             metrics, explanations, synthetic messages)
+             metrics, explanations)
 sources/     readers, sinks and the derived fixture views
 plans/       end-to-end jobs and the registry of checked queries
 streaming/   Structured Streaming scoring

@@ -27,7 +27,7 @@ def main():
     run = TextRun(spark, materialise(C.build_corpus(raw)))
     stages["split membership"] = run.parts
     stages["term counts (per document, in-row)"] = run.terms
-    stages["features (TF-IDF regroup)"] = run.features
+    stages["features (TF-IDF, map-only)"] = run.features
     stages["NB hold-out report"] = MT.classification_report(run.scored(run.nb))
     stages["classify messages"] = CL.classify_messages(run.tfidf, run.nb, S.mail_view(spark, sf_dir),
                                                        CL.trusted_domains(S.trusted_view(spark, sf_dir)))
