@@ -150,8 +150,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     .select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size"),
                             F.col("whole").alias("__whole"), F.col("extra").alias("__extra"),
                             F.col("copies").alias("__copies")), "mix")
+    # what is taken grows with the documents: join by shuffle at every size
     join = lambda some: docs.withColumn("__words", word_count(text_col)).join(
-        some, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source"))
+        some.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source"))
         & (F.col("__words") == F.col("__size")))
     split = (F.col("__extra") > 0) & (F.col("__extra") < F.col("__copies"))  # at most one id of a source and size
     times = F.col("__whole") + F.when(F.col("__extra") > 0, 1).otherwise(0)
