@@ -7,10 +7,12 @@
    emptiest bin and moves its pieces into others, exchanges one of them for a
    smaller one, or two for one, whenever that raises the sum of squared fills,
    until the bin is empty. Bins that stay clearly underfull are dissolved and
-   meet those of other shards in the next round, until one shard holds them.
+   meet those of other shards in the next round, until one shard holds them or
+   a round no longer helps (pieces that find no partner); then all are closed.
 
 Whole-length pieces are a sequence each and never enter a shard. No shard
-grows with the input; the rounds shrink by a factor of thousands.
+grows with the input; where sizes are mixed, the rounds shrink by a factor of
+thousands.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ END_ID = 1
 SHARD_PIECES = 8192
 #: Bins filled less than this share are dissolved and packed again with those of other shards.
 REOPEN_BELOW = 0.985
+#: Rounds at most; the last one closes every bin.
+ROUNDS = 8
+#: A round that leaves more than this share of its pieces in underfull bins closes these too.
+STALLED = 0.75
 #: Source bins that may fail in a row before a shard's search ends.
 PATIENCE = 48
 
@@ -204,18 +210,22 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, shard_pieces: int = SHARD_
     whole = (pieces.filter(F.col("length") == capacity)
              .select("*", (F.lit(-1) - F.col("deal")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
     done, rest = [whole], pieces.filter(F.col("length") < capacity)
-    for turn in range(8):
-        shards = math.ceil(rest.count() / shard_pieces)
+    n_rest = rest.count()
+    for turn in range(ROUNDS):
+        shards = math.ceil(n_rest / shard_pieces)
         if not shards:
             break
+        last = shards == 1 or turn == ROUNDS - 1
         schema = StructType([*rest.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType()),
                              StructField("_again", BooleanType())])
-        solve = _solver(capacity, patience, 0 if shards == 1 else reopen_below * capacity, turn)
+        solve = _solver(capacity, patience, 0 if last else reopen_below * capacity, turn)
         dealt = rest.withColumn("_shard", F.pmod(F.xxhash64("deal", F.lit(turn)), F.lit(shards)))
         solved = written(dealt.groupBy("_shard").applyInPandas(solve, schema), "packed")
-        done.append(solved.filter(~F.col("_again")).drop("_again"))
-        if shards == 1:
+        n_dealt, n_rest = n_rest, solved.filter("_again").count()
+        if last or n_rest > STALLED * n_dealt:
+            done.append(solved.drop("_again"))
             break
+        done.append(solved.filter(~F.col("_again")).drop("_again"))
         rest = solved.filter("_again").drop("sequence_id", "offset", "_again")
     out = done[0]
     for more in done[1:]:

@@ -102,5 +102,38 @@ def test_many_shards_meet_again(spark):
     assert len({r.sequence_id for r in out}) <= 1.03 * len(set(alone.tolist()))
 
 
+def placed(spark, sizes, shard_pieces):
+    """Sequences of pieces of these sizes (capacity 64), after checks that no piece is lost and none overlap."""
+    from mailsift.llm.common import written
+    from mailsift.llm.packing import pack
+    pieces = written(spark.createDataFrame(list(enumerate(sizes)), "deal long, length long"), "t")
+    out = pack(pieces, 64, shard_pieces=shard_pieces).collect()
+    assert sorted((r.deal, r.length) for r in out) == list(enumerate(sizes))
+    seqs = {}
+    for r in out:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in seqs.values():
+        place = 0
+        for o, n in sorted(spans):
+            assert o == place
+            place += n
+        assert place <= 64
+    return len(seqs)
+
+
+def test_pieces_without_a_partner_are_kept(spark):
+    assert placed(spark, [38] * 200, 20) == 200  # 0.6 of a sequence: one a bin, in every round
+    assert placed(spark, [22] * 201, 20) <= 106  # two a bin, 69 %; each of 11 shards may end with a half one
+    mixed = [38] * 150 + [26] * 30 + [5] * 40
+    assert placed(spark, mixed, 20) <= 155
+
+
+def test_the_last_round_closes_every_bin(spark, monkeypatch):
+    from mailsift.llm import packing
+    monkeypatch.setattr(packing, "STALLED", 1.0)  # no round counts as stalled
+    monkeypatch.setattr(packing, "ROUNDS", 2)
+    assert placed(spark, [38] * 100, 20) == 100
+
+
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
