@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import run_bounds, written
 
 BLOCK = 4096  # vectors of a block, queries or rows
 _TILE = 1024  # rows of a block that are multiplied at once
@@ -59,17 +59,23 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def search_block(query_ids, queries, row_ids, rows, k: int) -> list[tuple[int, int, float]]:
-    """(query id, row id, score) of each query's k nearest rows of the block but itself."""
+    """(query id, row id, score) of each query's k nearest ids of the block but
+    itself. An id with several rows counts once, by its nearest."""
     heaps: list[list] = [[] for _ in query_ids]  # (score, -id), the worst first
+    by_id = np.argsort(row_ids, kind="stable")
+    row_ids, rows = row_ids[by_id], rows[by_id]
+    repeated = bool((row_ids[1:] == row_ids[:-1]).any())
     q = Rounded(queries)
     for at in range(0, len(rows), _TILE):
         ids, block = row_ids[at:at + _TILE], rows[at:at + _TILE]
         cosine, error = tile_bounds(q, Rounded(block))
         cosine[query_ids[:, None] == ids[None, :]] = -np.inf
         lower = cosine - error
+        if repeated:
+            lower = np.maximum.reduceat(lower, run_bounds(ids)[0], axis=1)
         floor = np.full(len(queries), -np.inf)
-        if len(ids) > k:
-            floor = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k]
+        if lower.shape[1] > k:
+            floor = np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k]
         for i, heap in enumerate(heaps):
             if len(heap) == k:
                 floor[i] = max(floor[i], heap[0][0])
@@ -79,11 +85,19 @@ def search_block(query_ids, queries, row_ids, rows, k: int) -> list[tuple[int, i
             score = exact_cosine(queries[qa], block[rb])
             order = np.lexsort((ids[rb], -score, qa))
             qa, rb, score = qa[order], rb[order], score[order]
+            if repeated:  # the nearest row of each id
+                nearest_row = np.sort(np.unique(np.stack([qa, ids[rb]]), axis=1, return_index=True)[1])
+                qa, rb, score = qa[nearest_row], rb[nearest_row], score[nearest_row]
             first = np.r_[True, qa[1:] != qa[:-1]] if len(qa) else np.zeros(0, bool)
             nth = np.arange(len(qa)) - np.maximum.accumulate(np.where(first, np.arange(len(qa)), 0)) if len(qa) else qa
             best = nth < k
             for i, j, s in zip(qa[best].tolist(), ids[rb[best]].tolist(), score[best].tolist()):
-                if len(heaps[i]) < k:
+                had = next((n for n, (_, h) in enumerate(heaps[i]) if h == -j), None) if repeated else None
+                if had is not None:
+                    if s > heaps[i][had][0]:
+                        heaps[i][had] = (s, -j)
+                        heapq.heapify(heaps[i])
+                elif len(heaps[i]) < k:
                     heapq.heappush(heaps[i], (s, -j))
                 elif (s, -j) > heaps[i][0]:
                     heapq.heapreplace(heaps[i], (s, -j))
@@ -102,17 +116,20 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
 
     Rows whose vector is null, empty, zero or holds a null or non-finite
     component, and null ids, take no part; a query is not its own neighbour;
-    vectors of different lengths don't meet. Repeated rows of an id count once.
+    vectors of different lengths don't meet. Repeated rows of an id count once;
+    if their vectors differ, the nearest pair of vectors counts.
     """
-    v = F.col("v")
+    raw = F.col(vec_col)
+    v = raw.cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))) & F.exists(v, lambda x: x != 0)
     rows = (vectors.filter(F.col(id_col).isNotNull())
-            .select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("q"))
-            .filter(v.isNotNull() & fine).withColumn("dim", F.size(v)))
+            .filter(v.isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), raw.alias("raw"), is_query.alias("q"))
+            .groupBy("id", "raw").agg(F.max("q").alias("q"))
+            .select("id", F.col("raw").cast("array<double>").alias("v"), "q", F.size("raw").alias("dim")))
     rows = written(rows, "vectors")
     sizes = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("q"), 1))).first()
     n_rows, n_queries = max(1, math.ceil(sizes[0] / block)), max(1, math.ceil(sizes[1] / block))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     all_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.filter("q").select("id", "v", "dim", deal(n_queries).alias("i"), all_blocks(n_rows).alias("j"))
     right = rows.select("id", "v", "dim", all_blocks(n_queries).alias("i"), deal(n_rows).alias("j"))

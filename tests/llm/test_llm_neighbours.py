@@ -37,6 +37,28 @@ def test_equals_brute_force_with_odd_vectors(spark):
         assert got == want
 
 
+def test_a_repeated_id_takes_one_place(spark):
+    rnd = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(x)) for x in rnd.normal(size=8)]) for i in range(200)]
+    near = [x * 1.5 for x in rows[50][1]]
+    rows += [(300, near)] * 6  # equal rows
+    rows += [(301, [x + float(np.float32(d)) for x in near]) for d in (0.01, 0.02, 0.03, 0.04, 0.05, 3.0)]  # one id, several vectors
+    rows += [(150, rows[150][1])] * 5 + [(100, rows[3][1])]  # queries: repeated, and with two vectors
+    by_id = {}
+    for i, v in rows:
+        by_id.setdefault(i, []).append(np.array(v, np.float32).astype(np.float64))
+    want = {}
+    for q in (0, 50, 100, 150, 300):
+        best = {i: max(float(exact_cosine(a[None], b[None])[0]) for a in by_id[q] for b in vs) for i, vs in by_id.items() if i != q}
+        want[q] = sorted(best, key=lambda i: (-best[i], i))[:5]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for block in (4096, 64):
+        got = {}
+        for r in nearest(vectors, F.col("vec_id") % 50 == 0, block=block).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == want
+
+
 def test_bounds_hold():
     rnd = np.random.default_rng(1)
     a, b = rnd.normal(size=(40, 16)), rnd.normal(size=(60, 16)) * 10.0 ** rnd.integers(-3, 3, (60, 1))
