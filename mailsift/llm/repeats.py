@@ -15,14 +15,19 @@ suffix array must see together. Stages, each a Spark job over bounded groups:
 1. Equal texts by SHA-256: only the first copy goes on; the others are removed
    whole, being covered by the first.
 2. Packs of documents list the named hashes that they hold, each once.
-3. Hash buckets answer each pack which of its hashes occur elsewhere or twice.
+3. Hash buckets answer each pack which of its hashes occur elsewhere or twice,
+   and which of these are *hot*: more than HOT contexts name them.
 4. Packs cut the contexts of those; equal contexts of a pack become one, its
    earliest, and the rest are removed at once.
 5. Hash buckets build the suffix arrays of the contexts of a hash and send the
    removed spans back to the packs, which cut them out of the texts.
+6. Contexts of hot hashes go another way: their windows are dealt by the whole
+   LEAST bytes, each once a pack; the earliest stays, the others are removed.
 
 A passage that a third of all documents share is one hash a pack in stage 3
-and one context a pack in stage 5, never a row for each occurrence.
+and, within the passage, one context a pack in stage 5. At its ends, and around
+any short frequent phrase, contexts differ from document to document; there the
+hash is hot, and stage 6 deals its windows over all tasks.
 """
 
 from __future__ import annotations
@@ -45,6 +50,8 @@ _LOW = np.uint64((1 << 24) - 1)
 _ODD = 0x9E3779B97F4A7C15
 _NO_ID = (1 << 63) - 1  # a null id: the last document
 _CHUNK = 3000  # contexts of a suffix array that are sorted at once
+HOT = _CHUNK  # contexts of a hash, summed over the packs, that share a suffix array at most
+_WINDOW_BYTES = 40  # of a window in stage 6: digest, id, tie, start
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -249,8 +256,17 @@ def _distinct_contexts(hashes, order, start, raws: list[bytes]):
     return np.array(sorted(first.values()), np.int64), np.array(removed, np.int64)
 
 
+def _contexts_of_repeated(hashes, first, last, doc, raws: list[bytes], least: int) -> dict:
+    """Distinct contexts of each hash that occurs more than once in a pack."""
+    values, where, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    found: dict = {}
+    for i in np.flatnonzero(counts[where.ravel()] > 1).tolist():
+        found.setdefault(int(hashes[i]), set()).add(raws[int(doc[i])][int(first[i]):int(last[i]) + least])
+    return {h: len(c) for h, c in found.items()}
+
+
 def _cut(texts, other, buckets: int, least: int, gram: int, answer: bool):
-    """Stages 2 (answer=False) and 4 for a pack."""
+    """Stages 2 (answer=False) and 4 for a pack. Contexts of hot hashes get bucket -1."""
     pack = _Pack(texts, _copies(other))
     doc, first, last, hashes = named_windows(pack.raws, least, gram)
     if not answer:
@@ -258,8 +274,15 @@ def _cut(texts, other, buckets: int, least: int, gram: int, answer: bool):
         bucket = (values >> np.uint64(20)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         values, counts, bucket = values[order], counts[order], bucket[order].astype(np.int64)
-        return [(int(bucket[s]), pickle.dumps((values[s:e], np.packbits(counts[s:e] > 1)), 5)) for s, e in zip(*run_bounds(bucket))]
-    wanted = _concat([pickle.loads(b) for b in other["data"].to_pylist() if b is not None], 1)[0].astype(np.uint64)
+        distinct = _contexts_of_repeated(hashes, first, last, doc, pack.raws, least)
+        out = []
+        for s, e in zip(*run_bounds(bucket)):
+            twice = counts[s:e] > 1
+            several = np.array([distinct[h] for h in values[s:e][twice].tolist()], np.int32)
+            out.append((int(bucket[s]), pickle.dumps((values[s:e], np.packbits(twice), several), 5)))
+        return out
+    wanted, hot = _concat([pickle.loads(b) for b in other["data"].to_pylist() if b is not None], 2)
+    wanted, hot = wanted.astype(np.uint64), wanted[hot.astype(bool)].astype(np.uint64)
     keep = np.isin(hashes, wanted)
     doc, first, last, hashes = doc[keep], first[keep], last[keep], hashes[keep]
     raws = [pack.raws[d][s:e + least] for d, s, e in zip(doc.tolist(), first.tolist(), last.tolist())]
@@ -269,7 +292,8 @@ def _cut(texts, other, buckets: int, least: int, gram: int, answer: bool):
         d = doc[removed]
         out.append((None, pickle.dumps((pack.ids[d], pack.tie[d], first[removed], last[removed] + least), 5)))
     bucket = ((hashes[kept] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-    kept, bucket = kept[np.argsort(bucket, kind="stable")], np.sort(bucket)
+    bucket[np.isin(hashes[kept], hot)] = -1
+    kept, bucket = kept[np.argsort(bucket, kind="stable")], np.sort(bucket)  # a bucket's in order of document and start
     for s, e in zip(*run_bounds(bucket)):
         i = kept[s:e]
         own = [raws[k] for k in i.tolist()]
@@ -278,19 +302,67 @@ def _cut(texts, other, buckets: int, least: int, gram: int, answer: bool):
     return out
 
 
-def _bucket_answers(packs: list, blobs: list) -> list[tuple]:
-    """Stage 3: of each pack's hashes, those that occur elsewhere or twice."""
+def _bucket_answers(packs: list, blobs: list, most: int = HOT) -> list[tuple]:
+    """Stage 3: of each pack's hashes, those that occur elsewhere or twice, and
+    whether more than ``most`` contexts name them."""
     loaded = [pickle.loads(b) for b in blobs]
-    values = np.concatenate([v for v, _ in loaded])
-    twice = np.concatenate([np.unpackbits(b, count=len(v)).astype(bool) for v, b in loaded])
-    owner = np.repeat(np.array(packs, np.int64), [len(v) for v, _ in loaded])
+    values = np.concatenate([v for v, *_ in loaded])
+    twice = np.concatenate([np.unpackbits(b, count=len(v)).astype(bool) for v, b, _ in loaded])
+    contexts = np.ones(len(values), np.int64)
+    contexts[twice] = np.concatenate([n for *_, n in loaded])
+    owner = np.repeat(np.array(packs, np.int64), [len(v) for v, *_ in loaded])
     order = np.argsort(values, kind="stable")
     start, stop = run_bounds(values[order])
     often = np.repeat((stop - start > 1) | np.logical_or.reduceat(twice[order], start), stop - start)
-    values, owner = values[order][often], owner[order][often]
+    hot = np.repeat(np.add.reduceat(contexts[order], start) > most, stop - start)
+    values, owner, hot = values[order][often], owner[order][often], hot[often]
     order = np.argsort(owner, kind="stable")
-    values, owner = values[order], owner[order]
-    return [(int(owner[s]), pickle.dumps((values[s:e],), 5)) for s, e in zip(*run_bounds(owner))]
+    values, owner, hot = values[order], owner[order], hot[order]
+    return [(int(owner[s]), pickle.dumps((values[s:e], hot[s:e]), 5)) for s, e in zip(*run_bounds(owner))]
+
+
+def _joined(owner, ids, tie, first, last, least: int) -> list[tuple]:
+    """Windows, in order of owner, document and start, as spans by owner; neighbours that touch are one."""
+    if not len(owner):
+        return []
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (ids[1:] != ids[:-1]) | (tie[1:] != tie[:-1]) | (first[1:] > last[:-1] + least)]
+    s = np.flatnonzero(new)
+    owner, ids, tie, a, z = owner[s], ids[s], tie[s], first[s], last[np.r_[s[1:], len(new)] - 1] + least
+    return [(int(owner[b]), pickle.dumps((ids[b:e], tie[b:e], a[b:e], z[b:e]), 5)) for b, e in zip(*run_bounds(owner))]
+
+
+def _hot_windows(pack: int, blob: bytes, buckets: int, least: int) -> list[tuple]:
+    """Stage 6 for a pack: (bucket, windows of its hot contexts, each once), and
+    (None, spans of those that repeat in the pack)."""
+    _, ids, tie, first, lens, text = pickle.loads(blob)  # in order of document and start
+    windows = lens - least + 1
+    which = np.repeat(np.arange(len(lens)), windows)
+    off = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = (np.cumsum(lens) - lens)[which] + off
+    digests = np.fromiter((hashlib.blake2b(text[a:a + least], digest_size=16).digest() for a in at), "S16", len(at))
+    earliest = np.unique(digests, return_index=True)[1]
+    gone = np.ones(len(digests), bool)
+    gone[earliest] = False
+    ids, tie, start = ids[which], tie[which], first[which] + off
+    out = [(None, data) for _, data in _joined(np.full(int(gone.sum()), pack), ids[gone], tie[gone], start[gone], start[gone], least)]
+    bucket = (digests[earliest].view(np.uint64)[::2] % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    earliest, bucket = earliest[order], bucket[order]
+    for s, e in zip(*run_bounds(bucket)):
+        i = earliest[s:e]
+        out.append((int(bucket[s]), pickle.dumps((digests[i], ids[i], tie[i], start[i]), 5)))
+    return out
+
+
+def _later_windows(packs: list, blobs: list, least: int) -> list[tuple]:
+    """Stage 6 for a bucket: spans of all windows but the earliest of equal ones, by pack."""
+    loaded = [pickle.loads(b) for b in blobs]
+    digests, ids, tie, start = (np.concatenate([x[k] for x in loaded]) for k in range(4))
+    owner = np.repeat(np.array(packs, np.int64), [len(x[0]) for x in loaded])
+    order = np.lexsort((start, tie, ids, digests))
+    gone = order[1:][digests[order][1:] == digests[order][:-1]]
+    gone = gone[np.lexsort((start[gone], tie[gone], ids[gone], owner[gone]))]
+    return _joined(owner[gone], ids[gone], tie[gone], start[gone], start[gone], least)
 
 
 def _bucket_spans(packs: list, blobs: list, least: int) -> list[tuple]:
@@ -336,7 +408,8 @@ def _removed(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[int, int,
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM,
-                   pack_bytes: int = PACK_BYTES, bucket_bytes: int = BUCKET_BYTES, keep_text: bool = True) -> DataFrame:
+                   pack_bytes: int = PACK_BYTES, bucket_bytes: int = BUCKET_BYTES, keep_text: bool = True,
+                   most: int = HOT) -> DataFrame:
     """Per row of ``docs``: ``id_col``, n_bytes, n_removed, n_spans (long),
     kept_sha256 string and, with ``keep_text``, kept binary (the bytes that stay).
 
@@ -374,11 +447,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return found.groupBy("bucket").applyInArrow(run, "pack int, data binary")
 
     listed = by_pack(flags, lambda a, b: _cut(a, b, buckets, least, gram, False), "bucket int, data binary")
-    answers = written(by_bucket(listed, _bucket_answers), "repeat-answers")
+    answers = written(by_bucket(listed, lambda p, b: _bucket_answers(p, b, most)), "repeat-answers")
     cut = written(by_pack(flags.unionByName(note(answers)), lambda a, b: _cut(a, b, buckets, least, gram, True),
                           "bucket int, data binary"), "repeat-contexts")
-    spans = written(by_bucket(cut.filter("bucket IS NOT NULL"), lambda p, b: _bucket_spans(p, b, least))
-                    .unionByName(cut.filter("bucket IS NULL").select("pack", "data")), "repeat-spans")
+    hot = cut.filter("bucket = -1")
+    n_hot = hot.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
+    spans = (by_bucket(cut.filter("bucket >= 0"), lambda p, b: _bucket_spans(p, b, least))
+             .unionByName(cut.filter("bucket IS NULL").select("pack", "data")))
+    if n_hot:  # at most a window a byte
+        hot_buckets = math.ceil(n_hot * _WINDOW_BYTES / bucket_bytes)
+
+        def windows(batches):
+            for batch in batches:
+                for p, data in zip(batch.column(0), batch.column(1)):
+                    found = _hot_windows(p.as_py(), data.as_py(), hot_buckets, least)
+                    yield from _rows("pack int, bucket int, data binary", [(p.as_py(), *r) for r in found]).to_batches()
+
+        dealt = written(hot.select("pack", "data").mapInArrow(windows, "pack int, bucket int, data binary"), "repeat-hot")
+        spans = (spans.unionByName(by_bucket(dealt.filter("bucket IS NOT NULL"), lambda p, b: _later_windows(p, b, least)))
+                 .unionByName(dealt.filter("bucket IS NULL").select("pack", "data")))
+    spans = written(spans, "repeat-spans")
 
     def finish(left, right) -> list[tuple]:
         pack_ = _Pack(left, _copies(right))

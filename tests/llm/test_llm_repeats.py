@@ -91,3 +91,44 @@ def test_every_window_is_named_once_and_alike():
     by_window = {}
     for h, w in names.values():
         assert by_window.setdefault(w, h) == h
+
+
+def phrase_rows(n, length):
+    """Documents of noise around one phrase, so that each has contexts of its own; some share a longer passage."""
+    rnd = random.Random(11)
+    noise = lambda k: "".join(rnd.choice("0123456789abcdef") for _ in range(k))
+    phrase, passage = noise(length), noise(170)
+    return [(i, noise(110) + phrase + noise(110) + (passage + noise(20) if i % 3 == 0 else "")) for i in range(n)]
+
+
+def test_hot_hashes_equal_brute_force(spark):
+    rows = fixture() + [(100 + i, t) for i, t in phrase_rows(60, 60)] + [(200 + i, t) for i, t in phrase_rows(30, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (0, 4):
+        got = {r.doc_id: r for r in remove_repeats(docs, pack_bytes=6000, bucket_bytes=9000, keep_text=False, most=most).collect()}
+        for (i, _), want in zip(rows, brute(rows)):
+            assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want, (most, i)
+
+
+def test_a_frequent_phrase_never_meets_in_one_suffix_array(monkeypatch):
+    import pyarrow as pa
+
+    from mailsift.llm import repeats
+    rows = phrase_rows(4800, 90)  # more contexts of one substring than a suffix array should see
+    packs = [pa.table({"id": pa.array([i for i, _ in part], pa.int64()), "text": [t for _, t in part]}) for part in (rows[:2400], rows[2400:])]
+    note = lambda blobs: pa.table({"id": pa.nulls(len(blobs), pa.int64()), "sha": pa.nulls(len(blobs), pa.binary()),
+                                   "data": pa.array(blobs, pa.binary())})
+    listed = [(k, data) for k, p in enumerate(packs) for _, data in repeats._cut(p, note([]), 1, 100, 32, False)]
+    answers = repeats._bucket_answers([k for k, _ in listed], [d for _, d in listed])
+    found = [(k, *row) for k, p in enumerate(packs) for row in repeats._cut(p, note([d for o, d in answers if o == k]), 1, 100, 32, True)]
+    sizes = []
+    whole = repeats.repeat_spans
+
+    def seen(contexts, group, *rest):
+        sizes.append(int(np.bincount(group).max()))
+        return whole(contexts, group, *rest)
+
+    monkeypatch.setattr(repeats, "repeat_spans", seen)
+    cold = [(k, d) for k, b, d in found if b is not None and b >= 0]
+    repeats._bucket_spans([k for k, _ in cold], [d for _, d in cold], 100)
+    assert max(sizes, default=0) <= 3000
