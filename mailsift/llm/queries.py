@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blockjoin, quality_rules
+from . import blockjoin, merkle, quality_rules
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,16 @@ def op5(spark, sf_dir):
     return format_chats(texts, model, ["conv_id", "segment"]).select(
         "conv_id", "segment", F.size("turns").alias("n_turns"), F.array_join(F.transform("turns", lambda t: t["role"]), ",").alias("roles"),
         "chat")
+
+
+@query("op12_time_forward_manifest", merkle.SQL)
+def op12(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    head, upper = ["doc_id", "source", "lang", "n_chars"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    rows = docs.select("doc_id", "lang", merkle.row_digest(*head, "text").alias("leaf"),
+                       F.when(tampered, merkle.row_digest(*head, F.translate("text", upper, upper.lower()))).alias("changed"))
+    found = merkle.manifest(rows, "lang", ["doc_id"])
+    root = merkle.folded(F.coalesce("changed", "leaf"))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(), 256).alias("proof_sha256"),
+                        root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
