@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blockjoin, merkle, quality_rules
+from . import blockjoin, merkle, prefix_trie, quality_rules
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,13 @@ def op12(spark, sf_dir):
     root = merkle.folded(F.coalesce("changed", "leaf"))
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(), 256).alias("proof_sha256"),
                         root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op11_rollup_prefix_trie", prefix_trie.SQL)
+def op11(spark, sf_dir):
+    turns = prefix_trie.with_shared_heads(prefix_trie.ordered_turns(load(spark, sf_dir, "conversations")))
+    trie = prefix_trie.prefix_trie(turns)
+    ends = prefix_trie.ends_digest(trie.ends)
+    return trie.nodes.join(ends, "key", "left").select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved_bytes").alias("saved_tokens"), F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
