@@ -52,3 +52,17 @@ def run_bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
     return np.r_[0, change], np.r_[change, len(keys)]
+
+
+def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of ``left`` with ``right``, whose ``keys`` are unique and whose
+    ``weight`` is the number of left rows that bear them.
+
+    Keys with more than a thousandth of the left rows are fewer than 1,000, so
+    these rows of ``right`` are broadcast; the others join by shuffle, where no
+    key has more than a thousandth of the rows. ``weight`` is not kept.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = written(right.filter(F.col(weight) * 1000 > total).drop(weight), "hot-keys")
+    light = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.drop(weight), keys)
+    return left.join(F.broadcast(hot), keys).unionByName(light)

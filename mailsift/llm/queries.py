@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blockjoin, merkle, prefix_trie, quality_rules
+from . import blockjoin, merkle, pivots, prefix_trie, quality_rules
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,8 @@ def op11(spark, sf_dir):
     return trie.nodes.join(ends, "key", "left").select(
         F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
         F.col("saved_bytes").alias("saved_tokens"), F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
+@query("op13_pivot_permutation_near_vectors", pivots.SQL)
+def op13(spark, sf_dir):
+    return pivots.near_vectors(load(spark, sf_dir, "embeddings"))
