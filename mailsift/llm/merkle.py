@@ -188,6 +188,7 @@ def manifest(rows: DataFrame, group: str, order: list[str], leaf: str = "leaf",
     if taken:
         raise ValueError(f"columns named like the manifest's own: {sorted(taken)}")
     kind = rows.schema[group].dataType.simpleString()
+    rows = written(rows, "merkle-leaves")  # else the range partitioning's sample digests all texts once more
     ranked = distributed_rank(rows, [*[F.col(f"`{c}`") for c in order], F.col(f"`{leaf}`")], within=[group], name="_nth")
     leaves = ranked.withColumn("_group", F.col(f"`{group}`")).withColumn("_at", F.col("_nth") - 1).drop("_nth")
     leaves = leaves.withColumn("full", F.col(f"`{leaf}`")).withColumn("alone", F.col("full"))
