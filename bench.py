@@ -60,7 +60,7 @@ def families(spark, sf_dir: str, models: bool) -> dict[str, float]:
     if models:
         timed("fit_lr", lambda: run.lr)
         timed("fit_svm", lambda: run.svm)
-        timed("learning_curve_nb", lambda: drain(JB.learning_curve_nb(run)))
+        timed("learning_curve_nb", lambda: drain(JB.learning_curve(run, "Naive Bayes")))
         root = scratch_path(spark, "bench-stream")
         msgs.selectExpr("'inbox' AS mailbox", "uid", "sender", "subject", "body", "current_timestamp() AS arrival").write.parquet(root + "/in")
         timed("stream_drain", lambda: score_stream(spark, root + "/in", root + "/out", root + "/ckpt", run.tfidf, run.nb, dom).awaitTermination())

@@ -8,7 +8,7 @@ engineered features (V..V+5), exactly as the original stacks them.
   Its log-odds form is linear: coef_j = log theta_phish,j - log theta_legit,j,
   intercept = log n_phish - log n_legit.
 * logistic regression (balanced class weights, L2 with C = 1) and linear SVM
-  via MLlib on SparseVectors.
+  (squared hinge) by Newton steps, many at once: see ``cells``.
 
 Every model ends as (coef[V + 6], intercept). Scoring is a map-only pass:
 the coefficient vector (bounded by max_features + 6) is a constant-folded
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from ..functions.constants import ENGINEERED_FEATURES, LEGITIMATE, PHISHING
 from ..functions.features import engineered_features, feature_values
 from ..functions.scores import clamp_confidence, predicted_label, sigmoid
-from .tfidf import PAIRS, TfidfModel, to_sparse_vector
+from . import cells as CE
+from .tfidf import PAIRS, TfidfModel
 
 SEP = "\u0001"
 
@@ -157,51 +158,34 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return counts.select(label, "n_c", (tot / (k * F.col("n_c"))).alias("weight"))
 
 
-# ------------------------------------------------------------ MLlib models
+# ------------------------------------------------------------ linear models by Newton steps
 
-def _mllib_frame(feats: DataFrame, n_features: int, label: str, weights: DataFrame | None):
-    df = feats.select("row_id", label, to_sparse_vector("pairs", n_features).alias("features"),
-                      F.when(F.col(label) == PHISHING, 1.0).otherwise(0.0).alias("label_ix"))
-    if weights is not None:
-        df = df.join(F.broadcast(weights.select(label, "weight")), label)  # k rows
-    return df
+LOSSES = {"Logistic Regression": CE.LOGISTIC, "Naive Bayes": CE.NAIVE_BAYES, "SVM": CE.SQUARED_HINGE}
 
 
-# rows of a task in the optimisers' passes, which are a job per iteration
-ROWS_PER_TASK = 10_000
+def model_column(name: str, cell: int | None = None, balanced: bool = True, features: int | None = None, key=None) -> CE.Column:
+    """The named model over a cell of a feature table; only logistic regression weighs its classes."""
+    return CE.Column(key or name, LOSSES[name], cell, balanced and name == "Logistic Regression", features=features)
 
 
-def _fit_frame(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(the cached training frame, a view of it whose tasks take about
-    ROWS_PER_TASK rows, its size). The vectors are built once, by the count."""
-    df = df.persist()
-    n = df.count()
-    return df, df.coalesce(max(1, -(-n // ROWS_PER_TASK))), n
+def as_model(fitted: CE.Fitted, name: str, names: list[str] | None = None) -> LinearModel:
+    return LinearModel(name, fitted.coef.tolist(), fitted.intercept, name != "SVM", names or [], dict(fitted.extra))
+
+
+def fit_models(feats: DataFrame, n_features: int, which, names: list[str] | None = None, label: str = "label",
+               balanced: bool = True) -> dict[str, LinearModel]:
+    """The models of ``which``, fitted together over one written feature table."""
+    table = CE.cell_table(feats, n_features, label)
+    fitted = CE.fit_columns(table, [model_column(w, balanced=balanced) for w in which])
+    return {w: as_model(f, w, names) for w, f in zip(which, fitted)}
 
 
 def fit_logistic_regression(feats: DataFrame, n_features: int, names: list[str] | None = None,
-                            label: str = "label", max_iter: int = 1000, balanced: bool = True) -> LinearModel:
-    from pyspark.ml.classification import LogisticRegression
-    weights = class_weights(feats, label) if balanced else None
-    df, view, n = _fit_frame(_mllib_frame(feats, n_features, label, weights))
-    lr = LogisticRegression(featuresCol="features", labelCol="label_ix", maxIter=max_iter,
-                            regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
-                            family="binomial", tol=1e-4)
-    if balanced:
-        lr = lr.setWeightCol("weight")
-    m = lr.fit(view)
-    df.unpersist()
-    return LinearModel("Logistic Regression", m.coefficients.toArray().tolist(), float(m.intercept),
-                       True, names or [])
-
-
-def fit_linear_svm(feats: DataFrame, n_features: int, names: list[str] | None = None,
-                   label: str = "label", max_iter: int = 1000) -> LinearModel:
-    """Hinge loss (MLlib); the original uses squared hinge - a stated difference."""
-    from pyspark.ml.classification import LinearSVC
-    df, view, n = _fit_frame(_mllib_frame(feats, n_features, label, None))
-    svm = LinearSVC(featuresCol="features", labelCol="label_ix", maxIter=max_iter,
-                    regParam=1.0 / max(n, 1), standardization=False, tol=1e-4)
-    m = svm.fit(view)
-    df.unpersist()
-    return LinearModel("SVM", m.coefficients.toArray().tolist(), float(m.intercept), False, names or [])
+                            label: str = "label", balanced: bool = True) -> LinearModel:
+    """L2 (C = 1), balanced class weights, free intercept."""
+    return fit_models(feats, n_features, ("Logistic Regression",), names, label, balanced)["Logistic Regression"]
+
+
+def fit_linear_svm(feats: DataFrame, n_features: int, names: list[str] | None = None, label: str = "label") -> LinearModel:
+    """Squared hinge, L2 (C = 1) on the weights and the intercept."""
+    return fit_models(feats, n_features, ("SVM",), names, label)["SVM"]

@@ -110,6 +110,21 @@ def stratified_split(df: DataFrame, test_size: float = TEST_FRACTION, seed: int
     return j.withColumn("part", part).drop("_h", "cut_key", "cut_tie")
 
 
+def grouped_split(df: DataFrame, by: str, test_size: float = TEST_FRACTION, seed: int = SPLIT_SEED, label: str = "label") -> DataFrame:
+    """:func:`stratified_split` inside every group of ``by`` (an int column with few values), in one plan."""
+    counts: dict = {}
+    for r in df.groupBy(by, label).count().collect():  # groups x classes
+        counts.setdefault(r[0], {})[r[1]] = int(r[2])
+    rows = [(g, c, 0, k) for g, own in counts.items() for c, k in split_quotas(own, test_size).items() if k > 0]
+    targets = df.sparkSession.createDataFrame(rows, f"{by} int, {label} string, target_id int, k long")
+    keyed = df.withColumn("_h", order_hash("row_id", seed))
+    cuts = exact_cutoffs(keyed.select(by, label, "_h", "row_id"), [by, label], targets).drop("target_id")
+    joined = keyed.join(F.broadcast(cuts), [by, label], "left")  # a row a group and class
+    in_test = F.struct("_h", "row_id") <= F.struct("cut_key", "cut_tie")
+    part = F.when(F.col("cut_key").isNotNull() & in_test, F.lit("test")).otherwise(F.lit("train"))
+    return joined.withColumn("part", part).drop("_h", "cut_key", "cut_tie")
+
+
 def fold_cut_points(counts: dict[str, int], k: int) -> list[tuple[str, int, int]]:
     """(class, boundary f, position) for boundaries floor(f * n_c / k), f = 1..k-1."""
     return [(c, f, (f * n) // k) for c, n in counts.items() for f in range(1, k)]

@@ -3,7 +3,7 @@
 fit:   terms per document are counted inside the row (no shuffle), then one
        aggregate per term (document frequency, corpus count; partial
        aggregation makes hot terms cheap), a min_df filter and a top-k by
-       corpus count (tie: term). The vocabulary is bounded by ``max_features``
+       corpus count (tie: term) cut by a histogram. The vocabulary is bounded by ``max_features``
        and held like any fitted Spark ML model: on the driver.
        idf = ln((1 + n) / (1 + df)) + 1 with n = all training documents.
 transform: sublinear tf (1 + ln tf) x idf, L2-normalised per document, as
@@ -22,10 +22,11 @@ from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.constants import ENGLISH_STOP_WORDS, MAX_FEATURES, MIN_DF, NGRAM_MAX
 from ..functions.text import with_term_counts
+from ..session import materialise
+from .rank import distributed_rank
 
 VOCAB_SCHEMA = "term string, term_ix int, df long, corpus_tf long, idf double"
 PAIRS = "array<struct<ix:int,w:double>>"
@@ -43,32 +44,45 @@ def term_frequencies(df: DataFrame, text: str = "text", **kw) -> DataFrame:
     return t.select("row_id", F.explode("tc").alias("x")).select("row_id", "x.term", "x.tf")
 
 
-def document_frequencies(tc: DataFrame) -> DataFrame:
-    """(term, df, corpus_tf) from a doc_terms table."""
-    x = tc.select(F.explode("tc").alias("x"))
-    return x.groupBy(F.col("x.term").alias("term")).agg(
+def document_frequencies(tc: DataFrame, by: Iterable[str] = ()) -> DataFrame:
+    """(*by, term, df, corpus_tf) from a doc_terms table."""
+    x = tc.select(*by, F.explode("tc").alias("x"))
+    return x.groupBy(*by, F.col("x.term").alias("term")).agg(
         F.count(F.lit(1)).alias("df"), F.sum("x.tf").alias("corpus_tf"))
 
 
-# the final merge of a top-k sees at most this many times k rows, however many tasks there are
-TOP_GROUPS = 16
-# a fitted vocabulary is a constant of the plan: this many terms at most
+# a fitted vocabulary is held like a fitted model: this many terms at most
 MAX_VOCABULARY = 200_000
+# counts are cut into bands of a 32nd of an octave
+_BANDS = 32
 
 
-def top_terms(stats: DataFrame, max_features: int | None, min_df: int = MIN_DF) -> DataFrame:
-    """The ``max_features`` commonest terms (ties: the smaller term); None keeps all.
+def top_terms(stats: DataFrame, max_features: int | None, min_df: int = MIN_DF, by: Iterable[str] = ()) -> DataFrame:
+    """The ``max_features`` commonest terms of each group of ``by`` (ties: the
+    smaller term); None keeps all.
 
-    Two levels: the top k of each of TOP_GROUPS hash groups (tasks keep k rows a
-    group before the shuffle), then the top k of those."""
+    A histogram of the counts on a log scale (some 1,300 bands a group) finds the
+    band that holds the last place. Terms of higher bands are in without being
+    sorted; only that band is ranked, over many tasks."""
     kept = stats.filter(F.col("df") >= min_df)
     if max_features is None:
         return kept
-    order = [F.desc("corpus_tf"), F.asc("term")]
-    group = kept.withColumn("_g", F.pmod(F.xxhash64("term"), F.lit(TOP_GROUPS)))
-    rank = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
-    some = group.withColumn("_r", rank).filter(F.col("_r") <= max_features)
-    return some.select(*kept.columns).orderBy(*order).limit(max_features)
+    by = list(by)
+    kept = materialise(kept.withColumn("_band", F.floor(F.log2("corpus_tf") * _BANDS).cast("int")), "terms")
+    above = Window.partitionBy(*by).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
+    bands = kept.groupBy(*by, "_band").agg(F.count(F.lit(1)).alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0)))
+    cut = (bands.filter((F.col("_above") < max_features) & (F.col("_above") + F.col("_n") > max_features))
+           .select(*by, F.col("_band").alias("_cut"), (max_features - F.col("_above")).alias("_need")).collect())  # a row a group
+    names = [f.name for f in stats.schema.fields]
+    if not cut:
+        return kept.select(*names)
+    # one row a group, as those of the histogram's window: within every broadcast
+    cuts = kept.sparkSession.createDataFrame([tuple(r) for r in cut], ", ".join(
+        [*(f"`{c}` {stats.schema[c].dataType.simpleString()}" for c in by), "_cut int", "_need long"]))
+    marked = kept.join(F.broadcast(cuts), by, "left") if by else kept.crossJoin(F.broadcast(cuts))
+    sure = marked.filter(F.col("_cut").isNull() | (F.col("_band") > F.col("_cut")))
+    last = distributed_rank(marked.filter(F.col("_band") == F.col("_cut")), [F.desc("corpus_tf"), F.asc("term")], within=by, name="_place")
+    return sure.select(*names).unionByName(last.filter(F.col("_place") <= F.col("_need")).select(*names))
 
 
 @dataclass
@@ -100,11 +114,28 @@ class TfidfModel:
         stats = top_terms(document_frequencies(tc), max_features, min_df)
         n_docs = tc.count()
         rows = sorted(stats.collect(), key=lambda r: r["term"])  # bounded by max_features
-        vocab = []
-        for ix, r in enumerate(rows):
-            idf = (math.log((1 + n_docs) / (1 + r["df"])) + 1.0) if use_idf else 1.0
-            vocab.append((r["term"], ix, int(r["df"]), int(r["corpus_tf"]), idf))
-        return TfidfModel(vocab, n_docs, stop_words, n_max, sublinear, use_idf)
+        return TfidfModel._of(rows, n_docs, stop_words, n_max, sublinear, use_idf)
+
+    @staticmethod
+    def fit_groups(tc: DataFrame, by: str, max_features: int = MAX_FEATURES, min_df: int = MIN_DF, **how) -> dict:
+        """{value of ``by``: model}: a vocabulary for every group of counted terms,
+        from one aggregate over (group, term). The driver holds groups x max_features terms."""
+        if not 0 < max_features <= MAX_VOCABULARY:
+            raise ValueError(f"max_features must be 1 to {MAX_VOCABULARY}")
+        sizes = {r[0]: r[1] for r in tc.groupBy(by).count().collect()}  # a row a group
+        stats = top_terms(document_frequencies(tc, (by,)), max_features, min_df, (by,)).collect()
+        out = {}
+        for group, n in sizes.items():
+            mine = sorted((r for r in stats if r[by] == group), key=lambda r: r["term"])
+            out[group] = TfidfModel._of(mine, n, **how)
+        return out
+
+    @staticmethod
+    def _of(rows: list, n_docs: int, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, n_max: int = NGRAM_MAX,
+            sublinear: bool = True, use_idf: bool = True) -> "TfidfModel":
+        vocab = [(r["term"], ix, int(r["df"]), int(r["corpus_tf"]), math.log((1 + n_docs) / (1 + r["df"])) + 1.0 if use_idf else 1.0)
+                 for ix, r in enumerate(rows)]
+        return TfidfModel(vocab, n_docs, tuple(stop_words), n_max, sublinear, use_idf)
 
     def vocab_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.vocab, VOCAB_SCHEMA)
@@ -149,14 +180,3 @@ class TfidfModel:
 
     def feature_names(self) -> list[str]:
         return [v[0] for v in self.vocab]
-
-
-def to_sparse_vector(pairs: str, size: int):
-    """array<struct<ix, w>> -> ml SparseVector column, without a Python UDF:
-    the vector's SQL form goes through JSON into a VectorUDT field."""
-    from pyspark.ml.linalg import VectorUDT
-    body = F.struct(F.lit(0).alias("type"), F.lit(size).alias("size"),
-                    F.transform(pairs, lambda p: p["ix"]).alias("indices"),
-                    F.transform(pairs, lambda p: p["w"]).alias("values"))
-    schema = T.StructType([T.StructField("v", VectorUDT())])
-    return F.from_json(F.to_json(F.struct(body.alias("v"))), schema)["v"]

@@ -1,12 +1,12 @@
 """Training-side studies and jobs built from the operators.
 
-compare_models    M7: fit LR / NB / SVM on one cached feature table, score the
+compare_models    M7: fit LR / NB / SVM over one feature table, score the
                   hold-out, evaluate all models in one grouped pass, pick the best
-learning_curve    M8: folds x nested prefixes; naive Bayes for all 25 cells in
-                  one grouped aggregate (cell = fold, size), the others fitted
-                  cell by cell; weighted F1
-contribution      M9: growing source prefixes, each with its own split and
-                  vocabulary over terms counted once, three models per stage
+learning_curve    M8: folds x nested prefixes; all 25 cells fitted and judged
+                  together; weighted F1
+contribution      M9: growing source prefixes as a grouping key, each with its own
+                  split and vocabulary over terms counted once; all models of all
+                  stages fitted together
 score_external    M10: clean, drop empty, score, append prediction + confidence
 PRESETS           M11: parameter sets and source lists of the earlier versions
 train_from_files  the whole run: five CSV shapes -> corpus -> models -> result tables
@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import ENGLISH_STOP_WORDS, FOLDS, LEGITIMATE, MAX_FEATURES, NGRAM_MAX, PHISHING
 from ..functions.text import clean_text, normalise_label, strip_ws
+from ..operators import cells as CE
 from ..operators import corpus as C
 from ..operators import metrics as MT
 from ..operators import models as MD
 from ..operators import split as SP
 from ..operators.explain import top_features
 from ..operators.tfidf import TfidfModel
+from ..session import materialise as stored
 from ..session import scratch_path
 from ..sources.io import read_corpus, save_model, with_row_ids, write_table
 from .pipeline import TextRun, materialise
@@ -37,6 +39,7 @@ MODEL_ORDER = ("Logistic Regression", "Naive Bayes", "SVM")
 def compare_models(run: TextRun, models=MODEL_ORDER) -> tuple[DataFrame, DataFrame, str | None]:
     """(results, scored_all, best_name). results: model, model_rank, accuracy,
     precision, recall, f1_score - one grouped pass over all predictions."""
+    run.fit(models)
     scored = None
     for rank, name in enumerate(models):
         s = run.scored(run.model(name)).withColumn("model", F.lit(name)).withColumn("model_rank", F.lit(rank))
@@ -50,119 +53,94 @@ def compare_models(run: TextRun, models=MODEL_ORDER) -> tuple[DataFrame, DataFra
 
 def learning_curve(run: TextRun, name: str, k: int = FOLDS) -> DataFrame:
     """(size, train_score, validation_score) of the named model: the mean
-    weighted F1 over the folds. One fit per (fold, size) for the models of MLlib,
-    from a small thread pool over the cached features."""
-    if name == "Naive Bayes":
-        return learning_curve_nb(run, k)
-    from concurrent.futures import ThreadPoolExecutor
-    fit = {"Logistic Regression": MD.fit_logistic_regression, "SVM": MD.fit_linear_svm}[name]
-    feats = run.train_features.select("row_id", "label", "pairs")
-    folded = SP.stratified_folds(run.train.select("row_id", "label"), k)
-    cells = SP.train_prefixes(folded, k)
-    sets = materialise(cells.join(feats, "row_id"))
-    held = materialise(folded.select("row_id", "fold").join(feats, "row_id"))
-    grid = sorted((r[0], r[1]) for r in cells.select("fold", "size").distinct().collect())  # k folds x 5 sizes
-
-    def one(cell):
-        fold, size = cell
-        own = sets.filter((F.col("fold") == fold) & (F.col("size") == size))
-        model = fit(own, run.n_features)
-        valid = held.filter(F.col("fold") == fold)
-        both = [model.score(d, keep=("label",)).select(F.lit(fold).alias("fold"), F.lit(size).alias("size"), F.lit(kind).alias("kind"),
-                                                       F.col("label").alias("actual"), "predicted")
-                for d, kind in ((own, "train"), (valid, "validation"))]
-        return both[0].unionByName(both[1])
-
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        scored = list(pool.map(one, grid))
-    union = scored[0]
-    for more in scored[1:]:
-        union = union.unionByName(more)
-    return _curve(_weighted_f1(union, ("fold", "size", "kind")))
-
-
-def _curve(per_cell: DataFrame) -> DataFrame:
-    return (per_cell.groupBy("size").pivot("kind", ["train", "validation"]).agg(F.avg("weighted_f1"))
+    weighted F1 over the folds.
+
+    Every (fold, size) is a cell. A row lists the cells whose prefix it is in and
+    those it validates, so the features are stored once, all models are fitted
+    together and one pass counts the predictions of all of them."""
+    folded = SP.stratified_folds(run.train.select("row_id", "label"), k).select("row_id", "fold")
+    prefixes = materialise(SP.train_prefixes(SP.stratified_folds(run.train.select("row_id", "label"), k), k))
+    grid = sorted((r[0], r[1]) for r in prefixes.select("fold", "size").distinct().collect())  # k folds x 5 sizes
+    number = {cell: i for i, cell in enumerate(grid)}
+    spark = run.spark
+    numbers = F.broadcast(spark.createDataFrame([(f, s, i) for (f, s), i in number.items()], "fold int, size int, cell int"))
+    cells = prefixes.join(numbers, ["fold", "size"]).groupBy("row_id").agg(F.collect_list("cell").alias("cells"))  # k x 5 at most
+    of_fold = F.broadcast(numbers.groupBy("fold").agg(F.collect_list("cell").alias("held")))
+    feats = (run.train_features.select("row_id", "label", "pairs").join(folded, "row_id").join(of_fold, "fold", "left")
+             .join(cells, "row_id", "left"))
+    table = CE.cell_table(feats, run.n_features, cells="cells", held="held")
+    prefixes.unpersist()
+    fitted = CE.fit_columns(table, [MD.model_column(name, i, run.balanced, key=cell) for cell, i in number.items()])
+    counts = CE.cell_confusions(table, fitted).join(
+        F.broadcast(spark.createDataFrame([(i, *cell) for cell, i in number.items()], "column int, fold int, size int")), "column")
+    report = MT.classification_report(counts, by=("fold", "size", "kind"))
+    f1 = report.filter(F.col("class") == "weighted avg").select("fold", "size", "kind", F.col("f1").alias("weighted_f1"))
+    return (f1.groupBy("size").pivot("kind", ["train", "validation"]).agg(F.avg("weighted_f1"))
             .select("size", F.col("train").alias("train_score"), F.col("validation").alias("validation_score")))
 
 
-def _weighted_f1(pred: DataFrame, by) -> DataFrame:
-    """Support-weighted F1 over the two classes."""
-    r = MT.classification_report(pred, by=by)
-    return r.filter(F.col("class") == "weighted avg").select(*by, F.col("f1").alias("weighted_f1"))
-
-
-def learning_curve_nb(run: TextRun, k: int = FOLDS, alpha: float = 1.0) -> DataFrame:
-    """(size, train_score, validation_score): mean weighted F1 over the folds,
-    naive Bayes fitted for every (fold, size) cell in one aggregate.
-
-    margin = prior + base * sum(x) + sum(x_j * delta_j) where, per cell,
-    delta_j = ln(fc_phish,j + a) - ln(fc_legit,j + a) for observed features and
-    base = ln(T_legit + a * nf) - ln(T_phish + a * nf): features a cell never saw
-    contribute only through ``base``, so no dense grid is materialised."""
-    nf = run.n_features
-    feats = run.train_features.select("row_id", "label", "pairs")
-    folded = SP.stratified_folds(run.train.select("row_id", "label"), k)
-    cells = SP.train_prefixes(folded, k)                               # row_id, fold, size
-    member = cells.join(feats, "row_id")
-    x = member.select("fold", "size", "label", F.explode("pairs").alias("p"))
-    fc = x.groupBy("fold", "size", "label", F.col("p.ix").alias("ix")).agg(F.sum("p.w").alias("s"))
-    tot = fc.groupBy("fold", "size").agg(
-        F.sum(F.when(F.col("label") == PHISHING, F.col("s"))).alias("t_p"),
-        F.sum(F.when(F.col("label") == LEGITIMATE, F.col("s"))).alias("t_l"))
-    n_c = member.groupBy("fold", "size").agg(F.count_if(F.col("label") == PHISHING).alias("n_p"),
-                                             F.count_if(F.col("label") == LEGITIMATE).alias("n_l"))
-    cell = tot.join(n_c, ["fold", "size"]).select(
-        "fold", "size", (F.log("n_p") - F.log("n_l")).alias("prior"),
-        (F.log(F.col("t_l") + alpha * nf) - F.log(F.col("t_p") + alpha * nf)).alias("base"))
-    delta = fc.groupBy("fold", "size", "ix").agg(
-        (F.log(F.coalesce(F.sum(F.when(F.col("label") == PHISHING, F.col("s"))), F.lit(0.0)) + alpha)
-         - F.log(F.coalesce(F.sum(F.when(F.col("label") == LEGITIMATE, F.col("s"))), F.lit(0.0)) + alpha)).alias("delta"))
-
-    def score(rows: DataFrame, kind: str) -> DataFrame:
-        # rows: row_id, fold, size (the cell that scores this row)
-        r = rows.join(feats, "row_id")
-        e = r.select("row_id", "fold", "size", "label", F.explode_outer("pairs").alias("p"))
-        j = e.join(delta, (e["fold"] == delta["fold"]) & (e["size"] == delta["size"]) & (F.col("p.ix") == delta["ix"]), "left")
-        s = j.groupBy(e["row_id"], e["fold"], e["size"], e["label"]).agg(
-            F.sum(F.coalesce(F.col("p.w"), F.lit(0.0))).alias("sx"),
-            F.sum(F.coalesce(F.col("p.w") * F.col("delta"), F.lit(0.0))).alias("sd"))
-        m = s.join(cell, ["fold", "size"]).select(
-            "fold", "size", F.col("label").alias("actual"),
-            F.when(F.col("prior") + F.col("base") * F.col("sx") + F.col("sd") > 0, F.lit(PHISHING))
-             .otherwise(F.lit(LEGITIMATE)).alias("predicted"))
-        return _weighted_f1(m, ("fold", "size")).withColumn("kind", F.lit(kind))
-
-    sizes = cells.select("fold", "size").distinct()
-    valid = folded.join(sizes, "fold").select("row_id", "fold", "size")
-    per_cell = score(cells, "train").unionByName(score(valid, "validation"))
-    return _curve(per_cell)
-
-
-# ------------------------------------------------------------ contribution
+# ------------------------------------------------------------ many training sets, many models
+
+@dataclass
+class Study:
+    """A training set of a comparison: its features (label, part, pairs), their
+    number, and whether logistic regression balances its classes."""
+    name: str
+    features: DataFrame
+    n_features: int
+    balanced: bool = True
+
+
+def compare_studies(studies: list[Study], models=MODEL_ORDER) -> list[tuple]:
+    """(study, model, accuracy, precision, recall, f1) of the hold-outs, in order.
+    All models of all studies are fitted together over one table: a study is a
+    cell, its rows carry its number."""
+    if not studies:
+        return []
+    rows, none = None, F.array().cast("array<int>")
+    for i, st in enumerate(studies):
+        own, train = F.array(F.lit(i)), F.col("part") == "train"
+        part = st.features.select("label", "pairs", F.when(train, own).otherwise(none).alias("cells"), F.when(train, none).otherwise(own).alias("held"))
+        rows = part if rows is None else rows.unionByName(part)
+    table = CE.cell_table(rows, max(st.n_features for st in studies), cells="cells", held="held")
+    columns = [MD.model_column(m, i, st.balanced, st.n_features, key=(i, m)) for i, st in enumerate(studies) for m in models]
+    fitted = CE.fit_columns(table, columns)
+    held = CE.cell_confusions(table, fitted).filter("kind = 'validation'")
+    found = {r["column"]: r for r in MT.binary_metrics(held, by=("column",)).collect()}  # a row a model
+    return [(studies[c.name[0]].name, c.name[1], *[found[k][m] for m in ("accuracy", "precision", "recall", "f1_score")])
+            for k, c in enumerate(columns) if k in found]
+
 
 def contribution(corpus_by_source: DataFrame, stage_names: list[str], models=MODEL_ORDER,
-                 max_features: int = MAX_FEATURES) -> DataFrame:
+                 max_features: int = MAX_FEATURES, dedupe: bool = False) -> DataFrame:
     """Rows: dataset, model, accuracy, precision, recall, f1. Stage s holds the
-    first s sources, re-cleaned, not deduplicated; single-class stages are skipped.
+    first s sources, re-cleaned; single-class stages are skipped. ``dedupe`` keeps
+    the first of equal (text, label) rows, as the main run does.
 
-    The re-cleaned texts are tokenised and counted once; a stage is a filter over
-    that table, with its own split, vocabulary and models."""
-    spark = corpus_by_source.sparkSession
+    The stage is a grouping key: texts are tokenised and counted once, a row
+    belongs to the stages from its source on, and one plan each makes all splits,
+    all vocabularies and all models."""
     base = C.finalise(corpus_by_source)
-    counted = materialise(MD.counted_terms((ENGLISH_STOP_WORDS, NGRAM_MAX), base, keep=("row_id", "source_rank", "label")))
-    rows = []
-    for s, name in enumerate(stage_names, start=1):
-        df = counted.filter(F.col("source_rank") < s)
-        if not C.require_two_classes(df, on_fail="skip"):
-            continue
-        run = TextRun(spark, df, max_features=max_features)
-        res, _, _ = compare_models(run, models)
-        rows += [(name, r["model"], r["accuracy"], r["precision"], r["recall"], r["f1_score"])
-                 for r in res.orderBy("model_rank").collect()]  # a row a model
-        run.release()
-    counted.unpersist()
-    return spark.createDataFrame(rows, "dataset string, model string, accuracy double, precision double, recall double, f1 double")
+    if dedupe:  # the first of equal rows has the least source, so it is the first in every stage that has one
+        base = C.dedupe_first(base)
+    terms = MD.counted_terms((ENGLISH_STOP_WORDS, NGRAM_MAX), base, keep=("row_id", "source_rank", "label"))
+    counted = stored(terms, "counted-terms")
+    stage = F.explode(F.sequence(F.col("source_rank").cast("int") + 1, F.lit(len(stage_names)))).alias("stage")
+    light = counted.select("row_id", "label", stage)
+    classes = light.groupBy("stage").agg(F.countDistinct("label").alias("n")).filter("n > 1")
+    usable = sorted(r["stage"] for r in classes.collect())  # a row a stage
+    schema = "dataset string, model string, accuracy double, precision double, recall double, f1 double"
+    spark = corpus_by_source.sparkSession
+    if not usable:
+        return spark.createDataFrame([], schema)
+    parts = SP.grouped_split(counted.select("row_id", "label", "_feats", "tc", stage).filter(F.col("stage").isin(usable)), "stage")
+    vocabularies = TfidfModel.fit_groups(parts.filter("part = 'train'"), "stage", max_features)
+    studies = []
+    for s in usable:
+        model = vocabularies[s]
+        feats = MD.featurise_terms(model, parts.filter(F.col("stage") == s), keep=("label", "part"))
+        studies.append(Study(stage_names[s - 1], feats, len(MD.feature_names(model))))
+    return spark.createDataFrame(compare_studies(studies, models), schema)
 
 
 # ------------------------------------------------------------ external scoring
@@ -206,8 +184,9 @@ PRESETS = {
 
 def preset_runs(raw: DataFrame, models=MODEL_ORDER) -> DataFrame:
     """Rows: preset, model, accuracy, precision, recall, f1_score. Each preset
-    trains on its own sources of ``raw`` (the corpus view), cleaned its way."""
-    spark, rows = raw.sparkSession, []
+    trains on its own sources of ``raw`` (the corpus view), cleaned its way; the
+    models of all presets are fitted together."""
+    spark, studies, runs = raw.sparkSession, [], []
     for name, cfg in PRESETS.items():
         own = raw.filter(F.col("source_rank") < cfg.sources)
         if cfg.clean_case:
@@ -218,9 +197,10 @@ def preset_runs(raw: DataFrame, models=MODEL_ORDER) -> DataFrame:
                 "row_id", "source_rank", "row_no", "source", strip.alias("text"), normalise_label("raw_label").alias("label")))
         run = TextRun(spark, materialise(corpus), max_features=cfg.max_features, min_df=cfg.min_df,
                       sublinear=cfg.sublinear, engineered=cfg.engineered, balanced=cfg.balanced)
-        res, _, _ = compare_models(run, models)
-        rows += [(name, r["model"], r["accuracy"], r["precision"], r["recall"], r["f1_score"])
-                 for r in res.orderBy("model_rank").collect()]  # a row a model
+        runs.append(run)
+        studies.append(Study(name, run.features, run.n_features, cfg.balanced))
+    rows = compare_studies(studies, models)
+    for run in runs:
         run.corpus.unpersist()
         run.release()
     return spark.createDataFrame(rows, "preset string, model string, accuracy double, precision double, recall double, f1_score double")

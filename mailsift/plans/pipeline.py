@@ -104,18 +104,26 @@ class TextRun:
     def nb(self) -> MD.LinearModel:
         return self._get("nb", lambda: MD.fit_naive_bayes(self.train_features, self.n_features, self.names))
 
+    def fit(self, names) -> None:
+        """Fits those of the named linear models that are missing, together."""
+        missing = [n for n in names if n != "Naive Bayes" and n not in self._memo]
+        if missing:
+            self._memo.update(MD.fit_models(self.train_features, self.n_features, missing, self.names, balanced=self.balanced))
+
     @property
     def lr(self) -> MD.LinearModel:
-        return self._get("lr", lambda: MD.fit_logistic_regression(self.train_features, self.n_features, self.names,
-                                                                  balanced=self.balanced))
+        return self.model("Logistic Regression")
 
     @property
     def svm(self) -> MD.LinearModel:
-        return self._get("svm", lambda: MD.fit_linear_svm(self.train_features, self.n_features, self.names))
+        return self.model("SVM")
 
     def model(self, name: str) -> MD.LinearModel:
         """Fits the named model only."""
-        return getattr(self, {"Logistic Regression": "lr", "Naive Bayes": "nb", "SVM": "svm"}[name])
+        if name == "Naive Bayes":
+            return self.nb
+        self.fit([name])
+        return self._memo[name]
 
     def release(self) -> None:
         """Frees the cached stages; the fitted models stay."""

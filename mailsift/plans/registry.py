@@ -594,7 +594,7 @@ FROM wf GROUP BY size"""
 
 @register("learning_curve_nb", _CURVE)
 def q_learning_curve_nb(spark, sf_dir):
-    c = JB.learning_curve_nb(fixture_run(spark, sf_dir))
+    c = JB.learning_curve(fixture_run(spark, sf_dir), "Naive Bayes")
     return c.select("size", r6("train_score").alias("train_score"), r6("validation_score").alias("validation_score"))
 
 
