@@ -114,6 +114,13 @@ def analyse(col: Column | str, stop_words: Iterable[str] = ENGLISH_STOP_WORDS,
     return ngrams(drop_stop_words(tokens(col), stop_words), n_max)
 
 
+def with_terms(df: DataFrame, text: str, out: str, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, n_max: int = NGRAM_MAX,
+               keep: Iterable[str] = ()) -> DataFrame:
+    """*keep and ``out`` array<string>: the terms of :func:`analyse`, evaluated step by step."""
+    d = df.select(*keep, drop_stop_words(tokens(text), stop_words).alias("_tok"))
+    return d.select(*keep, F.coalesce(ngrams(F.col("_tok"), n_max), F.array().cast("array<string>")).alias(out))
+
+
 def with_term_counts(df: DataFrame, text: str, out: str = "tc",
                      stop_words: Iterable[str] = ENGLISH_STOP_WORDS, n_max: int = NGRAM_MAX,
                      keep: Iterable[str] | None = None) -> DataFrame:

@@ -7,24 +7,22 @@ fit:   terms per document are counted inside the row (no shuffle), then one
        and held like any fitted Spark ML model: on the driver.
        idf = ln((1 + n) / (1 + df)) + 1 with n = all training documents.
 transform: sublinear tf (1 + ln tf) x idf, L2-normalised per document, as
-       sorted (ix, value) arrays. Map-only: the vocabulary is one constant, an
-       array of hash buckets, and each row looks its own terms up in it. No
-       row is exploded, shuffled or grouped, so no key is needed.
+       sorted (ix, value) arrays. Map-only: the vocabulary is a broadcast that
+       the fitted counter holds, in which each row looks its own terms up before
+       anything is counted. No row is exploded, shuffled or grouped.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterable
-from dataclasses import dataclass
-from zlib import crc32
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import ENGLISH_STOP_WORDS, MAX_FEATURES, MIN_DF, NGRAM_MAX
-from ..functions.text import with_term_counts
+from ..functions.text import with_term_counts, with_terms
 from ..session import materialise
 from .rank import distributed_rank
 
@@ -93,6 +91,7 @@ class TfidfModel:
     n_max: int = NGRAM_MAX
     sublinear: bool = True
     use_idf: bool = True
+    _made: tuple | None = field(default=None, repr=False, compare=False)
 
     @property
     def size(self) -> int:
@@ -140,15 +139,15 @@ class TfidfModel:
     def vocab_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.vocab, VOCAB_SCHEMA)
 
-    def _buckets(self) -> tuple[Column, int]:
-        """The vocabulary as a constant: array of buckets of (term, ix, idf),
-        a term's bucket being its crc32 modulo their number."""
-        n = 1 << max(self.size.bit_length(), 4)
-        rows: list[list] = [[] for _ in range(n)]
-        for term, ix, _, _, idf in self.vocab:
-            rows[crc32(term.encode()) % n].append({"t": term, "i": ix, "d": idf})
-        text = json.dumps(rows, ensure_ascii=False)
-        return F.from_json(F.lit(text), "array<array<struct<t:string,i:int,d:double>>>"), n
+    def _counter(self):
+        """Counts of the vocabulary's terms, and those counts times idf, as fitted
+        transformers: made once, so the vocabulary is one broadcast for all plans."""
+        if self._made is None:
+            from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+            from pyspark.ml.linalg import Vectors
+            terms = CountVectorizerModel.from_vocabulary(self.feature_names(), inputCol="_terms", outputCol="_tf")
+            self._made = terms, ElementwiseProduct(scalingVec=Vectors.dense([v[4] for v in self.vocab]), inputCol="_tf", outputCol="_tfidf")
+        return self._made
 
     def transform(self, df: DataFrame | None, text: str = "text", keep: Iterable[str] = (),
                   tc: DataFrame | None = None) -> DataFrame:
@@ -156,21 +155,27 @@ class TfidfModel:
         one row per row of the input, in its partition.
         ``tc``: already counted terms (with the keep columns) instead of ``df``."""
         keep = list(keep)
-        if tc is None:
-            tc = doc_terms(df, text, self.stop_words, self.n_max, keep=keep)
-        buckets, n = self._buckets()
-
-        def look_up(x: Column) -> Column:
-            place = (F.crc32(x["term"].cast("binary")) % n).cast("int")
-            found = F.get(F.filter(F.get(buckets, place), lambda e: e["t"] == x["term"]), 0)
-            tf = (1.0 + F.log(x["tf"])) if self.sublinear else x["tf"].cast("double")
-            return F.struct(found["i"].alias("ix"), (tf * found["d"]).alias("w"))
-
-        known = F.sort_array(F.filter(F.transform("tc", look_up), lambda p: p["ix"].isNotNull()))
-        norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, p: s + p["w"] * p["w"]))
-        scaled = F.transform(F.array(known), lambda a: F.transform(F.array(norm(a)), lambda z: F.transform(
-            a, lambda p: F.struct(p["ix"].alias("ix"), (p["w"] / z).alias("w"))))[0])[0]
-        return tc.select(*keep, scaled.cast(PAIRS).alias("pairs"))
+        if tc is not None:
+            d = tc.select(*keep, F.flatten(F.transform("tc", lambda x: F.array_repeat(x["term"], x["tf"].cast("int")))).alias("_terms"))
+        else:
+            d = with_terms(df, text, "_terms", self.stop_words, self.n_max, keep)
+        if not self.vocab:
+            return d.select(*keep, F.array().cast(PAIRS).alias("pairs"))
+        for step in self._counter():
+            d = step.transform(d)
+        # an array of one element binds its value: named columns would be inlined, and evaluated for every element
+        def scaled(both: Column) -> Column:
+            n, x = both["n"], both["x"]
+            weight = F.zip_with(n["values"], x["values"], lambda n, x: x / n * (1.0 + F.log(n))) if self.sublinear else x["values"]
+            return F.transform(F.array(F.struct(n["indices"].alias("ix"), weight.alias("w"))), normed)[0]
+
+        def normed(p: Column) -> Column:
+            length = F.sqrt(F.aggregate(p["w"], F.lit(0.0), lambda s, w: s + w * w))
+            return F.transform(F.array(length), lambda z: F.zip_with(
+                p["ix"], p["w"], lambda i, w: F.struct(i.alias("ix"), (w / z).alias("w"))))[0]
+
+        both = F.struct(F.unwrap_udt("_tf").alias("n"), F.unwrap_udt("_tfidf").alias("x"))
+        return d.select(*keep, F.transform(F.array(both), scaled)[0].cast(PAIRS).alias("pairs"))
 
     def long_form(self, df: DataFrame, text: str = "text") -> DataFrame:
         """(row_id, term_ix, weight)."""

@@ -20,13 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the session's cores if it has fewer files than these: a
+    file with one row group is one task, however many splits it gets. Tables of
+    many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def corpus_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id, source_rank, row_no, source, raw_label, raw_text.
 
     Five label spellings and five pseudo-sources by doc_id % 5; trigger
     phrases planted by n_chars % 7 so exact copies stay exact copies.
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
     lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     j = d.join(lab, "doc_id", "left")
     r5 = F.col("doc_id") % 5
@@ -54,7 +62,7 @@ def corpus_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """uid, sender, subject, body: one stored message per document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     r4 = F.col("doc_id") % 4
     sid = F.col("doc_id").cast("string")
     sender = (F.when(r4 == 0, F.concat(F.lit("Desk <U"), sid, F.lit("@Mail"),
