@@ -155,19 +155,37 @@ class Bins:
             return False
         size_there, free_there = self.sizes[others], free[self.bin_of[others]]
         best = (0, None, None)
-        pairs = [(int(a), int(b)) for x, a in enumerate(mine[:24]) for b in mine[x + 1:24]]
-        for give in [(int(i),) for i in mine] + pairs:  # one for one, then two for one
-            gain = sum(int(self.sizes[g]) for g in give) - size_there
+        for give in [(int(i),) for i in mine]:  # one for one
+            gain = int(self.sizes[give[0]]) - size_there
             good = (gain > 0) & (gain <= free_there)
             if good.any():
                 k = int(np.argmax(np.where(good, gain, 0)))
                 if int(gain[k]) > best[0]:
                     best = (int(gain[k]), give, int(others[k]))
+        sums, first, second = self._pair_sums(mine)
+        if len(sums):  # two for one: the largest pair sum that the partner's bin has room for
+            at = np.searchsorted(sums, size_there + free_there, side="right") - 1
+            gain = np.where(at >= 0, sums[np.maximum(at, 0)] - size_there, 0)
+            k = int(np.argmax(gain))
+            if int(gain[k]) > best[0]:
+                best = (int(gain[k]), (int(first[at[k]]), int(second[at[k]])), int(others[k]))
         if not best[0]:
             return False
         self._shift(list(best[1]), [best[2]], int(self.bin_of[best[2]]))
         return True
 
+    def _pair_sums(self, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sums of any two pieces of ``mine``, ascending, with two such pieces
+        each. The distinct sizes in a bin add up to its capacity at most, so there
+        are few (90 for 4,096), however many pieces there are."""
+        sizes, at, n = np.unique(self.sizes[mine], return_index=True, return_counts=True)
+        a, b = np.triu_indices(len(sizes), 1)
+        twice = np.flatnonzero(n > 1)
+        again = np.array([mine[np.flatnonzero(self.sizes[mine] == sizes[t])[1]] for t in twice], np.int64)
+        first, second = np.r_[mine[at[a]], mine[at[twice]]], np.r_[mine[at[b]], again]
+        sums, kept = np.unique(np.r_[sizes[a] + sizes[b], 2 * sizes[twice]], return_index=True)
+        return sums, first[kept], second[kept]
+
     def _shift(self, out: list[int], back: list[int], target: int) -> None:
         source = int(self.bin_of[out[0]])
         gain = int(self.sizes[out].sum()) - int(self.sizes[back].sum())

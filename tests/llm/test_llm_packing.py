@@ -137,3 +137,23 @@ def test_the_last_round_closes_every_bin(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_two_for_one_looks_at_every_pair():
+    from itertools import combinations
+
+    from mailsift.llm.packing import Bins
+    rnd = np.random.default_rng(9)
+    bins = Bins(np.array([10] * 3, np.int64), 100)
+    for sizes in (rnd.integers(1, 40, 60), [5] * 40, [3], [2, 2], list(range(1, 50))):
+        bins.sizes = np.array(sizes, np.int64)
+        mine = rnd.permutation(len(sizes))
+        sums, a, b = bins._pair_sums(mine)
+        assert sums.tolist() == sorted({int(x + y) for x, y in combinations(bins.sizes[mine].tolist(), 2)})
+        assert (bins.sizes[a] + bins.sizes[b] == sums).all() and (a != b).all()
+
+
+def test_a_bin_of_many_short_pieces_is_emptied_by_pairs():
+    sizes = np.array([80, 10, 80, 10] + [45] * 4)
+    at, _ = pack_sizes(sizes, 100)
+    assert np.bincount(at, sizes).max() <= 100 and len(set(at.tolist())) == 4
