@@ -4,7 +4,8 @@ Three patterns find assignments, access keys and long hex strings. Beside
 them, every long run of encoding characters is tested for randomness under the
 encoding that its characters suggest (hex, base32, base64, ...):
 
-* chi-squared uniformity over the encoding's alphabet,
+* chi-squared uniformity over the encoding's alphabet (simulated where a run is
+  short for its alphabet),
 * a runs test around the middle of the alphabet,
 * lag-1 serial correlation of the symbols.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -53,6 +55,9 @@ ENCODINGS = ("0123456789", "0123456789abcdef", "0123456789ABCDEF", "abcdefghijkl
              "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_")
 _RUN_BYTES = np.zeros(256, bool)
 _RUN_BYTES[list(ENCODINGS[-1].encode())] = True
+_JOINTS = re.compile(r"[/_+-]+")
+#: Draws of a simulated table.
+SIMULATED = 4096
 _BIN = 0.02  # width of the histogram's bins of -log10 p
 _BINS = 16_000
 
@@ -83,29 +88,13 @@ class Battery:
     mean_length: float = float(RUN)
     threshold: float = math.inf
 
-    def judge(self, token: str) -> tuple[float, bool]:
-        """(-log10 of the length-weighted p-value against text, whether every
-        randomness test passes)."""
-        token = token.rstrip("=")
-        chars = set(token)
-        alphabet = next((a for a in ENCODINGS if chars <= set(a)), None)
-        if alphabet is None or len(token) < RUN:
-            return 0.0, False
-        n, k = len(token), len(alphabet)
-        value = np.array([alphabet.index(c) for c in token])
-        seen = np.bincount(value, minlength=k)
-        chi2 = float((seen ** 2).sum()) * k / n - n
-        uniform = _chi2_upper(chi2, k - 1)
-        high = value >= k / 2
-        a, b = int(high.sum()), n - int(high.sum())
-        runs = 1 + int((high[1:] != high[:-1]).sum())
-        mean = 1 + 2 * a * b / n
-        var = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
-        run_p = math.erfc(abs(runs - mean) / math.sqrt(2 * var)) if var > 0 else 0.0
-        c = value - value.mean()
-        serial = float((c[1:] * c[:-1]).sum()) / max(float((c * c).sum()), 1e-12)
-        serial_p = math.erfc(abs(serial + 1 / n) * math.sqrt(n / 2))
-        passes = min(uniform, run_p, serial_p) >= REJECT
+    def against_text(self, encoding: int, n: int, squares: int) -> float:
+        """-log10 of the length-weighted p-value that characters drawn like the
+        corpus's own are as evenly spread as these: ``n`` characters whose counts'
+        squares sum to ``squares``."""
+        alphabet = ENCODINGS[encoding]
+        k = len(alphabet)
+        chi2 = squares * k / n - n
         fold = not any(x.islower() for x in alphabet)  # capitals alone: text in capitals would have text's letters
         q = np.array([self.shares[ord(x)] + fold * x.isalpha() * self.shares[ord(x.lower())] for x in alphabet]) + 1e-6
         q = q / q.sum()
@@ -113,11 +102,64 @@ class Battery:
         expected = k * (1 + (n - 1) * s2) - n
         spread = 2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2) * (k / n) ** 2
         z = (chi2 - expected) / math.sqrt(max(spread, 1e-9))
-        return -_log10_lower(z) + math.log10(n / self.mean_length), passes
+        return -_log10_lower(z) + math.log10(n / self.mean_length)
 
     def secret(self, token: str) -> bool:
-        p, passes = self.judge(token)
-        return passes and p >= self.threshold
+        measured = measure(token)
+        return measured is not None and self.against_text(*measured) >= self.threshold and looks_random(token)
+
+
+def _values(token: str) -> tuple[int, np.ndarray] | None:
+    token = token.rstrip("=")
+    chars = set(token)
+    encoding = next((i for i, a in enumerate(ENCODINGS) if chars <= set(a)), None)
+    if encoding is None or len(token) < RUN:
+        return None
+    return encoding, np.array([ENCODINGS[encoding].index(c) for c in token])
+
+
+def measure(token: str) -> tuple[int, int, int] | None:
+    """(encoding, length, sum of squared character counts): all that the test
+    against text needs, and nothing that gives the token away."""
+    found = _values(token)
+    if found is None:
+        return None
+    seen = np.bincount(found[1])
+    return found[0], len(found[1]), int((seen * seen).sum())
+
+
+def looks_random(token: str) -> bool:
+    """Whether the uniformity, runs and serial tests all pass."""
+    encoding, value = _values(token)
+    n, k = len(value), len(ENCODINGS[encoding])
+    seen = np.bincount(value, minlength=k)
+    chi2 = float((seen ** 2).sum()) * k / n - n
+    high = value >= k / 2
+    a, b = int(high.sum()), n - int(high.sum())
+    runs = 1 + int((high[1:] != high[:-1]).sum())
+    mean = 1 + 2 * a * b / n
+    var = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+    run_p = math.erfc(abs(runs - mean) / math.sqrt(2 * var)) if var > 0 else 0.0
+    c = value - value.mean()
+    serial = float((c[1:] * c[:-1]).sum()) / max(float((c * c).sum()), 1e-12)
+    serial_p = math.erfc(abs(serial + 1 / n) * math.sqrt(n / 2))
+    return min(uniformity(chi2, n, k), run_p, serial_p) >= REJECT
+
+
+def uniformity(chi2: float, n: int, k: int) -> float:
+    """P(a statistic as high) of ``n`` uniform characters of ``k``. The
+    chi-squared law needs some five characters a letter; below that the tail
+    comes from simulated tables, seeded, one for each (n, k)."""
+    if n >= 5 * k:
+        return _chi2_upper(chi2, k - 1)
+    table = _simulated(n, k)
+    return (1 + len(table) - int(np.searchsorted(table, chi2 - 1e-9))) / (1 + len(table))
+
+
+@lru_cache(maxsize=4096)
+def _simulated(n: int, k: int) -> np.ndarray:
+    draws = np.random.default_rng([n, k]).multinomial(n, np.full(k, 1 / k), size=SIMULATED)
+    return np.sort((draws.astype(np.float64) ** 2).sum(axis=1) * k / n - n)
 
 
 def base_spans(text: str, raw: bytes, long_run: bool = True) -> list[tuple[int, int, int]]:
@@ -149,24 +191,50 @@ def long_runs(raws: list[bytes]) -> list[list[tuple[int, int]]]:
     return out
 
 
+def _rests(start: int, end: int, base: list) -> list[tuple[int, int]]:
+    """What the base spans leave of [start, end), in pieces of RUN or more."""
+    out, at = [], start
+    for s, t, _ in sorted(base):
+        if t <= at or s >= end:
+            continue
+        out.append((at, s))
+        at = t
+    out.append((at, end))
+    return [(a, b) for a, b in out if b - a >= RUN]
+
+
+def _parts(token: str) -> list[tuple[int, int]]:
+    """The pieces of RUN or more between separators, if there is one."""
+    out, at = [], 0
+    for m in [*_JOINTS.finditer(token), None]:
+        end = m.start() if m else len(token)
+        if RUN <= end - at < len(token):
+            out.append((at, end))
+        at = m.end() if m else end
+    return out
+
+
 def find_spans(texts: list[str], battery: Battery | None) -> list[tuple[list, list]]:
     """Per text: base spans, and either the discoveries as spans or, without a
-    battery, the tokens that it would have to test."""
+    battery, the tokens that it would have to test.
+
+    A run is cut where base spans begin and end, and each rest is judged; if it
+    is no secret as a whole, the pieces between its separators are."""
     raws = [t.encode() for t in texts]
     out = []
     for text, raw, runs in zip(texts, raws, long_runs(raws)):
         base = base_spans(text, raw, bool(runs))
         more = []
         for b, e in runs:
-            start = len(raw[:b].decode())
-            end = start + e - b
-            if any(s < end and start < t for s, t, _ in base):
-                continue  # known already
-            token = text[start:end]
-            if battery is None:
-                more.append(token)
-            elif battery.secret(token):
-                more.append((start, end, 3))
+            begin = len(raw[:b].decode())
+            for start, end in _rests(begin, begin + e - b, base):
+                token = text[start:end]
+                if battery is None:
+                    more += [token, *(token[x:y] for x, y in _parts(token))]
+                elif battery.secret(token):
+                    more.append((start, end, 3))
+                else:
+                    more += [(start + x, start + y, 3) for x, y in _parts(token) if battery.secret(token[x:y])]
         out.append((base, more))
     return out
 
@@ -174,8 +242,9 @@ def find_spans(texts: list[str], battery: Battery | None) -> list[tuple[list, li
 def fit(docs: DataFrame, text_col: str = "text", false_share: float = FALSE_SHARE) -> Battery:
     """Character shares and the discovery threshold over all texts.
 
-    One pass gives a character count per batch and the untested runs; both are
-    summed before anything reaches the driver (256 counts; at most 16,000 bins).
+    One pass gives a character count per batch and the measures of the runs, not
+    the runs themselves; both are summed before anything reaches the driver (256
+    counts; at most 16,000 bins).
     """
     def gather(batches):
         import pyarrow as pa
@@ -183,27 +252,29 @@ def fit(docs: DataFrame, text_col: str = "text", false_share: float = FALSE_SHAR
             for at in range(0, batch.num_rows, 512):
                 texts = [t or "" for t in batch.slice(at, 512).column(0).to_pylist()]
                 counts = np.bincount(np.frombuffer("".join(texts).encode(), np.uint8), minlength=256)
-                rows = [(None, counts.tolist())] + [(x, None) for _, more in find_spans(texts, None) for x in more]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()),
-                                                  pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["token", "counts"])
+                found = [measure(x) for _, more in find_spans(texts, None) for x in more]
+                rows = [(None, None, None, counts.tolist())] + [(*m, None) for m in found if m]
+                cols = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(cols[3], pa.list_(pa.int64()))],
+                                                 names=["encoding", "n", "squares", "counts"])
 
-    seen = written(docs.select(text_col).mapInArrow(gather, "token string, counts array<long>"), "secret-runs")
+    seen = written(docs.select(text_col).mapInArrow(gather, "encoding long, n long, squares long, counts array<long>"), "secret-runs")
     total = (seen.filter("counts IS NOT NULL").select(F.posexplode("counts").alias("byte", "n"))
              .groupBy("byte").agg(F.sum("n").alias("n")).collect())
     counts = np.zeros(256)
     for byte, n in total:
         counts[byte] = n
-    size = seen.filter("token IS NOT NULL").agg(F.count("token"), F.avg(F.length("token"))).first()
+    tested = seen.filter("n IS NOT NULL").select("encoding", "n", "squares")
+    size = tested.agg(F.count("n"), F.avg("n")).first()
     battery = Battery((counts / max(counts.sum(), 1)).tolist(), float(size[1] or RUN))
 
     def bins(batches):
         import pyarrow as pa
         for batch in batches:
-            logs = [battery.judge(t)[0] for t in batch.column(0).to_pylist()]
+            logs = [battery.against_text(*r) for r in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_arrays([pa.array([int(min(max(x, 0) / _BIN, _BINS - 1)) for x in logs], pa.int32())], names=["bin"])
 
-    hist = (seen.filter("token IS NOT NULL").select("token").mapInArrow(bins, "bin int")
-            .groupBy("bin").count().orderBy(F.desc("bin")).collect())
+    hist = tested.mapInArrow(bins, "bin int").groupBy("bin").count().orderBy(F.desc("bin")).collect()
     at_most = 0
     for bin_, n in hist:  # the largest p-value that Benjamini-Hochberg accepts
         at_most += n
