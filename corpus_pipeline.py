@@ -20,19 +20,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one of smallest id; rows that
-    repeat an id count as one document. Rows without an id can't be compared and stay."""
-    found = written(simhash.near_duplicates(docs).select(F.col("doc_id").alias("__id"), "component_id"), "near-duplicates")
-    gone = found.filter(F.col("__id") != F.col("component_id")).select("__id").distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
-    again = found.filter(F.col("__id") == F.col("component_id")).groupBy("__id").count().filter("count > 1").select("__id")
-    again = written(again, "repeated-ids")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, kept["doc_id"] == again["__id"], "left_semi")
-    rest = kept.join(again, kept["doc_id"] == again["__id"], "left_anti")
-    first = once.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("__row"))
-    return rest.unionByName(first.select("doc_id", "__row.*").select(*docs.columns))
+    """One row of each SimHash component: the one of smallest id, any one of
+    those that share it; a row without an id only where no row has one.
+
+    Rows are told apart by a number of their own, so repeated and missing ids
+    are rows like any other."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = simhash.near_duplicates(rows, id_col="__row").select("__row", "component_id")
+    named = found.join(rows.select("__row", "doc_id"), "__row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+    kept = written(named.groupBy("component_id").agg(first.alias("first")).select("first.__row"), "kept-rows")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
