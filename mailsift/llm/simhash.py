@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import run_bounds, written
+from .common import join_skewed, run_bounds, written
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -230,17 +230,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: ``id_col``, fp long, component_id (the smallest id
     reachable over links, itself included).
 
-    Ids are longs; rows that repeat an id each get a row. Documents without a
-    word share the fingerprint zero and link like any other. Other columns are
-    not kept. An empty table gives an empty table; null ids are dropped.
+    Fingerprints are the nodes; ids only name their components. Ids are longs;
+    rows that repeat an id each get a row. A null id names nothing: such a row
+    links like any other and gets its component's smallest id, null if no row
+    of it has one. Documents without a word share the fingerprint zero. Other
+    columns are not kept. An empty table gives an empty table.
     """
-    docs = docs.filter(F.col(id_col).isNotNull())
     prints = written(fingerprints(docs, id_col, text_col, shingle, seed), "simhash")
-    nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("node")), "simhash-nodes")
-    parts = connected_components(fingerprint_links(nodes, radius, hot))
-    named = (nodes.join(parts, "node", "left")
-             .select("fp", F.coalesce("component", "node").alias("component_id")))
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+    nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("copies")), "simhash-nodes")
+    parts = connected_components(fingerprint_links(nodes.select("fp", F.col("fp").alias("node")), radius, hot))
+    parts = written(parts.join(nodes.select(F.col("fp").alias("node"), "least"), "node"), "simhash-parts")
+    names = written(parts.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-names")
+    linked = join_skewed(parts.select("node", "component"), names, ["component"], "n")
+    linked = linked.select(F.col("node").alias("fp"), "component_id", F.lit(True).alias("linked"))
+    named = written(nodes.join(linked, "fp", "left").select(
+        "fp", "copies", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")), "simhash-named")
+    return join_skewed(prints, named, ["fp"], "copies").select(id_col, "fp", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp"):

@@ -89,4 +89,16 @@ def test_path_star_and_odd_graphs(spark):
 
 def test_empty_tables(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
-    assert near_duplicates(spark.createDataFrame([(None, "x")], "doc_id long, text string")).count() == 0
+    assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_without_an_id_stay_and_link(spark):
+    words = [f"w{i}" for i in range(400)]
+    near = [" ".join(words[:k] + ["x"] + words[k + 1:]) for k in (0, 399)]
+    rows = [(None, "only without id"), (None, "only without id"), (None, " ".join(words)), (9, near[0]), (4, near[1]), (4, near[1]), (30, "far away")]
+    got = sorted((str(r.doc_id), r.fp, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    prints = [brute_fingerprint(t) for _, t in rows]
+    ids = [10**6 + k if i is None else i for k, (i, _) in enumerate(rows)]
+    least = [c if c < 10**6 else None for c in brute_components(prints, ids)]
+    signed = [f - (1 << 64) if f >> 63 else f for f in prints]
+    assert got == sorted((str(i), f, c) for (i, _), f, c in zip(rows, signed, least))
