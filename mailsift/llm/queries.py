@@ -105,7 +105,7 @@ def op5(spark, sf_dir):
     from .common import crc_bucket, written
     texts = written(transcripts(load(spark, sf_dir, "conversations")), "transcripts")
     model = fit(texts.filter(crc_bucket("conv_id", 5) != 0))
-    return format_chats(texts, model, ["conv_id", "segment"]).select(
+    return format_chats(texts, model, ["conv_id"], segment="segment").select(
         "conv_id", "segment", F.size("turns").alias("n_turns"), F.array_join(F.transform("turns", lambda t: t["role"]), ",").alias("roles"),
         "chat")
 
