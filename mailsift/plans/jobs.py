@@ -30,7 +30,7 @@ from ..operators.explain import top_features
 from ..operators.tfidf import TfidfModel
 from ..session import materialise as stored
 from ..session import scratch_path
-from ..sources.io import read_corpus, save_model, with_row_ids, write_table
+from ..sources.io import read_corpus, save_model, write_table
 from .pipeline import TextRun, materialise
 
 MODEL_ORDER = ("Logistic Regression", "Naive Bayes", "SVM")
@@ -224,9 +224,7 @@ def corpus_from_files(spark: SparkSession, paths: list[str], specs=FILE_SOURCES)
     parts = []
     for path, spec in zip(paths, specs, strict=True):
         wanted = [*spec.text_cols, *([spec.label_col] if spec.label_col else [])]
-        stored = scratch_path(spark, "source")
-        with_row_ids(read_corpus(spark, path, wanted)).write.parquet(stored)
-        parts.append(C.canonicalise(spark.read.parquet(stored), spec))
+        parts.append(C.canonicalise(stored(read_corpus(spark, path, wanted, row_id="row_id"), "source"), spec))
     return C.dedupe_first(C.finalise(C.combine(parts)))
 
 

@@ -542,6 +542,8 @@ def q_multi_source_training(spark, sf_dir):
 # ------------------------------------------------------------ studies and jobs
 
 from ..operators import surrogate as SG  # noqa: E402
+from ..operators.rank import distributed_rank  # noqa: E402
+from ..session import materialise as stored  # noqa: E402
 from ..session import scratch_path  # noqa: E402
 from ..sources import io as IO  # noqa: E402
 from . import jobs as JB  # noqa: E402
@@ -866,3 +868,41 @@ def q_local_surrogate(spark, sf_dir):
                              keep=("sender",), surrogate_samples=SG.SAMPLES)
     return c.select("uid", F.array_join(F.transform("surrogate_features", lambda x: x["feature"]), ", ").alias("features"),
                     "surrogate_summary")
+
+
+@register("seeded_positions", Q.with_ctes() + """
+SELECT uid, sender, row_number() OVER (ORDER BY md5(CAST(uid AS VARCHAR) || ':42'), uid) AS position FROM mail""")
+def q_seeded_positions(spark, sf_dir):
+    """The place of every row in the seeded order."""
+    key = F.md5(F.concat(F.col("uid").cast("string"), F.lit(f":{K.SPLIT_SEED}")))
+    return distributed_rank(S.mail_view(spark, sf_dir).select("uid", "sender"), [key, F.col("uid")], name="position")
+
+
+@register("inbox_positions", Q.with_ctes() + "SELECT uid, subject, row_number() OVER (ORDER BY uid DESC) AS position FROM mail")
+def q_inbox_positions(spark, sf_dir):
+    """The place of every message, the newest first."""
+    return distributed_rank(S.mail_view(spark, sf_dir).select("uid", "subject"), [F.desc("uid")], name="position")
+
+
+_POLLS = """mails AS (SELECT 'inbox' AS mailbox, uid, sender FROM mail
+         UNION ALL SELECT 'archive', conv_id * 8 + turn + 1, role FROM conversations),
+thirds AS (SELECT mailbox, max(uid) AS top FROM mails GROUP BY mailbox)"""
+
+
+@register("polled_messages", Q.with_ctes(_POLLS) + """
+SELECT m.mailbox, m.uid, m.sender, CASE WHEN m.uid * 3 <= t.top THEN 1 WHEN m.uid * 3 <= 2 * t.top THEN 2 ELSE 3 END AS poll
+FROM mails m JOIN thirds t ON t.mailbox = m.mailbox""")
+def q_polled_messages(spark, sf_dir):
+    """Three polls of two mailboxes that fill up by thirds; each poll sees all
+    messages there so far, and gives those above its mailbox's position."""
+    from ..sources.polling import Positions
+    messages = _two_mailboxes(spark, sf_dir).select("mailbox", "uid", "sender")
+    top = messages.groupBy("mailbox").agg(F.max("uid").alias("top"))  # a row a mailbox
+    there = messages.join(F.broadcast(top), "mailbox")
+    positions, out = Positions(spark, scratch_path(spark, "positions")), None
+    for poll in (1, 2, 3):
+        number, fresh = positions.poll(there.filter(F.col("uid") * 3 <= F.col("top") * poll).drop("top"))
+        fresh = stored(fresh.withColumn("poll", F.lit(poll)), "polled")
+        positions.advance(number, fresh)
+        out = fresh if out is None else out.unionByName(fresh)
+    return out

@@ -54,6 +54,28 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session: Python functions that
+    run there are found by name, and a cluster's machines don't have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_mailsift_shipped", False):
+        return
+    import io
+    import zipfile
+    here = os.path.dirname(os.path.abspath(__file__))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(here):
+            for name in sorted(f for f in files if f.endswith(".py")):
+                full = os.path.join(folder, name)
+                z.write(full, os.path.join(os.path.basename(here), os.path.relpath(full, here)))
+    path = os.path.join(tempfile.mkdtemp(prefix="mailsift-"), "mailsift.zip")  # the driver's; Spark serves it to the executors
+    with open(path, "wb") as out:
+        out.write(data.getvalue())
+    sc.addPyFile(path)
+    sc._mailsift_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the checkpoint root."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")

@@ -3,9 +3,8 @@
 T1  score_stream: messages landing in a directory (Parquet, fixed schema) are
     classified once and appended, a folder for each micro-batch, so a replayed
     batch overwrites its own.
-T2  one row per (mailbox, uid) under re-delivery, however late: each batch is
-    de-duplicated in itself and against the keys scored before. Nothing is
-    dropped for being late.
+T2  one row per (mailbox, uid) under re-delivery, however late, by keyed state.
+    Nothing is dropped for being late.
 T3  stream_summary: running counts per prediction over the scored output, as a
     table that is replaced after every batch.
 """
@@ -18,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.classify import classify_messages
-from ..sources.io import path_exists
 
 STREAM_SCHEMA = ("mailbox string, uid bigint, sender string, subject string, body string, "
                  "arrival timestamp")
@@ -32,29 +30,38 @@ def message_stream(spark: SparkSession, in_dir: str, max_files: int | None = Non
     return reader.parquet(in_dir)
 
 
-def unseen(batch: DataFrame, batch_id: int, out_dir: str) -> DataFrame:
-    """The batch's messages that no earlier batch has scored, each once. An
-    equi-join on the key; of the scored table only the key columns are read."""
-    spark = batch.sparkSession
-    once = batch.dropDuplicates(KEY)
-    if not path_exists(spark, out_dir):
-        return once
-    scored = spark.read.schema("mailbox string, uid bigint, batch bigint").parquet(out_dir).filter(F.col("batch") < batch_id)
-    same = once["mailbox"].eqNullSafe(scored["mailbox"]) & (once["uid"] == scored["uid"])
-    return once.join(scored, same, "left_anti")
+#: Keys are kept by RocksDB, a version a batch in the checkpoint folder; a batch writes what it changed.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
-def score_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, tfidf, model,
-                 domains: DataFrame, available_now: bool = True, max_files: int | None = None):
-    stream = message_stream(spark, in_dir, max_files)
+def once(stream: DataFrame) -> DataFrame:
+    """Each (mailbox, uid) of the stream once, however late or often it comes. The
+    keys seen are keyed state without a watermark: a batch looks up its own keys
+    only, and what earlier batches wrote is not read again."""
+    return stream.dropDuplicates(KEY)
 
-    def per_batch(batch: DataFrame, batch_id: int):
-        scored = classify_messages(tfidf, model, unseen(batch, batch_id, out_dir), domains).drop("margin")
-        scored.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}"))
 
-    w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+def score_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, tfidf, model,
+                 domains: DataFrame, available_now: bool = True, max_files: int | None = None):
+    """Classified messages, a folder ``batch=<n>`` for each micro-batch: a batch that
+    is run again has the same state, hence the same messages, and replaces its own."""
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        stream = once(message_stream(spark, in_dir, max_files))
+
+        def per_batch(batch: DataFrame, batch_id: int):
+            scored = classify_messages(tfidf, model, batch, domains).drop("margin")
+            scored.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}"))
+
+        w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+        return w.start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stream_summary(spark: SparkSession, scored_dir: str, summary_dir: str, checkpoint: str, available_now: bool = True):
