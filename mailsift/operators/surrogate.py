@@ -7,8 +7,9 @@ Per message (cleaned serving text of at least 20 characters):
    generator seeded by the text, so a message gets the same copies anywhere.
 2. The copy's text keeps every separator and drops the removed words; it is
    scored by the fitted model (terms, weights and engineered features of that
-   text). A message's copies are made and scored in its own row, a copy at a
-   time; only the explanation leaves it.
+   text). No copy's text is made: from the copies x words mask, matrix products
+   give the counts of single terms and the features, and the pairs of words that
+   come to stand side by side in a copy give those of its n-grams.
 3. Cosine distance to the original x 100, kernel sqrt(exp(-d^2 / 25^2)), weighted
    forward selection of 6 words (weighted R^2, all candidates at once) and a
    weighted ridge (alpha 1, intercept) on them; weights explain the predicted
@@ -39,6 +40,8 @@ KERNEL_WIDTH = 25.0
 FEATURES = "array<struct<feature:string,weight:double>>"
 _WORD = re.compile(r"\w+")
 _TOKEN = re.compile(r"\w{2,}")
+#: Cells of a copies x words mask that are looked at together.
+_HELD = 4_000_000
 _LINK = re.compile(r"http[s]?://|www\.", re.I)
 
 
@@ -53,6 +56,7 @@ class TextScorer:
     n_max: int
     sublinear: bool
     has_margin: bool = True
+    _pairs: dict | None = None
 
     @classmethod
     def of(cls, tfidf: TfidfModel, model: LinearModel) -> TextScorer:
@@ -81,32 +85,128 @@ class TextScorer:
             out += sum(c * v for c, v in zip(self.engineered, values))
         return out
 
+    def probabilities(self, margins: np.ndarray) -> np.ndarray:
+        """Logistic of the margins; 0 or 1 for a model without one."""
+        return 1 / (1 + np.exp(-np.clip(margins, -700.0, 700.0))) if self.has_margin else (margins > 0).astype(float)
+
     def probability(self, text: str) -> float:
-        """Logistic of the margin; 0 or 1 for a model without one."""
-        m = self.margin(text)
-        return 1 / (1 + math.exp(-max(min(m, 700.0), -700.0))) if self.has_margin else float(m > 0)
+        return float(self.probabilities(np.array([self.margin(text)]))[0])
+
+    def pairs(self) -> dict:
+        """first word -> {second word: (idf * coefficient, idf)} of the terms of two words."""
+        if self._pairs is None:
+            self._pairs = {}
+            for term, known in self.terms.items():
+                if term.count(" ") == 1:
+                    first, second = term.split(" ")
+                    self._pairs.setdefault(first, {})[second] = known
+        return self._pairs
+
+
+class Copies:
+    """A message whose words can be blanked: ``words`` are its word types, in order."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.parts = re.split(r"(\w+)", text)  # separators at even places, words at odd ones
+        self.words = sorted(set(self.parts[1::2]))
+        place = {w: i for i, w in enumerate(self.words)}
+        self.types = np.array([place[w] for w in self.parts[1::2]], np.int64)
+
+    def text_of(self, kept: np.ndarray) -> str:
+        copy = list(self.parts)
+        copy[1::2] = [w if kept[k] else "" for w, k in zip(self.parts[1::2], self.types)]
+        return "".join(copy)
+
+    def _plain(self, scorer: TextScorer) -> bool:
+        """Whether blanking words can't change how the other words read: no letter
+        whose lower case depends on its neighbours, no link put together from the
+        rests, and terms and key phrases of two words at most."""
+        ends = [p.lower() for p in self.parts]
+        phrases = (*K.URGENT_WORDS, *K.ACCOUNT_WORDS, *K.PAYMENT_WORDS)
+        return (scorer.n_max <= 2 and "\u03a3" not in self.text and "".join(ends) == self.text.lower() and max(p.count(" ") for p in phrases) < 2
+                and not any(w.endswith(("http", "https")) and after in (":", ":/") for w, after in zip(ends[1::2], ends[2::2])))
+
+    def margins(self, z: np.ndarray, scorer: TextScorer) -> np.ndarray:
+        """The margin of every copy; ``z``: copies x words, 1 where the word is kept."""
+        if not self._plain(scorer):
+            return np.array([scorer.margin(self.text_of(row)) for row in z])
+        low, often = [w.lower() for w in self.words], np.bincount(self.types, minlength=len(self.words))
+        found = [[t for t in _TOKEN.findall(w) if t not in scorer.stops] for w in low]
+        tokens = {t: i for i, t in enumerate(sorted({t for f in found for t in f}))}
+        dot, norm = np.zeros(len(z)), np.zeros(len(z))
+
+        def add(counts: np.ndarray, known: list) -> None:
+            w = np.array(known).reshape(-1, 2)
+            tf = np.where(counts > 0, 1.0 + np.log(np.maximum(counts, 1)) if scorer.sublinear else counts, 0.0)
+            dot[:] += tf @ w[:, 0]
+            norm[:] += (tf * tf) @ (w[:, 1] ** 2)
+
+        single = [t for t in tokens if t in scorer.terms]
+        if single:
+            column, has = {t: i for i, t in enumerate(single)}, np.zeros((len(low), len(single)))
+            for k, f in enumerate(found):
+                for t in f:
+                    if t in column:
+                        has[k, column[t]] += often[k]
+            add(z @ has, [scorer.terms[t] for t in single])
+        known = sorted((tokens[a] * len(tokens) + tokens[b], w) for a in tokens for b, w in scorer.pairs().get(a, {}).items() if b in tokens)
+        if known and scorer.n_max == 2:
+            add(self._side_by_side(z, found, tokens, np.array([c for c, _ in known])), [w for _, w in known])
+        out = scorer.intercept + np.where(norm > 0, dot / np.sqrt(np.where(norm > 0, norm, 1)), 0.0)
+        return out + self._features(z, low, often) @ np.array(scorer.engineered) if scorer.engineered else out
+
+    def _side_by_side(self, z: np.ndarray, found: list, tokens: dict, codes: np.ndarray) -> np.ndarray:
+        """copies x codes: how often the two tokens of a code follow each other among the kept ones."""
+        of_item = np.array([k for k in self.types for _ in found[k]], np.int64)
+        token = np.array([tokens[t] for k in self.types for t in found[k]], np.int64)
+        out, step = np.zeros((len(z), len(codes))), max(1, _HELD // max(len(token), 1))
+        for at in range(0, len(z), step):
+            row, item = np.nonzero(z[at:at + step][:, of_item])
+            here = row[1:] == row[:-1]
+            code = (token[item[:-1]] * len(tokens) + token[item[1:]])[here]
+            place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            hit = codes[place] == code
+            n = np.bincount(row[1:][here][hit] * len(codes) + place[hit], minlength=len(z[at:at + step]) * len(codes))
+            out[at:at + step] = n.reshape(-1, len(codes))
+        return out
+
+    def _features(self, z: np.ndarray, low: list[str], often: np.ndarray) -> np.ndarray:
+        """copies x the six engineered features."""
+        parts = [p.lower() for p in self.parts]
+        links = np.zeros(len(low))
+        for k, word, after in zip(self.types, parts[1::2], parts[2::2]):
+            links[k] += (word.endswith(("http", "https")) and after.startswith("://")) + (word.endswith("www") and after.startswith("."))
+        columns = [z @ links]
+        for phrases in (K.URGENT_WORDS, K.ACCOUNT_WORDS, K.PAYMENT_WORDS):
+            there = np.zeros(len(z), bool)
+            for phrase in phrases:
+                if " " not in phrase:
+                    there |= (z @ np.array([phrase in w for w in low], float)) > 0
+                    continue
+                first, second = phrase.split(" ")
+                sides = {(a, b) for a, b, x, gap, y in zip(self.types, self.types[1:], parts[1::2], parts[2::2], parts[3::2])
+                         if gap == " " and x.endswith(first) and y.startswith(second)}
+                for a, b in sides:
+                    there |= (z[:, a] > 0) & (z[:, b] > 0)
+            columns.append(there)
+        letters = z @ (often * np.array([sum(c.isalpha() for c in w) for w in self.words]))
+        upper = z @ (often * np.array([sum(c.isalpha() and c.isupper() for c in w) for w in self.words]))
+        return np.column_stack([*columns, np.full(len(z), self.text.count("!")), np.where(letters > 0, upper / np.maximum(letters, 1), 0.0)])
 
 
 def explain(text: str, phishing: bool, scorer: TextScorer, n_samples: int, n_features: int, seed: int) -> list[tuple[str, float]]:
     """(word, weight) of the selected words, the largest weight first."""
-    parts = re.split(r"(\w+)", text)  # separators at even places, words at odd ones
-    words = sorted(set(parts[1::2]))
-    d = len(words)
+    copies = Copies(text)
+    d = len(copies.words)
     if not d:
         return []
-    place = {w: i for i, w in enumerate(words)}
-    of_part = [place[w] for w in parts[1::2]]
     rng = np.random.default_rng([seed, crc32(text.encode())])
     z = np.ones((n_samples, d))
-    p = np.empty(n_samples)
-    for i in range(n_samples):
-        if i:
-            z[i, rng.permutation(d)[:rng.integers(1, d + 1)]] = 0
-        row = z[i]
-        copy = list(parts)
-        copy[1::2] = [w if row[k] else "" for w, k in zip(parts[1::2], of_part)]
-        p[i] = scorer.probability("".join(copy))
-    return _weights(z, p if phishing else 1 - p, words, n_features)
+    for i in range(1, n_samples):
+        z[i, rng.permutation(d)[:rng.integers(1, d + 1)]] = 0
+    p = scorer.probabilities(copies.margins(z, scorer))
+    return _weights(z, p if phishing else 1 - p, copies.words, n_features)
 
 
 def _weights(z: np.ndarray, y: np.ndarray, words: list[str], n_features: int, alpha: float = 1.0) -> list[tuple[str, float]]:
@@ -135,6 +235,30 @@ def _weights(z: np.ndarray, y: np.ndarray, words: list[str], n_features: int, al
     return [(words[used[i]], float(coef[i])) for i in np.argsort(-np.abs(coef), kind="stable")]
 
 
+def masked_margins(tfidf: TfidfModel, model: LinearModel, msgs: DataFrame, key: str, parts: int, text: str = "cleaned_text") -> DataFrame:
+    """(``key``, copy int, margin): for each message the margins of ``parts`` copies
+    without the word types whose place in their sorted list is copy modulo ``parts``."""
+    shared = msgs.sparkSession.sparkContext.broadcast(TextScorer.of(tfidf, model))  # bounded by max_features
+    kind = msgs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            out = []
+            for t in batch.column(1).to_pylist():
+                copies = Copies(t or "")
+                z = np.ones((parts, len(copies.words)))
+                for i in range(parts):
+                    z[i, i::parts] = 0
+                out.append(copies.margins(z, shared.value))
+            flat = np.concatenate(out) if out else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), parts))),
+                                              pa.array(np.tile(np.arange(parts, dtype=np.int32), batch.num_rows)), pa.array(flat)],
+                                             names=[key, "copy", "margin"])
+
+    return msgs.select(key, text).mapInArrow(run, f"`{key}` {kind}, copy int, margin double")
+
+
 def local_surrogate(tfidf: TfidfModel, model: LinearModel, msgs: DataFrame, n_samples: int = SAMPLES,
                     n_features: int = K.ATTRIBUTION_TOP, seed: int = 42) -> DataFrame:
     """``msgs`` (with cleaned_text and prediction) plus surrogate_features and

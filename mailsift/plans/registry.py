@@ -906,3 +906,25 @@ def q_polled_messages(spark, sf_dir):
         positions.advance(number, fresh)
         out = fresh if out is None else out.unionByName(fresh)
     return out
+
+
+_COPIES = 3
+
+
+@register("masked_copies", _MODEL.rstrip() + f""",
+words AS (SELECT uid, regexp_extract_all(ctext, '{Q.WORD}+|[^\\p{{L}}\\p{{N}}_]+') AS parts FROM (
+          SELECT uid, {Q.clean_text(Q.serving_text('subject', 'sender', 'body'))} AS ctext FROM mail)),
+types AS (SELECT uid, parts, list_sort(list_distinct(list_filter(parts, lambda p: regexp_full_match(p, '{Q.WORD}+')))) AS t FROM words),
+copies AS (SELECT uid * {_COPIES} + copy AS row_id, uid, copy, array_to_string(list_transform(parts, lambda p:
+             CASE WHEN coalesce(list_position(t, p), 0) > 0 AND (list_position(t, p) - 1) % {_COPIES} = copy THEN '' ELSE p END), '') AS ctext
+           FROM types, range({_COPIES}) r(copy)),
+""" + ",\n".join(x.strip() for x in (Q.tf_cte("tf_copy", "copies", "ctext"), Q.tfidf_cte("ct", "tf_copy"), Q.engineered_pairs_cte("ce", "copies", "ctext"),
+                                      "cf AS (SELECT * FROM ct UNION ALL SELECT * FROM ce)", Q.margins_cte("cm2", "copies", "cf", None))) + """
+SELECT c.uid, CAST(c.copy AS INTEGER) AS copy, round(m.margin, 6) AS margin FROM copies c JOIN cm2 m ON m.row_id = c.row_id""")
+def q_masked_copies(spark, sf_dir):
+    """Margins of three copies of every message, each without a third of its word
+    types, by the surrogate's matrix products."""
+    run = fixture_run(spark, sf_dir)
+    text = T.clean_text(M.serving_text("subject", "sender", "body")).alias("cleaned_text")
+    found = SG.masked_margins(run.tfidf, run.nb, S.mail_view(spark, sf_dir).select("uid", text), "uid", _COPIES)
+    return found.select("uid", "copy", r6("margin").alias("margin"))

@@ -39,3 +39,37 @@ def test_explanations_do_not_depend_on_the_partitioning(spark):
     assert run(df.coalesce(1)) == run(df.repartition(5))
     by = {r.uid: r for r in SG.local_surrogate(TFIDF, MODEL, df, 60).collect()}
     assert by[2].surrogate_features == [] and by[5].surrogate_features[0].feature in ("alpha", "beta")
+
+
+ODD = TEXTS + ["Verify NOW, verify  now sign in sign\tin", "http://a http:b//c https://www.d www.e. WWW.f", "http:x//y alpha", "ΑΣ ΟΔΟΣ alpha", "İstanbul alpha beta",
+               "alpha gamma beta, alpha: beta alpha alpha beta the beta", "a b c d", "!!! ... ", "x_1 alpha_beta alpha the beta", "beta alpha " * 300]
+
+
+def test_margins_of_all_copies_are_those_of_their_texts():
+    rng = np.random.default_rng(3)
+    for tfidf in (TFIDF, TfidfModel(TFIDF.vocab, 5, sublinear=False), TfidfModel(TFIDF.vocab[::2], 5, n_max=1)):
+        model = MODEL if len(tfidf.vocab) == 3 else LinearModel("x", MODEL.coef[1:], 0.1, True, [])
+        scorer = SG.TextScorer.of(tfidf, model)
+        for text in ODD:
+            copies = SG.Copies(text)
+            z = (rng.random((60, len(copies.words))) < 0.6).astype(float)
+            z[0] = 1
+            want = [scorer.margin(copies.text_of(row)) for row in z]
+            assert np.allclose(copies.margins(z, scorer), want, rtol=0, atol=1e-9), text
+
+
+def test_matrix_products_are_faster_than_texts():
+    import time
+    rng = np.random.default_rng(4)
+    terms = sorted({f"w{i}" for i in range(400)} | {f"w{i} w{j}" for i in range(0, 400, 7) for j in range(0, 400, 9)})
+    tfidf = TfidfModel([(t, i, 2, 2, 1.5) for i, t in enumerate(terms)], 50)
+    scorer = SG.TextScorer.of(tfidf, LinearModel("x", rng.standard_normal(len(terms) + 6).tolist(), 0.0, True, []))
+    copies = SG.Copies(" ".join(f"w{i}" for i in rng.integers(0, 400, 1200)))
+    z = (rng.random((500, len(copies.words))) < 0.5).astype(float)
+    scorer.pairs()
+    begin = time.perf_counter()
+    fast = copies.margins(z, scorer)
+    middle = time.perf_counter()
+    slow = [scorer.margin(copies.text_of(row)) for row in z]
+    end = time.perf_counter()
+    assert np.allclose(fast, slow, atol=1e-9) and end - middle > 5 * (middle - begin)
