@@ -135,8 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         length_col: str | None = "n_chars", docs_per_label: int = DOCS_PER_LABEL, seed: int = SEED) -> Machine:
     """Learns from the rows of ``labels`` given (label 0 or 1; nulls teach
     nothing), at most ``docs_per_label`` of each label, the first by a seeded
-    hash of the id. Their inputs, not their texts, come to the driver: at most
-    BUCKETS pairs of numbers a document."""
+    hash of the id, one row of each id (the least text). Their inputs, not their
+    texts, come to the driver: at most BUCKETS pairs of numbers a document."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(id_col, label_col).distinct()
     picked = least_per_group(known, [label_col], [F.xxhash64(id_col, F.lit(seed)), id_col], docs_per_label).collect()
     label_of: dict = {}
@@ -163,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return train([])
     length = F.col(length_col).cast("long") if length_col else F.lit(None).cast("long")
     kind = docs.schema[id_col].dataType.simpleString()
-    got = (docs.filter(F.col(id_col).isin(list(label_of))).select(id_col, text_col, length.alias("__length"))
+    rows = docs.filter(F.col(id_col).isin(list(label_of))).select(F.col(id_col).alias("__id"), F.struct(F.col(text_col).alias("t"), length.alias("n")).alias("r"))
+    got = (rows.groupBy("__id").agg(F.min("r").alias("r")).select("__id", "r.t", "r.n")
            .mapInArrow(gather, f"id {kind}, at array<int>, x array<float>, stats array<double>, length int").collect())
     rows = [(np.array(r["at"], np.int64), np.array(r["x"], np.float64), np.array(r["stats"]), r["length"], label_of[r["id"]])
             for r in sorted(got, key=lambda r: (r["id"], len(r["at"])))]

@@ -215,11 +215,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Trains on ``docs`` (the caller has left out what must not be learned from).
 
     Rows without a text, a language or an id teach nothing. The sample is the
-    first ``docs_per_lang`` ids of each language by a seeded hash, and
-    ``windows_per_doc`` evenly spread windows of each, at most 400 x 6 x 64 bytes a language.
+    first ``docs_per_lang`` ids of each language by a seeded hash, one row of each
+    id and language (the least text), and ``windows_per_doc`` evenly spread windows
+    of each, at most 400 x 6 x 64 bytes a language. More than 1,000 languages are an error.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = [r[0] for r in least_per_group(known.select(id_col, lang_col), [lang_col], [F.xxhash64(id_col, F.lit(seed)), id_col],
+    ids = [r[0] for r in least_per_group(known.select(id_col, lang_col).distinct(), [lang_col], [F.xxhash64(id_col, F.lit(seed)), id_col],
                                          docs_per_lang).select(id_col).distinct().collect()]
     if not ids:
         return LanguageModel([], {})
@@ -237,7 +238,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     found.append(raw[at:at + WINDOW])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "window"])
 
-    rows = known.filter(F.col(id_col).isin(ids)).select(text_col, lang_col).mapInArrow(cut, "lang string, window binary").collect()
+    one = known.filter(F.col(id_col).isin(ids)).groupBy(id_col, lang_col).agg(F.min(text_col).alias("__text"))
+    rows = one.select("__text", lang_col).mapInArrow(cut, "lang string, window binary").collect()
     rows = sorted((r["lang"], bytes(r["window"])) for r in rows)
     return train([w for _, w in rows], [v for v, _ in rows], seed=seed)
 

@@ -67,7 +67,7 @@ def op9(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     held = crc_bucket("doc_id", 5) == 0
     model = fit(docs.filter(~held))
-    return identify(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return identify(docs, model, keep=["doc_id"]).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 @query("op3_line_first_rules", quality_rules.SQL)
@@ -85,7 +85,7 @@ def op6(spark, sf_dir):
     held = crc_bucket("doc_id", 4) == 2
     labels = load(spark, sf_dir, "labels").filter(~held)
     return score(docs, fit(docs, labels)).select(
-        "doc_id", held.alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
+        "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
 
 
 @query("op8_block_matrix_neighbours", blockjoin.SQL)

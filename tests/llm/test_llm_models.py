@@ -79,3 +79,31 @@ def test_windows_do_not_depend_on_the_batch():
     whole = model.document_probabilities(raws)
     for r, row in zip(raws, whole):
         assert np.allclose(model.document_probabilities([r])[0], row, atol=1e-5)
+
+
+def test_first_rows_of_a_group_without_sorting_it(spark):
+    from pyspark.sql import functions as F
+
+    from mailsift.llm.common import least_per_group
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "rare").otherwise("hot").alias("g")).filter("g = 'hot' OR id < 90")
+    key = F.xxhash64("doc_id", F.lit(42))
+    for k in (7, 40, 2500):
+        got = {(r.g, r.doc_id) for r in least_per_group(df, ["g"], [key, F.col("doc_id")], k).collect()}
+        rows = df.select("g", "doc_id", key.alias("h")).collect()
+        want = {(g, r.doc_id) for g in ("hot", "rare") for r in sorted((r for r in rows if r.g == g), key=lambda r: r.h)[:k]}
+        assert got == want
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """An id that repeats thousands of times takes one place in a sample."""
+    from pyspark.sql import functions as F
+
+    from mailsift.llm import factorisation, langid
+    many = spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("das ist ein Text mit Wörtern").alias("text"),
+                                    F.lit("de").alias("lang"), F.lit(20).cast("long").alias("n_chars"))
+    few = spark.createDataFrame([(i, f"this is a text of words {i}", "en", 20) for i in range(20)], "doc_id long, text string, lang string, n_chars long")
+    docs = many.unionByName(few)
+    model = langid.fit(docs, docs_per_lang=10)
+    assert sorted(model.langs) == ["de", "en"]
+    labels = spark.createDataFrame([(5, 1), (5, 1), (5, 0), *[(i, i % 2) for i in range(20)]], "doc_id long, quality int")
+    assert factorisation.score(docs, factorisation.fit(docs, labels)).count() == 3020
