@@ -3,7 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from mailsift.llm.blockjoin import Rounded, exact_cosine, nearest, tile_bounds
+from mailsift.llm.blockjoin import SQL, Rounded, TileSearch, exact_cosine, nearest, tile_bounds
 
 
 def brute(rows, k=5):
@@ -30,9 +30,9 @@ def test_equals_brute_force_with_odd_vectors(spark):
     vectors = spark.createDataFrame([(*r, 3) for r in rows], "vec_id long, embedding array<float>, rank int")
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     want = brute(rows)
-    for block in (4096, 64):
+    for query_bytes in (64 << 20, 900):  # one round, and several
         got = {}
-        for r in nearest(vectors, F.col("vec_id") % 50 == 0, block=block).orderBy("query_id", "rank").collect():
+        for r in nearest(vectors, F.col("vec_id") % 50 == 0, query_bytes=query_bytes).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.vec_id)
         assert got == want
 
@@ -52,9 +52,9 @@ def test_a_repeated_id_takes_one_place(spark):
         best = {i: max(float(exact_cosine(a[None], b[None])[0]) for a in by_id[q] for b in vs) for i, vs in by_id.items() if i != q}
         want[q] = sorted(best, key=lambda i: (-best[i], i))[:5]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    for block in (4096, 64):
+    for query_bytes in (64 << 20, 900):  # one round, and several
         got = {}
-        for r in nearest(vectors, F.col("vec_id") % 50 == 0, block=block).orderBy("query_id", "rank").collect():
+        for r in nearest(vectors, F.col("vec_id") % 50 == 0, query_bytes=query_bytes).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.vec_id)
         assert got == want
 
@@ -67,5 +67,40 @@ def test_bounds_hold():
     assert (np.abs(exact - cosine) <= error).all() and error.max() < 0.1
 
 
+def test_chunks_out_of_reach_are_ruled_out_exactly(monkeypatch):
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(6, 32))
+    rows = np.vstack([c + 0.05 * rnd.normal(size=(1500, 32)) for c in centres])
+    queries, ids = rows[::100] + 0.01, np.arange(len(rows))
+    tiles = []
+    plain = TileSearch._tile
+    monkeypatch.setattr(TileSearch, "_tile", lambda self, which, *a: (tiles.append(len(which)), plain(self, which, *a)))
+    sample = TileSearch(-1 - np.arange(90), queries, 5)
+    sample.add(ids[::7], rows[::7])
+    looked, tiles[:] = 0, []
+    search = TileSearch(-1 - np.arange(90), queries, 5, sample.worst())
+    search.add(ids, rows, np.repeat(np.arange(6), 1500))
+    looked = sum(tiles)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = {-1 - i: set(np.argsort(-(unit @ q))[:5].tolist()) for i, q in enumerate(queries)}
+    got = {}
+    for q, r, _ in search.found():
+        got.setdefault(q, set()).add(r)
+    assert got == want and looked < 0.5 * 90 * 9  # of all queries x chunks
+
+
+def test_the_twin_agrees_where_ids_repeat(spark):
+    import duckdb
+    rnd = np.random.default_rng(4)
+    rows = [(i % 120, [float(np.float32(x)) for x in rnd.normal(size=6)]) for i in range(200)] + [(50, [1.0] * 6)] * 3
+    got = sorted(map(tuple, nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [list(r) for r in rows])
+    want = sorted(con.execute(SQL).fetchall())
+    assert [(q, r, v) for q, r, v, _ in got] == [(q, r, v) for q, r, v, _ in want]
+    assert np.allclose([s for *_, s in got], [s for *_, s in want])
+
+
 def test_empty_table(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
