@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +63,29 @@ def sender_domain(col: Column | str) -> Column:
 def base_domain(col: Column | str) -> Column:
     """Last two dot-separated labels (no public-suffix table: a.co.uk -> co.uk)."""
     return F.substring_index(F.coalesce(_c(col), F.lit("")), ".", -2)
+
+
+def registered_domain(col: Column | str, rules: Iterable[str]) -> Column:
+    """The domain that somebody registered: the public suffix and one label more;
+    '' for a public suffix itself, so that nobody is trusted for living under one.
+
+    ``rules`` are public suffixes as their list writes them: ``co.uk``, ``*.ck``
+    (every label under ck), ``!www.ck`` (but not this one). The longest rule
+    holds, an exception before any other; a domain that none fits has its last
+    label as suffix. Each suffix of a domain is looked up in sets, no table is searched."""
+    rules = {r.strip().lower() for r in rules}
+    plain = sorted(r for r in rules if r and r[0] not in "*!")
+    wild, saved = sorted(r[2:] for r in rules if r.startswith("*.")), sorted(r[1:] for r in rules if r.startswith("!"))
+    among = lambda x, names: x.isin(names) if names else F.lit(False)  # noqa: E731  (a hash set, beyond ten names)
+    labels = F.filter(F.split(F.lower(F.coalesce(_c(col), F.lit(""))), "[.]"), lambda x: x != "")
+
+    def base(parts: Column) -> Column:
+        n = F.size(parts)
+        last = lambda k: F.array_join(F.slice(parts, n - k + 1, k), ".")
+        sizes = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        freed = F.array_max(F.transform(F.filter(sizes, lambda k: among(last(k), saved)), lambda k: k - 1))
+        fits = F.filter(sizes, lambda k: among(last(k), plain) | ((k > 1) & among(last(k - 1), wild)))
+        suffix = F.coalesce(freed, F.array_max(fits), F.lit(1))
+        return F.when(n > suffix, last(suffix + 1)).otherwise(F.lit(""))
+
+    return F.transform(F.array(labels), base)[0]

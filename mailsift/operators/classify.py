@@ -12,13 +12,15 @@ grouped, so messages that share a uid (two mailboxes) stay apart.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.features import display_features
-from ..functions.message import base_domain, sender_domain, serving_text
+from ..functions.message import base_domain, registered_domain, sender_domain, serving_text
 from ..functions.scores import LINEAR_SENTENCES, attribution_sentence, clamp_confidence, predicted_label, rule_reasons, sigmoid
 from ..functions.text import clean_text, strip_ws
 from .explain import attribution_array
@@ -30,9 +32,10 @@ from .tfidf import TfidfModel
 NO_DOMAIN_KEYS = 4096
 
 
-def trusted_domains(df: DataFrame, col: str | None = None) -> DataFrame:
+def trusted_domains(df: DataFrame, col: str | None = None, suffixes: Iterable[str] | None = None) -> DataFrame:
     """Distinct, stripped, lower-cased, non-empty domains from a `Domain` or
-    `domain` column; no such column gives an empty list, not an error.
+    `domain` column; no such column gives an empty list, not an error. With
+    ``suffixes`` (rules of public suffixes), entries that are one are left out.
 
     The list is kept (memory, then disk), so it is made once for all plans and
     micro-batches that use it, and its true size decides whether Spark
@@ -41,6 +44,8 @@ def trusted_domains(df: DataFrame, col: str | None = None) -> DataFrame:
     if name is None:
         return df.sparkSession.createDataFrame([], "domain string")
     d = df.select(F.lower(strip_ws(F.col(name).cast("string"))).alias("domain"))
+    if suffixes is not None:
+        d = d.filter(registered_domain("domain", suffixes) != "")
     return d.filter(F.col("domain").isNotNull() & (F.col("domain") != "")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -61,12 +66,14 @@ def mark_trusted(msgs: DataFrame, domains: DataFrame, sd: str = "sender_domain",
 
 def classify_messages(tfidf: TfidfModel, model: LinearModel, msgs: DataFrame, domains: DataFrame,
                       toward_prediction: bool = True, keep=None, with_text: bool = False,
-                      raw_features: bool = False, surrogate_samples: int | None = None) -> DataFrame:
+                      raw_features: bool = False, surrogate_samples: int | None = None, suffixes: Iterable[str] | None = None) -> DataFrame:
     """Enriched rows: every field of ``msgs`` (or those in ``keep``; an unknown
     name is an error), then the result columns, which replace fields of their
     names. ``with_text`` adds the cleaned serving text; ``raw_features`` takes
     the engineered features from the text before cleaning; ``surrogate_samples``
-    adds surrogate_features and surrogate_summary from so many copies a message.
+    adds surrogate_features and surrogate_summary from so many copies a message;
+    ``suffixes`` (rules of public suffixes) makes base domains registered ones
+    instead of the last two labels.
     """
     made = ("cleaned_text", "sender_domain", "base_domain", "pairs", "engineered", "margin", "prediction", "phishing_confidence",
             "legitimate_confidence", "trusted_sender", "engineered_features", "explanation_summary", "linear_features",
@@ -76,7 +83,8 @@ def classify_messages(tfidf: TfidfModel, model: LinearModel, msgs: DataFrame, do
         raise ValueError(f"messages lack the columns {missing}")
     fields = [c for c in (msgs.columns if keep is None else dict.fromkeys(["uid", *keep])) if c not in made]
     base = msgs.select(*fields, serving_text("subject", "sender", "body").alias("_text"), sender_domain("sender").alias("sender_domain"))
-    base = base.withColumn("cleaned_text", clean_text("_text")).withColumn("base_domain", base_domain("sender_domain"))
+    base = base.withColumn("cleaned_text", clean_text("_text")).withColumn(
+        "base_domain", base_domain("sender_domain") if suffixes is None else registered_domain("sender_domain", suffixes))
     carried = [*fields, "sender_domain", "base_domain"]
     want_text = with_text or surrogate_samples is not None
     feats = featurise(tfidf, base, text="cleaned_text", feature_text="_text" if raw_features else None,

@@ -218,32 +218,51 @@ FILE_SOURCES = (
 )
 
 
-def corpus_from_files(spark: SparkSession, paths: list[str], specs=FILE_SOURCES) -> DataFrame:
-    """CSV files -> the cleaned, deduplicated corpus. Each file is read once, its
-    columns picked by name, numbered and written as Parquet before anything else."""
+def sources_from_files(spark: SparkSession, paths: list[str], specs=FILE_SOURCES) -> DataFrame:
+    """CSV files -> the union of their canonical rows, as a stored table. Each file
+    is read once, its columns picked by name, numbered and written before anything else."""
     parts = []
     for path, spec in zip(paths, specs, strict=True):
         wanted = [*spec.text_cols, *([spec.label_col] if spec.label_col else [])]
         parts.append(C.canonicalise(stored(read_corpus(spark, path, wanted, row_id="row_id"), "source"), spec))
-    return C.dedupe_first(C.finalise(C.combine(parts)))
+    return stored(C.combine(parts), "sources")
+
+
+def corpus_from_files(spark: SparkSession, paths: list[str], specs=FILE_SOURCES) -> DataFrame:
+    """CSV files -> the cleaned, deduplicated corpus."""
+    return C.dedupe_first(C.finalise(sources_from_files(spark, paths, specs)))
 
 
 def train_from_files(spark: SparkSession, paths: list[str], out_dir: str, models=MODEL_ORDER, specs=FILE_SOURCES,
-                     fmt: str = "csv") -> tuple[TextRun, str | None]:
+                     fmt: str = "csv", studies: bool = True, external: dict[str, DataFrame] | None = None) -> tuple[TextRun, str | None]:
     """The whole training run; its tables go to ``out_dir``: corpus, class
-    distribution, source breakdown, model results, a report and the errors (with
-    their texts) of every model, the best model's top terms, and the model itself."""
-    run = TextRun(spark, materialise(C.require_unique(corpus_from_files(spark, paths, specs))))
+    distribution, source breakdown, model results, a report of every model, its
+    errors, false positives and false negatives (with their texts), and of the
+    best model the top terms and the model itself.
+
+    ``studies`` adds the contribution of the sources and the best model's learning
+    curve; ``external`` names tables with a text column, whose predictions by the
+    best model are written as external_<name>."""
+    sources = sources_from_files(spark, paths, specs)
+    run = TextRun(spark, materialise(C.require_unique(C.dedupe_first(C.finalise(sources)))))
     write_table(run.corpus, out_dir, "corpus", "parquet")
     write_table(C.class_distribution(run.corpus), out_dir, "class_distribution", fmt)
     write_table(C.source_breakdown(run.corpus), out_dir, "source_breakdown", fmt)
     results, scored, best = compare_models(run, models)
     write_table(results, out_dir, "model_results", fmt)
     write_table(MT.classification_report(scored, by=("model",)), out_dir, "classification_reports", fmt)
-    errors = MT.error_tables(scored, keep=("row_id", "model"))
-    write_table(run.with_text(errors), out_dir, "errors", fmt)
+    errors = stored(run.with_text(MT.error_tables(scored, keep=("row_id", "model"))), "errors")
+    for kind, name in (("misclassified", "errors"), ("false_positive", "false_positives"), ("false_negative", "false_negatives")):
+        write_table(errors.filter(F.col("kind") == kind).drop("kind"), out_dir, name, fmt)
+    if studies:
+        names = [spec.name for spec in specs]
+        write_table(contribution(sources, [" + ".join(names[: i + 1]) for i in range(len(names))], models), out_dir, "contribution", fmt)
     if best is not None:
         model = run.model(best)
         write_table(top_features(model.coefficients(spark)), out_dir, "top_features", fmt)
         save_model(spark, f"{out_dir}/model", run.tfidf, model)
+        if studies:
+            write_table(learning_curve(run, best), out_dir, "learning_curve", fmt)
+        for name, table in (external or {}).items():
+            write_table(score_external(run.tfidf, model, table), out_dir, f"external_{name}", fmt)
     return run, best

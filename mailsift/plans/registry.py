@@ -757,16 +757,25 @@ SELECT source, text, label FROM (SELECT *, row_number() OVER (PARTITION BY text,
 def q_file_training_corpus(spark, sf_dir):
     """The file-driven run, naive Bayes only; the corpus table that it writes."""
     out = scratch_path(spark, "run")
-    JB.train_from_files(spark, _write_sources(spark, sf_dir), out, models=("Naive Bayes",))
+    JB.train_from_files(spark, _write_sources(spark, sf_dir), out, models=("Naive Bayes",), studies=False)
     return spark.read.parquet(out + "/corpus").select("source", "text", "label")
 
 
 @register("file_training_tables")
 def q_file_training_tables(spark, sf_dir):
-    """The file-driven run with all models: the model results that it writes."""
+    """The file-driven run with all models: the rows of every table that it writes
+    (the studies have queries of their own)."""
     out = scratch_path(spark, "run")
-    JB.train_from_files(spark, _write_sources(spark, sf_dir), out, fmt="parquet")
-    return spark.read.parquet(out + "/model_results")
+    external = {"turns": S.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")}
+    JB.train_from_files(spark, _write_sources(spark, sf_dir), out, fmt="parquet", studies=False, external=external)
+    rows = None
+    for name in ("model_results", "classification_reports", "errors", "false_positives", "false_negatives",
+                 "top_features", "external_turns", "class_distribution", "source_breakdown"):
+        table = spark.read.parquet(f"{out}/{name}")
+        key = F.lit(None).cast("string") if "model" not in table.columns else F.col("model")
+        part = table.groupBy(key.alias("model")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "model", "rows")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
 @register("ingest_messages", Q.with_ctes() + f"""
@@ -928,3 +937,29 @@ def q_masked_copies(spark, sf_dir):
     text = T.clean_text(M.serving_text("subject", "sender", "body")).alias("cleaned_text")
     found = SG.masked_margins(run.tfidf, run.nb, S.mail_view(spark, sf_dir).select("uid", text), "uid", _COPIES)
     return found.select("uid", "copy", r6("margin").alias("margin"))
+
+
+# --- fixed values: some rules of the public suffix list ---
+_SUFFIXES = ("com", "org", "net", "uk", "co.uk", "*.ck", "!www.ck")
+_HOSTS = """hosts AS (SELECT page_id, CASE page_id % 6 WHEN 1 THEN host || '.co.uk' WHEN 2 THEN 'co.uk' WHEN 3 THEN 'www.ck'
+            WHEN 4 THEN 'a' || page_id || '.b.ck' WHEN 5 THEN 'b.ck' ELSE host END AS domain
+          FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM pages))"""
+
+
+@register("registered_domains", "WITH " + _HOSTS + f""",
+parts AS (SELECT page_id, domain, list_filter(string_split(domain, '.'), lambda x: x <> '') AS l FROM hosts),
+ends AS (SELECT page_id, domain, l, k, array_to_string(l[len(l) - k + 1:], '.') AS s, array_to_string(l[len(l) - k + 2:], '.') AS u
+         FROM (SELECT *, unnest(range(1, len(l) + 1)) AS k FROM parts)),
+found AS (SELECT page_id, max(k - 1) FILTER (s IN ({', '.join(Q.q(r[1:]) for r in _SUFFIXES if r[0] == '!')})) AS freed,
+            max(k) FILTER (s IN ({', '.join(Q.q(r) for r in _SUFFIXES if r[0] not in '!*')})
+                           OR (k > 1 AND u IN ({', '.join(Q.q(r[2:]) for r in _SUFFIXES if r[0] == '*')}))) AS fits FROM ends GROUP BY page_id)
+SELECT p.page_id, p.domain, CASE WHEN len(l) > coalesce(freed, fits, 1) THEN array_to_string(l[len(l) - coalesce(freed, fits, 1):], '.') ELSE '' END
+       AS registered FROM parts p LEFT JOIN found f ON f.page_id = p.page_id""")
+def q_registered_domains(spark, sf_dir):
+    """Registered domains of the pages' hosts (some moved under other suffixes)."""
+    host = F.lower(F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
+    r = F.col("page_id") % 6
+    domain = (F.when(r == 1, F.concat(host, F.lit(".co.uk"))).when(r == 2, "co.uk").when(r == 3, "www.ck")
+              .when(r == 4, F.concat(F.lit("a"), F.col("page_id").cast("string"), F.lit(".b.ck"))).when(r == 5, "b.ck").otherwise(host))
+    pages = S.table(spark, sf_dir, "pages").select("page_id", domain.alias("domain"))
+    return pages.select("page_id", "domain", M.registered_domain("domain", _SUFFIXES).alias("registered"))

@@ -17,3 +17,19 @@ def test_serving_text_and_defaults(spark):
     assert one(spark, M.default_subject("x"), ["", None, "x"]) == ["(No subject)", "(No subject)", "x"]
     assert len(one(spark, M.message_body("x"), ["y" * 6000])[0]) == 6000
     assert len(one(spark, M.message_body("x", 5000), ["y" * 6000])[0]) == 5000
+
+
+def test_registered_domain(spark):
+    from mailsift.functions.message import registered_domain
+    rules = ["com", "uk", "co.uk", "*.ck", "!www.ck", "b.c.d", "*.e.f"]
+    want = {"a.co.uk": "a.co.uk", "x.a.co.uk": "a.co.uk", "co.uk": "", "uk": "", "b.ck": "", "a.b.ck": "a.b.ck", "www.ck": "www.ck", "x.www.ck": "www.ck",
+            "A.COM": "a.com", "plain": "", "": "", "x.unknown": "x.unknown", "z.y.b.c.d": "y.b.c.d", "..com.": "", None: "", "q.r.e.f": "q.r.e.f", "e.f": "e.f"}
+    got = one(spark, registered_domain("x", rules), list(want))
+    assert dict(zip(want, got)) == want
+
+
+def test_a_public_suffix_trusts_nobody(spark):
+    from mailsift.operators import classify as CL
+    rules = ["uk", "co.uk"]
+    domains = CL.trusted_domains(spark.createDataFrame([("co.uk",), ("good.co.uk",), ("uk",)], "domain string"), suffixes=rules)
+    assert [r[0] for r in domains.collect()] == ["good.co.uk"]
