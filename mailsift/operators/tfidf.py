@@ -69,7 +69,7 @@ def top_terms(stats: DataFrame, max_features: int | None, min_df: int = MIN_DF,
     kept = materialise(kept.withColumn("_band", F.floor(F.log2("corpus_tf") * _BANDS).cast("int")), "terms")
     above = Window.partitionBy(*by).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
     bands = kept.groupBy(*by, "_band").agg(F.count(F.lit(1)).alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0)))
-    cut = (bands.filter((F.col("_above") < max_features) & (F.col("_above") + F.col("_n") > max_features))
+    cut = (bands.filter((F.col("_above") < max_features) & (F.col("_above") + F.col("_n") >= max_features))
            .select(*by, F.col("_band").alias("_cut"), (max_features - F.col("_above")).alias("_need")).collect())  # a row a group
     names = [f.name for f in stats.schema.fields]
     if not cut:
