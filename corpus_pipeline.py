@@ -20,17 +20,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash component: the one of smallest id, any one of
+    """One row of each SimHash component: the one of smallest id, the least row of
     those that share it; a row without an id only where no row has one.
 
-    Rows are told apart by a number of their own, so repeated and missing ids
-    are rows like any other."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = simhash.near_duplicates(rows, id_col="__row").select("__row", "component_id")
-    named = found.join(rows.select("__row", "doc_id"), "__row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
-    kept = written(named.groupBy("component_id").agg(first.alias("first")).select("first.__row"), "kept-rows")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    Rows without an id are numbered after the greatest id, so they are compared
+    like any other and never preferred."""
+    rows = docs.withColumn("__key", F.col("doc_id"))
+    unnamed = docs.filter(F.col("doc_id").isNull())
+    if not unnamed.isEmpty():
+        top = docs.agg(F.max("doc_id")).first()[0] or 0
+        unnamed = written(unnamed.withColumn("__key", F.monotonically_increasing_id() + F.lit(top + 1)), "rows-without-id")
+        rows = rows.filter(F.col("doc_id").isNotNull()).unionByName(unnamed)
+    found = written(simhash.near_duplicates(rows, id_col="__key").select(F.col("__key").alias("__id"), "component_id"), "near-duplicates")
+    gone = found.filter(F.col("__id") != F.col("component_id")).select("__id").distinct()
+    kept = rows.join(gone, rows["__key"] == gone["__id"], "left_anti")
+    again = found.filter(F.col("__id") == F.col("component_id")).groupBy("__id").count().filter("count > 1").select("__id")
+    again = written(again, "repeated-ids")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(again, kept["__key"] == again["__id"], "left_semi")
+    rest = kept.join(again, kept["__key"] == again["__id"], "left_anti")
+    first = once.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return rest.select(*docs.columns).unionByName(first.select("__row.*"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
