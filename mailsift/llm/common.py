@@ -46,12 +46,12 @@ def least_per_group(df: DataFrame, groups: list[str], order: list, k: int) -> Da
     """The ``k`` first rows of each group by ``order``, whose first key is a hash
     (long), so that no value of it is common; groups have no nulls.
 
-    A count by the hash's top 16 bits finds the band that the k-th row lies in;
-    only rows up to that band are ranked, k and a 65,536th of a group or so, so
+    A count by the hash's top 12 bits finds the band that the k-th row lies in;
+    only rows up to that band are ranked, k and a 4,096th of a group or so, so
     no task sorts a group, however large. More than MAX_GROUPS groups are an error.
     """
     from pyspark.sql import Window
-    rows = df.withColumn("_band", F.shiftright(order[0], 48))
+    rows = df.withColumn("_band", F.shiftright(order[0], 52))
     counts = rows.groupBy(*groups, "_band").count()
     upto = F.sum("count").over(Window.partitionBy(*groups).orderBy("_band"))
     cuts = (counts.withColumn("_upto", upto).groupBy(*groups).agg(F.min(F.when(F.col("_upto") >= k, F.col("_band"))).alias("_cut"))
