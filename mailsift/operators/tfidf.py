@@ -36,15 +36,23 @@ def doc_terms(df: DataFrame, text: str = "text", stop_words: Iterable[str] = ENG
     return with_term_counts(df, text, "tc", stop_words, n_max, keep=list(keep))
 
 
+def each_of(df: DataFrame, array: str, keep: Iterable[str] = ()) -> DataFrame:
+    """*keep, x: a row for every element of ``array``, whose elements are never null.
+
+    An inner explode has its arrays' sizes checked by a filter, which the
+    optimizer writes out over whatever made the array, once for every use of
+    every step: here, the tokenising a hundred times over. An outer one has none."""
+    return df.select(*keep, F.explode_outer(array).alias("x")).filter(F.col("x").isNotNull())
+
+
 def term_frequencies(df: DataFrame, text: str = "text", **kw) -> DataFrame:
     """Long form (row_id, term, tf)."""
-    t = doc_terms(df, text, **kw)
-    return t.select("row_id", F.explode("tc").alias("x")).select("row_id", "x.term", "x.tf")
+    return each_of(doc_terms(df, text, **kw), "tc", ["row_id"]).select("row_id", "x.term", "x.tf")
 
 
 def document_frequencies(tc: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     """(*by, term, df, corpus_tf) from a doc_terms table."""
-    x = tc.select(*by, F.explode("tc").alias("x"))
+    x = each_of(tc, "tc", by)
     return x.groupBy(*by, F.col("x.term").alias("term")).agg(
         F.count(F.lit(1)).alias("df"), F.sum("x.tf").alias("corpus_tf"))
 
@@ -180,8 +188,7 @@ class TfidfModel:
     def long_form(self, df: DataFrame, text: str = "text") -> DataFrame:
         """(row_id, term_ix, weight)."""
         t = self.transform(df, text, keep=["row_id"])
-        return t.select("row_id", F.explode("pairs").alias("p")).select(
-            "row_id", F.col("p.ix").alias("term_ix"), F.col("p.w").alias("weight"))
+        return each_of(t, "pairs", ["row_id"]).select("row_id", F.col("x.ix").alias("term_ix"), F.col("x.w").alias("weight"))
 
     def feature_names(self) -> list[str]:
         return [v[0] for v in self.vocab]

@@ -43,3 +43,15 @@ def test_term_counts_in_row(spark):
 
 def test_strip_ws_unicode_ends(spark):
     assert one(spark, T.strip_ws("x"), ["　\x85 a b \x1f", "\xa0"]) == ["a b", ""]
+
+
+def test_terms_are_made_once_however_they_are_listed(spark):
+    from mailsift.operators import tfidf as TF
+    docs = spark.createDataFrame([(1, "cheap pills cheap"), (2, ""), (3, None), (4, "the")], "row_id long, text string")
+    frequencies = TF.term_frequencies(docs)
+    assert sorted(map(tuple, frequencies.collect())) == [(1, "cheap", 2), (1, "cheap pills", 1), (1, "pills", 1), (1, "pills cheap", 1)]
+    model = TF.TfidfModel([("cheap", 0, 1, 2, 1.0)], 4)
+    for df in (frequencies, TF.document_frequencies(TF.doc_terms(docs)), model.long_form(docs)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1
+    assert [r.row_id for r in model.long_form(docs).collect()] == [1]
