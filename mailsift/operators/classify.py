@@ -30,6 +30,9 @@ from .tfidf import TfidfModel
 # messages without a domain get one of so many keys that no domain has, so
 # that they don't all meet in one task of a shuffled join
 NO_DOMAIN_KEYS = 4096
+# the messages of a domain are dealt over so many keys, each with a copy of the
+# list, so that a domain with a large share of all messages is no single task
+DEALT = 8
 
 
 def trusted_domains(df: DataFrame, col: str | None = None, suffixes: Iterable[str] | None = None) -> DataFrame:
@@ -37,31 +40,36 @@ def trusted_domains(df: DataFrame, col: str | None = None, suffixes: Iterable[st
     `domain` column; no such column gives an empty list, not an error. With
     ``suffixes`` (rules of public suffixes), entries that are one are left out.
 
-    The list is kept (memory, then disk), so it is made once for all plans and
-    micro-batches that use it, and its true size decides whether Spark
-    broadcasts it (``spark.sql.autoBroadcastJoinThreshold``) or shuffles."""
+    The list is made here and kept (memory, then disk) for all plans and
+    micro-batches that use it, so its true size, not that of the table it comes
+    from, decides whether Spark broadcasts it
+    (``spark.sql.autoBroadcastJoinThreshold``) or shuffles."""
     name = col or ("Domain" if "Domain" in df.columns else "domain" if "domain" in df.columns else None)
     if name is None:
         return df.sparkSession.createDataFrame([], "domain string")
     d = df.select(F.lower(strip_ws(F.col(name).cast("string"))).alias("domain"))
     if suffixes is not None:
         d = d.filter(registered_domain("domain", suffixes) != "")
-    return d.filter(F.col("domain").isNotNull() & (F.col("domain") != "")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    kept = d.filter(F.col("domain").isNotNull() & (F.col("domain") != "")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    kept.count()  # a kept table has its true size once it is there
+    return kept
 
 
 def mark_trusted(msgs: DataFrame, domains: DataFrame, sd: str = "sender_domain",
                  bd: str = "base_domain", out: str = "trusted_sender") -> DataFrame:
     """sender domain OR base domain in the list (distinct, as trusted_domains
     gives it): two equi-joins, as an OR condition would be a nested loop."""
-    d1 = domains.select(F.col("domain").alias("_d1"), F.lit(True).alias("_t1"))
-    d2 = domains.select(F.col("domain").alias("_d2"), F.lit(True).alias("_t2"))
+    dealt = F.explode(F.array(*[F.lit(i) for i in range(DEALT)])).alias
+    d1 = domains.select(F.col("domain").alias("_d1"), dealt("_p1"), F.lit(True).alias("_t1"))
+    d2 = domains.select(F.col("domain").alias("_d2"), dealt("_p2"), F.lit(True).alias("_t2"))
     # matches no domain, so any number will do
     spread = F.concat(F.lit("\u0000"), (F.monotonically_increasing_id() % NO_DOMAIN_KEYS).cast("string"))
     key = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)).otherwise(spread)
-    j = (msgs.withColumn("_k1", key(sd)).withColumn("_k2", key(bd))
-         .join(d1, F.col("_k1") == F.col("_d1"), "left").join(d2, F.col("_k2") == F.col("_d2"), "left"))
+    j = (msgs.withColumn("_k1", key(sd)).withColumn("_k2", key(bd)).withColumn("_p", (F.monotonically_increasing_id() % DEALT).cast("int"))
+         .join(d1, (F.col("_k1") == F.col("_d1")) & (F.col("_p") == F.col("_p1")), "left")
+         .join(d2, (F.col("_k2") == F.col("_d2")) & (F.col("_p") == F.col("_p2")), "left"))
     flag = F.coalesce(F.col("_t1"), F.lit(False)) | F.coalesce(F.col("_t2"), F.lit(False))
-    return j.withColumn(out, flag).drop("_k1", "_k2", "_d1", "_t1", "_d2", "_t2")
+    return j.withColumn(out, flag).drop("_k1", "_k2", "_p", "_d1", "_p1", "_t1", "_d2", "_p2", "_t2")
 
 
 def classify_messages(tfidf: TfidfModel, model: LinearModel, msgs: DataFrame, domains: DataFrame,
@@ -85,7 +93,8 @@ def classify_messages(tfidf: TfidfModel, model: LinearModel, msgs: DataFrame, do
     base = msgs.select(*fields, serving_text("subject", "sender", "body").alias("_text"), sender_domain("sender").alias("sender_domain"))
     base = base.withColumn("cleaned_text", clean_text("_text")).withColumn(
         "base_domain", base_domain("sender_domain") if suffixes is None else registered_domain("sender_domain", suffixes))
-    carried = [*fields, "sender_domain", "base_domain"]
+    base = mark_trusted(base, domains)  # before the features, so that a list too large for a broadcast moves messages only
+    carried = [*fields, "sender_domain", "base_domain", "trusted_sender"]
     want_text = with_text or surrogate_samples is not None
     feats = featurise(tfidf, base, text="cleaned_text", feature_text="_text" if raw_features else None,
                       keep=[*carried, *(["cleaned_text"] if want_text else [])], with_struct=True)
@@ -93,7 +102,7 @@ def classify_messages(tfidf: TfidfModel, model: LinearModel, msgs: DataFrame, do
     conf = sigmoid("margin") if model.has_proba else clamp_confidence("margin")
     scored = (scored.withColumn("phishing_confidence", conf)
                     .withColumn("legitimate_confidence", 1.0 - F.col("phishing_confidence")))
-    scored = mark_trusted(scored, domains)
+    scored = scored.select(*[c for c in scored.columns if c != "trusted_sender"], "trusted_sender")
     scored = scored.withColumn("engineered_features", display_features("engineered")).drop("engineered")
     scored = scored.withColumn("explanation_summary",
                                rule_reasons("prediction", "trusted_sender", "engineered_features"))

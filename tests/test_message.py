@@ -33,3 +33,26 @@ def test_a_public_suffix_trusts_nobody(spark):
     rules = ["uk", "co.uk"]
     domains = CL.trusted_domains(spark.createDataFrame([("co.uk",), ("good.co.uk",), ("uk",)], "domain string"), suffixes=rules)
     assert [r[0] for r in domains.collect()] == ["good.co.uk"]
+
+
+def test_a_list_of_any_size_moves_no_domain_to_one_task(spark):
+    from mailsift.operators import classify as CL
+    from pyspark.sql import functions as F
+    big = spark.range(2000).select(F.concat(F.lit("d"), F.col("id").cast("string"), F.lit(".org")).alias("domain"))
+    domains = CL.trusted_domains(big.unionByName(spark.createDataFrame([("often.net",)], "domain string")))
+    msgs = spark.range(4000).select(F.col("id").alias("uid"), F.when(F.col("id") % 4 > 0, "often.net").when(F.col("id") % 8 == 0, "no.org").alias("sender_domain"),
+                                    F.lit("").alias("base_domain"))
+    assert "SortMergeJoin" not in CL.mark_trusted(msgs, domains)._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        marked = CL.mark_trusted(msgs, domains)
+        by_key = marked.groupBy("trusted_sender").count()
+        assert {r[0]: r[1] for r in by_key.collect()} == {True: 3000, False: 1000}
+        assert marked.columns == ["uid", "sender_domain", "base_domain", "trusted_sender"]
+        plan = marked._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(_k1" in plan and "_p#" in plan.split("hashpartitioning(_k1")[1].split("]")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
