@@ -107,3 +107,11 @@ def test_an_empty_table_has_no_optimum_but_zero(spark):
     t = CE.cell_table(spark.createDataFrame([], SCHEMA), 4)
     got = CE.fit_columns(t, [CE.Column("all", CE.SQUARED_HINGE)])[0]
     assert not got.coef.any() and got.intercept == 0
+
+
+def test_a_long_table_has_no_more_tasks_than_cores(spark):
+    rows = spark.range(0, 64, 1, 64).selectExpr("CAST(id % 2 * 2 - 1 AS int) AS y", "array(CAST(id % 3 AS int)) AS ix", "array(1.0D) AS w",
+                                                "array(CAST(id % 2 AS int)) AS cells", "CAST(array() AS array<int>) AS held")
+    table = CE.CellTable(rows, 3)
+    assert table.tasks == table.df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert table.counts == {(None, -1): 32, (None, 1): 32, (0, -1): 32, (1, 1): 32}
