@@ -686,7 +686,7 @@ SELECT s.source_rank, s.source, count(DISTINCT v.label) >= 2 AS both FROM (SELEC
 LEFT JOIN valid v ON v.source_rank = s.source_rank GROUP BY s.source_rank, s.source""")
 def q_two_class_guard(spark, sf_dir):
     valid, _ = _stages(spark, sf_dir)
-    valid = valid.select("source_rank", "label")
+    valid = stored(valid.select("source_rank", "label").distinct(), "classes")  # cleaned once for all sources
     return spark.createDataFrame([(i, name, C.require_two_classes(valid.filter(F.col("source_rank") == i), on_fail="skip"))
                                   for i, name in enumerate(S.SOURCE_NAMES)], "source_rank int, source string, both boolean")
 
