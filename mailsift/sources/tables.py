@@ -22,10 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over the session's cores if it has fewer files than these: a
-    file with one row group is one task, however many splits it gets. Tables of
-    many files stay as they are."""
+    file with one row group is one task, however many splits it gets. A large
+    one keeps as many tasks as splits, so no task grows with it. Tables of many
+    files stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(max(cores, df.rdd.getNumPartitions())) if len(df.inputFiles()) < cores else df
 
 
 def corpus_view(spark: SparkSession, sf_dir: str) -> DataFrame:
