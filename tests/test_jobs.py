@@ -71,3 +71,23 @@ def test_top_terms_cut_by_a_histogram(spark):
         assert got == want
     one = {r.term for r in top_terms(stats.filter("stage = 1").drop("stage"), 700, 2).collect()}
     assert one == {r[1] for r in sorted((r for r in rows if r[0] == 1), key=lambda r: (-r[3], r[1]))[:700]}
+
+
+def test_vocabularies_of_arrays_of_groups(spark):
+    from mailsift.operators.tfidf import TfidfModel
+    rows = [([1, 2], [("a", 2), ("b", 1)]), ([2], [("a", 1), ("c", 3)]), ([1, 2], [("a", 1), ("c", 1)]), ([2], [("b", 1)]), ([2], [])]
+    tc = spark.createDataFrame(rows, "groups array<int>, tc array<struct<term:string,tf:bigint>>")
+    got = TfidfModel.fit_groups(tc, "groups", 10, 1)
+    assert set(got) == {1, 2}
+    for g, model in got.items():
+        alone = TfidfModel.fit(None, max_features=10, min_df=1, tc=tc.filter(F.array_contains("groups", g)))
+        assert (model.vocab, model.n_docs) == (alone.vocab, alone.n_docs)
+
+
+def test_stages_of_a_run_are_not_held_in_memory(spark):
+    from mailsift.plans.pipeline import TextRun
+    rows = [(f"0:{k}", f"offer pills {k % 5} now" if k % 2 else f"meeting notes {k % 5} today", "phishing" if k % 2 else "legitimate") for k in range(30)]
+    held = set(spark.sparkContext._jsc.getPersistentRDDs())
+    run = TextRun(spark, spark.createDataFrame(rows, "row_id string, text string, label string"))
+    assert run.scored().count() == 6
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= held

@@ -56,3 +56,16 @@ def test_folds_balanced_and_prefixes_nested(spark):
         ks = sorted(s for (fo, s) in sets if fo == fold)
         for a, b in zip(ks, ks[1:]):
             assert sets[(fold, a)] <= sets[(fold, b)]
+
+
+def test_grouped_split_is_the_split_of_every_group(spark):
+    rows = [(f"{k % 3}:{k}", "phishing" if k % 4 == 0 else "legitimate", list(range(k % 3 + 1, 4))) for k in range(60)]
+    rows += [rows[5], ("9:9", "other", [3]), ("8:8", "legitimate", [])]
+    df = spark.createDataFrame(rows, "row_id string, label string, groups array<int>")
+    got = SP.grouped_split(df, "groups")
+    assert got.count() == len(rows)
+    for g in (1, 2, 3):
+        alone = SP.stratified_split(df.filter(F.array_contains("groups", g)))
+        for part in ("train", "test"):
+            assert (sorted(r.row_id for r in got.filter(F.array_contains(part, g)).collect())
+                    == sorted(r.row_id for r in alone.filter(F.col("part") == part).collect()))
