@@ -135,3 +135,46 @@ def test_one_pivot_only(spark):
     vectors = as_float(np.eye(8)[0] + 0.03 * rnd.standard_normal((120, 8)))  # all within each other's reach
     got = run(spark, vectors, list(range(120)), cell=30)
     assert all(v == (119, 0, i == 0) for i, v in got.items())
+
+
+@pytest.mark.parametrize("how", [{}, {"cell": 60, "block": 150, "round_bytes": 1}, {"heads": 1, "shared": 12, "block": 400}])
+def test_no_link_is_missed(spark, how):
+    vectors = as_float(np.vstack([planted(700, 64, 11, 0.9, 0.92), planted(200, 64, 12)]))
+    ids = [int(i) for i in np.random.default_rng(13).permutation(len(vectors))]
+    _, links, component = brute(vectors, ids)
+    assert run(spark, vectors, ids, **how) == {i: (links[i], component[i], component[i] == i) for i in ids}
+
+
+@pytest.mark.parametrize("pivots", [2, 3, 5])
+def test_cut_lists_of_few_pivots_lose_nothing(spark, pivots):
+    rnd = np.random.default_rng(14)
+    centres = unit(rnd.standard_normal((6, 8)))
+    vectors = as_float(np.vstack([centres[k % 6] + 0.12 * rnd.standard_normal(8) for k in range(240)]))
+    ids = list(range(240))
+    _, links, component = brute(vectors, ids)
+    want = {i: (links[i], component[i], component[i] == i) for i in ids}
+    assert run(spark, vectors, ids, pivots=pivots, cell=20, block=30, round_bytes=1) == want
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3, 8, 64])
+def test_planes_keep_all_within_reach(dim):
+    rnd = np.random.default_rng(dim)
+    u = np.vstack([planted(150, dim, dim), unit(np.eye(dim)[0] + 0.05 * rnd.standard_normal((50, dim)))]) if dim > 1 else np.array([[1.0], [-1.0]] * 20)
+    p = pv.spread_out(u[rnd.permutation(len(u))], 40)
+    home = pv.describe(u, p, 1)[:, 0]
+    met = pv.reached(u, home, p, 0.9)
+    a, b = np.nonzero(u @ u.T >= 0.9)
+    assert met[a, home[b]].all()
+    tight = pv.reached(np.eye(dim), np.arange(dim), np.eye(dim), 0.9)
+    assert (tight == np.eye(dim, dtype=bool)).all()  # clusters at right angles don't meet
+
+
+def test_dense_tiles_and_long_vectors(spark):
+    rnd = np.random.default_rng(15)
+    near = np.eye(200)[0] + 0.01 * rnd.standard_normal((150, 200))  # more than a 32nd of the tile is within reach
+    vectors = as_float(np.vstack([near, planted(60, 200, 16, 0.9, 0.91)]))
+    ids = list(range(len(vectors)))
+    _, links, component = brute(vectors, ids)
+    want = {i: (links[i], component[i], component[i] == i) for i in ids}
+    assert run(spark, vectors, ids, shared=17, block=70) == want
+    assert run(spark, vectors, ids, heads=1, shared=16, block=70) == want
