@@ -73,3 +73,26 @@ def test_matrix_products_are_faster_than_texts():
     slow = [scorer.margin(copies.text_of(row)) for row in z]
     end = time.perf_counter()
     assert np.allclose(fast, slow, atol=1e-9) and end - middle > 5 * (middle - begin)
+
+
+LOWER = [t.lower() for t in ODD] + ["beta alpha of alpha beta alpha alpha beta", "alpha the x of beta alpha beta beta", "alpha " * 70 + "gamma beta", "verify now http://www.x.org alpha beta ! card"]
+
+
+def test_pairs_of_lower_case_texts_are_counted_by_candidates(monkeypatch):
+    def refused(*_):
+        raise AssertionError("all places of all copies were looked at")
+    monkeypatch.setattr(SG.Copies, "_side_by_side", refused)
+    rng = np.random.default_rng(5)
+    again = TfidfModel([*TFIDF.vocab, ("alpha alpha", 3, 2, 2, 1.1), ("beta alpha", 4, 2, 2, 1.7), ("the beta", 5, 2, 2, 1.7)], 5)
+    coef = [2.0, 0.7, -2.0, 0.9, -0.6, 5.0, 0.3, 0.2, 0.1, -0.4, 0.05, 0.9]
+    for tfidf in (again, TfidfModel(again.vocab, 5, sublinear=False)):
+        scorer = SG.TextScorer.of(tfidf, LinearModel("x", coef, 0.1, True, []))
+        for text, held in [(t, SG._HELD) for t in LOWER] + [(LOWER[0], 1), (LOWER[-4], 1)]:
+            monkeypatch.setattr(SG, "_HELD", held)  # the copies in parts of 64, too
+            copies = SG.Copies(text)
+            z = (rng.random((150, len(copies.words))) < 0.5).astype(float)
+            z[0], z[1] = 1, 0
+            if copies._plain(scorer):
+                want = [scorer.margin(copies.text_of(row)) for row in z]
+                assert np.allclose(copies.margins(z, scorer), want, rtol=0, atol=1e-9), text
+
