@@ -96,3 +96,26 @@ def test_pairs_of_lower_case_texts_are_counted_by_candidates(monkeypatch):
                 want = [scorer.margin(copies.text_of(row)) for row in z]
                 assert np.allclose(copies.margins(z, scorer), want, rtol=0, atol=1e-9), text
 
+
+def test_copies_are_drawn_as_before():
+    for d in (1, 2, 7, 40):
+        rng = np.random.default_rng([42, SG.crc32(b"text")])
+        want = np.ones((30, d))
+        for i in range(1, 30):
+            want[i, rng.permutation(d)[:rng.integers(1, d + 1)]] = 0
+        assert (SG.drawn_copies("text", d, 30, 42) == want).all()
+
+
+def test_selection_makes_only_chosen_columns_orthogonal(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, t = rng.standard_normal((200, 30)), rng.standard_normal(200)
+    want = SG._selected_whole(x, t, 6)
+    twice = np.column_stack([x[:, :3], x[:, :2]])  # dependent columns: nothing is left of the copies
+    assert SG._selected(twice, t, 5)[:3] == SG._selected_whole(twice, t, 5)[:3]
+    noise = 1e-16 * rng.random(200)  # a constant's rounding
+    assert SG._selected(x, noise, 6) == SG._selected_whole(x, noise, 6)
+
+    def refused(*_):
+        raise AssertionError("all columns were made orthogonal")
+    monkeypatch.setattr(SG, "_selected_whole", refused)
+    assert SG._selected(x, t, 6) == want
