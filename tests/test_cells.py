@@ -115,3 +115,31 @@ def test_a_long_table_has_no_more_tasks_than_cores(spark):
     table = CE.CellTable(rows, 3)
     assert table.tasks == table.df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     assert table.counts == {(None, -1): 32, (None, 1): 32, (0, -1): 32, (1, 1): 32}
+
+
+def test_packed_rows_are_the_rows(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(CE, "PACK", CE.HELD // 10)  # some 10 numbers a stored row, some 30 worked on together
+    monkeypatch.setattr(CE, "WORK", CE.HELD // 30)
+    rows = [{"y": 1 if i % 3 else -1, "ix": list(range(i % 7)), "w": [i + 0.5 * k for k in range(i % 7)], "cells": list(range(i % 4)), "held": [i] * (i % 2)}
+            for i in range(60)]
+    kinds = pa.schema([("y", pa.int32()), ("ix", pa.list_(pa.int32())), ("w", pa.list_(pa.float64())), ("cells", pa.list_(pa.int32())), ("held", pa.list_(pa.int32()))])
+    packed = list(CE._pack([pa.RecordBatch.from_pylist(rows, kinds), pa.RecordBatch.from_pylist([], kinds)]))
+    assert packed[0].num_rows > 10 and packed[1].num_rows == 0
+    again = [r for b in CE._unpack([*packed, packed[0].slice(3, 4)]) for r in b.to_pylist()]
+    assert again[:60] == sorted(rows, key=lambda r: r["cells"]) and 0 < len(again) - 60 < 60
+    assert len(list(CE._unpacked(packed))) > 3
+
+
+def test_passes_read_packed_rows(spark):
+    t, x, y, member = table(spark)
+    assert {f.dataType.simpleString() for f in t.stored.schema.fields} == {"binary"}
+    rows = sorted(((r["y"], r["ix"], r["w"], r["cells"], r["held"]) for r in t.df.collect()), key=str)
+    want = [(int(y[i]), [int(j) for j in np.flatnonzero(x[i])], [float(v) for v in x[i][x[i] != 0]],
+             [int(c) for c in np.flatnonzero(member[i])], [int(c) for c in np.flatnonzero(~member[i])]) for i in range(len(y))]
+    assert rows == sorted(want, key=str)
+    assert t.counts == {(c, k): n for k in (-1, 1) for c, n in [(None, int((y == k).sum())), *((c, int((member[:, c] & (y == k)).sum())) for c in range(3))]}
+    columns = [CE.Column(c, loss, c) for c in range(3) for loss in (CE.LOGISTIC, CE.SQUARED_HINGE)]
+    plain = CE.CellTable(t.df, t.n_features)
+    for a, b in zip(CE.fit_columns(t, columns, 1e-7), CE.fit_columns(plain, columns, 1e-7)):
+        assert np.allclose(a.coef, b.coef, atol=1e-5)
